@@ -6,7 +6,7 @@ import importlib
 
 from kirana.plans.base import REGISTRY, Query
 
-_MODULES = ("q_store", "q_orders", "q_ledger", "q_calls")
+_MODULES = ("q_store", "q_orders", "q_ledger", "q_calls", "q_search")
 
 for _m in _MODULES:
     importlib.import_module(f"kirana.plans.{_m}")
