@@ -61,7 +61,7 @@ def clean_text(text: Column) -> Column:
         (r"\"[a-zA-Z0-9_-]+\"\s*:\s*[\p{Nd}.]+", ""),
         (r"[{}\[\]\"']", ""),
         (r"[*#_`~]", ""),
-        (r"[^\x00-\x7Fಀ-೿]+", " "),
+        (r"[^\x00-\x7F\u0C80-\u0CFF]+", " "),
         (r"\s*,\s*,+", ", "),
         (r"^[,.\s\-_]+", ""),
         (r"[,;\s\-_]+$", ""),
@@ -80,7 +80,7 @@ def is_repetitive(text: Column) -> Column:
 
 def strip_cjk(text: Column) -> Column:
     """Drop CJK / Hangul runs, then leading punctuation and outer whitespace."""
-    t = F.regexp_replace(text, r"[　-鿿가-힯]+", "")
+    t = F.regexp_replace(text, r"[\u3000-\u9FFF\uAC00-\uD7AF]+", "")
     return py_strip(F.regexp_replace(t, r"^[,.\s\-_]+", ""))
 
 
@@ -164,7 +164,7 @@ def greeting_text(customer_name: Column, store_name: Column, template: Column) -
 
 def has_kannada(text: Column) -> Column:
     """Text contains a character of the Kannada block U+0C80-U+0CFF."""
-    return text.rlike(r"[ಀ-೿]")
+    return text.rlike(r"[\u0C80-\u0CFF]")
 
 
 def boxcar_downsample(arr: Column, n: int = 3) -> Column:
@@ -220,7 +220,7 @@ def extract_tool_json(text: Column) -> Column:
     cands = F.regexp_extract_all(text, F.lit(BALANCED), 1)
     raw = F.filter(cands, lambda m: _has_key(m, "tool", "name")
                    & _has_key(m, "arguments", "parameters", "query"))
-    return F.when(fenced_ok, fenced).otherwise(F.element_at(raw, 1))
+    return F.when(fenced_ok, fenced).otherwise(F.try_element_at(raw, F.lit(1)))
 
 
 def tool_name(j: Column) -> Column:
@@ -232,19 +232,16 @@ def tool_arguments(j: Column) -> Column:
                       F.get_json_object(j, "$.query"))
 
 
-ITEM_SCHEMA = "array<struct<name:string,quantity:string>>"
-
-
 def normalize_items(items_json: Column) -> Column:
-    """Items given as JSON list of objects, JSON list of strings, or bad JSON
-    -> array<struct<name, quantity>>; strings become quantity 1; bad JSON becomes
-    one item named by the raw text."""
-    as_structs = F.from_json(items_json, ITEM_SCHEMA)
-    as_strings = F.from_json(items_json, "array<string>")
-    first_is_obj = F.regexp_extract(items_json, r"^\s*\[\s*(.)", 1) == "{"
-    from_strs = F.transform(as_strings, lambda s: F.struct(s.alias("name"), F.lit("1").alias("quantity")))
-    norm_structs = F.transform(as_structs, lambda s: F.struct(
-        F.coalesce(s["name"], F.lit("")).alias("name"), F.coalesce(s["quantity"], F.lit("1")).alias("quantity")))
+    """Items given as a JSON list whose elements are objects ({name, quantity})
+    or strings (quantity 1); text that is not a JSON list becomes one item named
+    by the raw text.  Elements are read as JSON text, so objects keep their fields."""
+    elems = F.from_json(items_json, "array<string>")
+
+    def one(e: Column) -> Column:
+        is_obj = e.startswith("{")
+        name = F.when(is_obj, F.coalesce(F.get_json_object(e, "$.name"), F.lit(""))).otherwise(e)
+        qty = F.when(is_obj, F.coalesce(F.get_json_object(e, "$.quantity"), F.lit("1"))).otherwise(F.lit("1"))
+        return F.struct(name.alias("name"), qty.alias("quantity"))
     fallback = F.array(F.struct(items_json.alias("name"), F.lit("1").alias("quantity")))
-    parsed = F.when(first_is_obj, norm_structs).otherwise(from_strs)
-    return F.coalesce(parsed, fallback)
+    return F.coalesce(F.transform(elems, one), fallback)

@@ -71,7 +71,7 @@ def q_kpi_rollup(spark, d):
     return kpi.kpi_rollup(tb.load(spark, d).products)
 
 
-@query("resolve_customers", f"""
+RESOLVE_SQL = f"""
     SELECT id, customer_phone, customer_id, matched_phone, customer_name FROM (
       SELECT o.id, o.customer_phone, h.customer_id, h.matched_phone, h.customer_name,
              row_number() OVER (PARTITION BY o.id ORDER BY h.pos, h.customer_id) AS rn
@@ -90,7 +90,11 @@ def q_kpi_rollup(spark, d):
                         ELSE {X.strip('o2.customer_phone')} END END
         WHERE {X.strip('o2.customer_phone')} <> ''
       ) h ON h.id = o.id)
-    WHERE rn = 1""")
+    WHERE rn = 1"""
+RESOLVE_CTES = {"v_resolved": RESOLVE_SQL}
+
+
+@query("resolve_customers", "SELECT * FROM v_resolved", ctes=RESOLVE_CTES)
 def q_resolve_customers(spark, d):
     t = tb.load(spark, d)
     o = t.orders.select("id", "customer_phone")
