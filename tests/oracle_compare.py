@@ -100,8 +100,12 @@ if __name__ == "__main__":
         except Exception as e:  # report and continue
             r = {"key": k, "error": repr(e)[:600]}
         r["sec"] = round(time.time() - t0, 2)
-        ok = r.get("oracle") is None and "error" not in r or (
-            r.get("cols_match") and r.get("hash_match") and r.get("rows") == r.get("oracle_rows"))
+        if "error" in r:
+            ok = False
+        elif "oracle" in r:
+            ok = True
+        else:
+            ok = bool(r.get("cols_match") and r.get("hash_match") and r.get("rows") == r.get("oracle_rows"))
         bad += not ok
         print(("OK  " if ok else "BAD ") + json.dumps(r, default=str), flush=True)
     print(f"{len(keys) - bad}/{len(keys)} ok")
