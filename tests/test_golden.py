@@ -185,3 +185,14 @@ def test_catalog_crud_duplicate_rejected(spark):
                                "op string, pid long, name string, price double, seq long")
     got = {r["seq"]: r["reason"] for r in sk.apply_product_changes(p, ch, ["seq"]).collect()}
     assert got == {1: "ok", 2: "already exists", 3: "already exists", 4: "not found"}
+
+
+def test_sql_table_function(spark):
+    from kirana.functions.sql_functions import register_table_functions
+    o = spark.createDataFrame([("ORD-1", "+919876543210", 10.0, "CONFIRMED"), ("ORD-2", "9876543210", 5.0, "DELIVERED"),
+                               ("ORD-3", "+911111111111", 1.0, "CONFIRMED")],
+                              "order_id string, customer_phone string, total_amount double, status string")
+    o.createOrReplaceTempView("tf_orders")
+    register_table_functions(spark, "tf_orders")
+    got = {r[0] for r in spark.sql("SELECT order_id FROM kirana_order_history('+91 98765-43210')").collect()}
+    assert got == {"ORD-2", "ORD-1"}
