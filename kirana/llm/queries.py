@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from kirana.llm import toxicity
 from kirana.llm.bpe_codec import encode_decode
 from kirana.llm.exact_dedup import exact_groups
+from kirana.llm.minhash import near_groups
 from kirana.llm.mixing import mix
 from kirana.llm.token_counts import token_counts
 
@@ -27,6 +28,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(documents(spark, sf_dir))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir))
 
@@ -50,6 +55,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash_dedup": op1_minhash_dedup,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_bpe": op3_bpe,
     "op6_toxicity": op6_toxicity,
