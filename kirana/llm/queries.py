@@ -12,6 +12,7 @@ from kirana.llm.bpe_codec import encode_decode
 from kirana.llm.exact_dedup import exact_groups
 from kirana.llm.minhash import near_groups
 from kirana.llm.mixing import mix
+from kirana.llm.suffix_dedup import without_repeats
 from kirana.llm.token_counts import token_counts
 
 TOKEN_LIMIT = 1024
@@ -54,6 +55,11 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = without_repeats(documents(spark, sf_dir))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_exact_dedup": op2_exact_dedup,
@@ -61,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": op6_toxicity,
     "op7_mix": op7_mix,
     "op8_token_counts": op8_token_counts,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 OP2_SQL = r"""
