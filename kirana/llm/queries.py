@@ -14,6 +14,7 @@ from kirana.llm.minhash import near_groups
 from kirana.llm.mixing import mix
 from kirana.llm.suffix_dedup import without_repeats
 from kirana.llm.token_counts import token_counts
+from kirana.llm.topk import top_k
 
 TOKEN_LIMIT = 1024
 
@@ -38,7 +39,7 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_decode(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"), digests=True)
+    return encode_decode(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"), give=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +56,11 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return top_k(vectors, F.col("vec_id") % 100 == 0)
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = without_repeats(documents(spark, sf_dir))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -67,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": op6_toxicity,
     "op7_mix": op7_mix,
     "op8_token_counts": op8_token_counts,
+    "op9_topk": op9_topk,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
@@ -96,4 +103,13 @@ SELECT doc_id, size::BIGINT AS size, words::BIGINT AS source_size, target,
             ELSE (take // words) * size + greatest(0, least(start + size, take % words) - start) END::BIGINT AS taken FROM p
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op7_mix": OP7_SQL}
+OP9_SQL = r"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+           WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+      FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.v) = len(q.v) WHERE q.vec_id % 100 = 0)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM s
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op7_mix": OP7_SQL, "op9_topk": OP9_SQL}
