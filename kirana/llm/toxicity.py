@@ -152,18 +152,34 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     return lexicon, _fit(np.array(seen.column(0).to_pylist()), np.array(seen.column(1).to_pylist(), float))
 
 
+def _scores(grammar: Grammar, weights: np.ndarray, column: pa.Array) -> np.ndarray:
+    x = np.array([features(grammar, t) for t in texts(column)]).reshape(-1, len(weights))
+    return 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
+
+
+def without_toxic(docs: DataFrame, model: tuple[dict[str, float], np.ndarray], text: str = "text") -> DataFrame:
+    """The documents, with all their columns, whose score is below 0.5."""
+    prepare(docs.sparkSession)
+    share, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grammar = Grammar(share.value[0])
+        for b in batches:
+            yield b.filter(pa.array(_scores(grammar, share.value[1], b.column(at)) < 0.5))
+
+    return docs.mapInArrow(work, docs.schema)
+
+
 def score(docs: DataFrame, model: tuple[dict[str, float], np.ndarray], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: key, ``held_out``, ``score`` (0 to 1), ``predicted``, ``clauses`` (number of matches)."""
+    """One row per document: key, ``held_out``, ``score`` (0 to 1), ``predicted``."""
     prepare(docs.sparkSession)
     share = docs.sparkSession.sparkContext.broadcast(model)
     kind = dict(docs.dtypes)[key]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, w = share.value
-        grammar = Grammar(lexicon)
+        grammar = Grammar(share.value[0])
         for b in batches:
-            x = np.array([features(grammar, t) for t in texts(b.column(1))]).reshape(-1, len(w))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(1 / (1 + np.exp(-np.clip(x @ w, -30, 30))))], [key, "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_scores(grammar, share.value[1], b.column(1)))], [key, "score"])
 
     scored = docs.select(key, text).mapInArrow(work, f"`{key}` {kind}, score double")
     return scored.select(key, held_out(F.col(key)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
