@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from kirana.functions.text import GREETINGS
+
 SCALAR = {
     "kirana_normalize_phone": ("p STRING", "STRING",
                                r"regexp_replace(regexp_replace(regexp_replace(coalesce(p, ''), '[^\\p{Nd}]', ''), "
@@ -18,8 +20,7 @@ SCALAR = {
                              r"regexp_replace(coalesce(t, ''), '^\\s+|\\s+$', '') RLIKE '(.)\\1{4,}'"),
     "kirana_greeting_intent": ("t STRING", "BOOLEAN",
                                r"translate(lower(regexp_replace(t, '^\\s+|\\s+$', '')), '?!.', '') IN "
-                               r"('hello', 'hi', 'hey', 'hello priya', 'hi priya', 'ಹಲೋ', 'ಹಲೋ ಪ್ರಿಯಾ', "
-                               r"'ನಮಸ್ಕಾರ', 'ಯಾರಿದ್ದೀರಿ')"),
+                               + "(" + ", ".join(f"'{g}'" for g in GREETINGS) + ")"),
     "kirana_order_ref": ("k STRING", "STRING", "concat('ORD-', upper(substr(sha2(k, 256), 1, 12)))"),
     "kirana_has_kannada": ("t STRING", "BOOLEAN", r"t RLIKE '[\\u0C80-\\u0CFF]'"),
 }

@@ -165,13 +165,17 @@ def asof_orders(calls: DataFrame, orders: DataFrame, call_phone: str = "caller_p
     tl = running(tl, ["_key"], time_bucket(F.col("_ts"), bucket_seconds),
                  [F.col("_ts"), F.col("_side"), F.col("_oid"), F.col("call_sid")],
                  {"_last": ("last", F.when(F.col("_side") == 0, F.struct("_ots", "_oid")))}, inclusive=True)
+    # a call without a phone number has no order
+    lone = c.filter(F.coalesce("_key", F.lit("")) == "").select(
+        "call_sid", F.col("_ts").alias("started_at"), F.lit(None).cast("string").alias("order_id"),
+        F.lit(None).cast("timestamp").alias("order_created_at"))
     hit = tl.filter(F.col("_side") == 1)
     ok = F.col("_last").isNotNull()
     if tolerance_seconds is not None:
         ok = ok & (_elapsed_us(F.col("_ts"), F.col("_last._ots")) <= _us(tolerance_seconds))
     return hit.select("call_sid", F.col("_ts").alias("started_at"),
                       F.when(ok, F.col("_last._oid")).alias("order_id"),
-                      F.when(ok, F.col("_last._ots")).alias("order_created_at"))
+                      F.when(ok, F.col("_last._ots")).alias("order_created_at")).unionByName(lone)
 
 
 def call_alerts(calls: DataFrame, alerts: DataFrame) -> DataFrame:

@@ -100,4 +100,4 @@ def customer_search(customers: DataFrame, q: str) -> DataFrame:
     needle = F.lit(q.strip().lower())
     hit = (F.lower("name").contains(needle) | F.lower("phone_number").contains(needle)
            | F.lower("address").contains(needle))
-    return customers.filter(hit)
+    return customers.filter(hit).orderBy(F.desc("id"))

@@ -17,22 +17,25 @@ from pyspark.sql import functions as F
 
 from kirana.functions.phone import py_strip
 from kirana.operators.scan import running, running_floor_balance, time_bucket
-from kirana.session import checkpoint_dir
+from kirana.session import remove, written
 
 VALID_STATUSES = ["CONFIRMED", "PREPARING", "OUT_FOR_DELIVERY", "DELIVERED", "CANCELLED"]
 
 
 def stock_ledger(moves: DataFrame, opening: DataFrame, order: Sequence[str],
-                 bucket_seconds: int = 86400) -> DataFrame:
-    """Stock after every move where each step is ``max(0, stock + delta)``.
+                 bucket_seconds: int = 86400, floors: Column | None = None) -> DataFrame:
+    """Stock after every move where each step is ``max(0, stock + delta)``
+    (or ``stock + delta`` where ``floors`` is false).  Moves of a product without
+    an opening stay, with no balance and the reason ``unknown product``.
 
     ``moves``: product_id, ts, delta (+ the columns named in ``order``, a
     total order within a product).  ``opening``: product_id, opening.
     """
-    m = moves.join(opening, "product_id")
-    return running_floor_balance(
+    m = moves.join(opening, "product_id", "left")
+    out = running_floor_balance(
         m, ["product_id"], time_bucket(F.col("ts"), bucket_seconds), [F.col(c) for c in order],
-        F.col("opening"), F.col("delta"), "balance")
+        F.col("opening"), F.col("delta"), "balance", floors)
+    return out.withColumn("reason", F.when(F.col("opening").isNull(), F.lit("unknown product")))
 
 
 def ledger_closing(ledger: DataFrame, order: Sequence[str]) -> DataFrame:
@@ -46,22 +49,24 @@ def status_transitions(changes: DataFrame, orders: DataFrame, order: Sequence[st
     """Previous -> new status per change.
 
     ``changes``: order_id, ts, requested (+ ``order`` columns).  Invalid
-    statuses are rejected and do not move the state; a change to the
-    current status is a no-op; every other valid jump is applied.
+    statuses are rejected and do not move the state; a valid change to an
+    unknown order is ``not found``; a change to the current status is a no-op;
+    every other valid jump is applied.  Order ids are compared ``upper(trim)``.
     """
-    c = changes.withColumn("new_status", F.upper(py_strip(F.col("requested"))))
+    c = changes.withColumn("order_id", F.upper(py_strip(F.col("order_id")))).withColumn("new_status", F.upper(py_strip(F.col("requested"))))
     c = c.withColumn("valid", F.col("new_status").isin(*VALID_STATUSES))
     c = c.withColumn("_applied", F.when(F.col("valid"), F.col("new_status")))
     c = running(c, ["order_id"], time_bucket(F.col("ts"), bucket_seconds), [F.col(x) for x in order],
                 {"_prev_applied": ("last", F.col("_applied"))}, inclusive=False)
-    init = orders.select("order_id", F.col("status").alias("_initial"))
+    init = orders.select("order_id", F.col("status").alias("_initial"), F.lit(True).alias("_known"))
     c = c.join(init, "order_id", "left")
-    prev = F.coalesce(F.col("_prev_applied"), F.col("_initial"))
-    outcome = (F.when(~F.col("valid"), F.lit("rejected"))
+    prev = F.when(F.col("_known"), F.coalesce(F.col("_prev_applied"), F.col("_initial")))
+    outcome = (F.when(~F.coalesce("valid", F.lit(False)), F.lit("rejected"))
+               .when(F.col("_known").isNull(), F.lit("not found"))
                .when(prev == F.col("new_status"), F.lit("noop"))
                .otherwise(F.lit("changed")))
     return (c.withColumn("previous_status", prev).withColumn("outcome", outcome)
-            .drop("_applied", "_prev_applied", "_initial"))
+            .drop("_applied", "_prev_applied", "_initial", "_known"))
 
 
 def status_stock_moves(transitions: DataFrame, items: DataFrame) -> DataFrame:
@@ -83,7 +88,7 @@ def apply_status_changes(transitions: DataFrame, items: DataFrame, products: Dat
     """O3: stock per product after replaying the stock effects of the status changes."""
     moves = status_stock_moves(transitions, items)
     opening = products.select(F.col("id").alias("product_id"), F.col("stock_quantity").alias("opening"))
-    led = stock_ledger(moves, opening, ["ts", "order_id", "seq", "delta"], bucket_seconds)
+    led = stock_ledger(moves, opening, ["ts", "order_id", "seq", "delta"], bucket_seconds, F.col("delta") < 0)
     closing = ledger_closing(led, ["ts", "order_id", "seq", "delta"])
     return (opening.join(closing, "product_id", "left")
             .select("product_id", "opening", F.coalesce("closing", "opening").alias("stock"),
@@ -101,7 +106,8 @@ def cancel_orders(requests: DataFrame, orders: DataFrame, items: DataFrame,
     first = (r.groupBy("order_id").agg(F.min(F.struct(*order)).alias("_first")))
     r = r.join(first, "order_id").withColumn("_is_first", F.struct(*order) == F.col("_first"))
     o = orders.select("order_id", "status")
-    units = items.groupBy("order_id").agg(F.sum("quantity").alias("_units"))
+    asked = r.select("order_id").distinct()
+    units = items.join(asked, "order_id", "left_semi").groupBy("order_id").agg(F.sum("quantity").alias("_units"))
     j = r.join(o, "order_id", "left").join(units, "order_id", "left")
     outcome = (F.when(F.col("status").isNull(), F.lit("not found"))
                .when((F.col("status") == "CANCELLED") | ~F.col("_is_first"), F.lit("already cancelled"))
@@ -125,25 +131,26 @@ def restored_stock(cancelled: DataFrame, items: DataFrame, products: DataFrame)
 # ---------------------------------------------------------------------------
 
 def allocate_orders(orders: DataFrame, lines: DataFrame, stock: DataFrame,
-                    order: Sequence[str] = ("created_at", "id"), max_rounds: int = 200,
-                    seq_bucket: int = 4096) -> DataFrame:
+                    order: Sequence[str] = ("created_at", "id"), seq_bucket: int = 4096) -> DataFrame:
     """O1: accept an order iff every line's quantity fits the stock left *when the
     order starts* (each line tested alone); accepted orders take all their lines,
-    rejected ones take nothing.
+    rejected ones take nothing.  An order without lines, or with a line for a
+    product without a stock row, is rejected.
 
     Exact and distributed: each round bounds every open order from the orders
     before it -- ``hi`` = demand of earlier orders not rejected, ``lo`` = demand
     of earlier accepted orders.  ``stock - hi >= qty`` on every line settles it
     as accepted, ``stock - lo < qty`` on some line as rejected.  The earliest
-    open order always settles, so the loop ends; in practice in a few rounds.
-    Each round's state is checkpointed to the shared checkpoint directory.
+    open order always settles, so the loop ends when none is open; there is no
+    other bound on the rounds.  A round keeps the lines of open orders and, for
+    products that these still ask for, those of accepted ones; they are written
+    to the shared checkpoint directory, and the round before is removed.
 
     ``orders``: order_id + ``order`` columns; ``lines``: order_id, product_id,
     quantity; ``stock``: product_id, stock.
     Returns order_id, accepted, reason, round.
     """
     spark = orders.sparkSession
-    checkpoint_dir(spark)
     first = orders.schema[order[0]].dataType.typeName()
     bkt = (time_bucket(F.col(order[0]), 86400) if first in ("timestamp", "timestamp_ntz", "date")
            else F.floor(F.col(order[0]) / seq_bucket))
@@ -152,40 +159,41 @@ def allocate_orders(orders: DataFrame, lines: DataFrame, stock: DataFrame,
     # the sum is what is deducted
     per = (lines.groupBy("order_id", "product_id")
            .agg(F.max("quantity").alias("qmax"), F.sum("quantity").alias("qsum")))
-    per = per.join(seq, "order_id").join(stock, "product_id").checkpoint()
-    state = seq.select("order_id", F.lit("open").alias("state"), F.lit(0).alias("round")).checkpoint()
-    for rnd in range(1, max_rounds + 1):
-        j = per.join(state.select("order_id", "state"), "order_id")
-        j = running(j, ["product_id"], F.col("_b"), [F.col("_o")],
-                    {"hi": ("sum", F.when(F.col("state") != "rejected", F.col("qsum")).otherwise(0)),
-                     "lo": ("sum", F.when(F.col("state") == "accepted", F.col("qsum")).otherwise(0))},
-                    inclusive=False)
-        dec = (j.filter(F.col("state") == "open")
-               .groupBy("order_id")
-               .agg(F.min((F.col("stock") - F.col("hi") >= F.col("qmax")).cast("int")).alias("all_ok"),
-                    F.max((F.col("stock") - F.col("lo") < F.col("qmax")).cast("int")).alias("any_bad")))
-        new_state = F.when(F.col("all_ok") == 1, F.lit("accepted")).when(F.col("any_bad") == 1, F.lit("rejected"))
-        upd = dec.select("order_id", new_state.alias("_new")).filter(F.col("_new").isNotNull())
-        state = (state.join(upd, "order_id", "left")
-                 .select("order_id", F.coalesce("_new", "state").alias("state"),
-                         F.when(F.col("_new").isNotNull(), F.lit(rnd)).otherwise(F.col("round")).alias("round"))
-                 .checkpoint())
-        # orders without lines are accepted trivially in round 1
-        if rnd == 1:
-            has = per.select("order_id").distinct().withColumn("_has", F.lit(True))
-            state = (state.join(has, "order_id", "left")
-                     .select("order_id",
-                             F.when(F.col("_has").isNull() & (F.col("state") == "open"), F.lit("accepted"))
-                              .otherwise(F.col("state")).alias("state"),
-                             F.when(F.col("_has").isNull() & (F.col("state") == "open"), F.lit(1))
-                              .otherwise(F.col("round")).alias("round"))
-                     .checkpoint())
-        if state.filter(F.col("state") == "open").limit(1).count() == 0:
+    per = per.join(seq, "order_id").join(stock, "product_id", "left")
+    per, path = written(per, "allocate-lines")
+    asked = per.groupBy("order_id").agg(F.max(F.col("stock").isNull()).alias("_bad"))
+    decided = (seq.select("order_id").join(asked, "order_id", "left").filter(F.coalesce("_bad", F.lit(True)))
+               .select("order_id", F.when(F.col("_bad"), F.lit("not found")).otherwise(F.lit("no items")).alias("reason"),
+                       F.lit(0).alias("round")))
+    decided, _ = written(decided, "allocate-decided")
+    per = per.join(decided.select("order_id"), "order_id", "left_anti").withColumn("taken", F.lit(False))
+    rnd = 0
+    while True:
+        rnd += 1
+        before = path
+        per, path = written(per, "allocate-lines")
+        remove(spark, before)
+        if not per.filter(~F.col("taken")).limit(1).count():
             break
-    return state.select("order_id", (F.col("state") == "accepted").alias("accepted"),
-                        F.when(F.col("state") == "accepted", F.lit("accepted"))
-                         .otherwise(F.lit("insufficient stock")).alias("reason"),
-                        "round")
+        j = running(per, ["product_id"], F.col("_b"), [F.col("_o")],
+                    {"hi": ("sum", F.col("qsum")),
+                     "lo": ("sum", F.when(F.col("taken"), F.col("qsum")).otherwise(0))},
+                    inclusive=False)
+        dec = (j.filter(~F.col("taken")).groupBy("order_id")
+               .agg(F.min(F.col("stock") - F.col("hi") >= F.col("qmax")).alias("all_ok"),
+                    F.max(F.col("stock") - F.col("lo") < F.col("qmax")).alias("any_bad"))
+               .filter("all_ok or any_bad")
+               .select("order_id", F.when(F.col("all_ok"), F.lit("accepted")).otherwise(F.lit("insufficient stock")).alias("reason"),
+                       F.lit(rnd).alias("round")))
+        dec, _ = written(dec, "allocate-decided")
+        decided = decided.unionByName(dec)
+        if rnd % 16 == 0:  # keeps the plan of the union small
+            decided, _ = written(decided, "allocate-decided")
+        now = per.join(dec.select("order_id", "reason"), "order_id", "left").filter("reason is null or reason = 'accepted'")
+        now = now.withColumn("taken", F.col("taken") | F.col("reason").isNotNull()).drop("reason")
+        wanted = now.filter(~F.col("taken")).select("product_id").distinct()
+        per = now.join(wanted, "product_id", "left_semi")
+    return decided.select("order_id", (F.col("reason") == "accepted").alias("accepted"), "reason", "round")
 
 
 def allocation_stock(decisions: DataFrame, lines: DataFrame, stock: DataFrame) -> DataFrame:

@@ -69,7 +69,7 @@ def running(df: DataFrame, by: Sequence[str], bucket: Column, order: Sequence[Co
         carry_cols.append((agg(s).over(w_b) if agg else F.last(s, ignorenulls=True).over(w_b))
                           .alias(f"_c_{name}"))
     carry = summ.select(*by, "_bkt", *carry_cols)
-    out = local.join(carry, [*by, "_bkt"], "left")
+    out = _with_carry(local, carry, [*by, "_bkt"])
     for name, (kind, _) in specs.items():
         lc, cc = F.col(f"_l_{name}"), F.col(f"_c_{name}")
         if kind in ("sum", "count"):
@@ -85,12 +85,22 @@ def running(df: DataFrame, by: Sequence[str], bucket: Column, order: Sequence[Co
     return out.drop(*drop)
 
 
+def _with_carry(local: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:
+    """Join the state of earlier buckets; a null key or bucket is a value like any other."""
+    other = carry.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    cond = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    return local.join(other, cond, "left").drop(*[f"_k_{k}" for k in keys])
+
+
 def running_floor_balance(df: DataFrame, by: Sequence[str], bucket: Column, order: Sequence[Column],
-                          opening: Column, delta: Column, out: str = "balance") -> DataFrame:
+                          opening: Column, delta: Column, out: str = "balance",
+                          floors: Column | None = None) -> DataFrame:
     """Balance after each step of ``b = max(0, b + delta)`` starting at ``opening``.
 
-    Closed form: with S the running sum of (opening + deltas), the
-    floored balance is ``S - least(0, running min of S)``.  Both running
+    Where ``floors`` is given and false, a step just adds.  Closed form: with S
+    the running sum of (opening + deltas), the floored balance is
+    ``S - least(0, running min of S over the floored steps)``; a negative
+    opening is not floored before the first of them.  Both running
     terms are computed with two-level scans: inside each bucket the local
     prefix sum ``s`` and its running minimum; across buckets the offset
     (sum of earlier bucket totals) and the minimum reached in earlier
@@ -98,11 +108,12 @@ def running_floor_balance(df: DataFrame, by: Sequence[str], bucket: Column, orde
     """
     by = list(by)
     d = (df.withColumn("_bkt", bucket).withColumn("_d", delta.cast("bigint"))
-         .withColumn("_open", opening.cast("bigint")))
+         .withColumn("_open", opening.cast("bigint")).withColumn("_floors", F.lit(True) if floors is None else floors))
     w_loc = Window.partitionBy(*by, "_bkt").orderBy(*order).rowsBetween(UNB, 0)
     d = d.withColumn("_ls", F.sum("_d").over(w_loc))
-    d = d.withColumn("_lmin", F.min("_ls").over(w_loc))
-    summ = d.groupBy(*by, "_bkt").agg(F.sum("_d").alias("_tot"), F.min("_ls").alias("_bmin"),
+    floored = F.when(F.col("_floors"), F.col("_ls"))
+    d = d.withColumn("_lmin", F.min(floored).over(w_loc))
+    summ = d.groupBy(*by, "_bkt").agg(F.sum("_d").alias("_tot"), F.min(floored).alias("_bmin"),
                                       F.first("_open").alias("_o"))
     w_b = Window.partitionBy(*by).orderBy("_bkt")
     prev = w_b.rowsBetween(UNB, -1)
@@ -110,8 +121,8 @@ def running_floor_balance(df: DataFrame, by: Sequence[str], bucket: Column, orde
     # minimum of S reached inside each earlier bucket = its offset + its local minimum
     summ = summ.withColumn("_cmin", F.min(F.col("_off") + F.col("_bmin")).over(prev))
     carry = summ.select(*by, "_bkt", "_off", "_cmin")
-    j = d.join(carry, [*by, "_bkt"], "left")
+    j = _with_carry(d, carry, [*by, "_bkt"])
     s_total = F.col("_off") + F.col("_ls")
-    m = F.least(F.col("_cmin"), F.col("_off") + F.col("_lmin"), F.col("_open"))
+    m = F.least(F.col("_cmin"), F.col("_off") + F.col("_lmin"))
     j = j.withColumn(out, s_total - F.least(F.lit(0), m))
-    return j.drop("_bkt", "_d", "_open", "_ls", "_lmin", "_off", "_cmin")
+    return j.drop("_floors", "_bkt", "_d", "_open", "_ls", "_lmin", "_off", "_cmin")

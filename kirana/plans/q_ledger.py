@@ -34,7 +34,7 @@ CHANGES_SQL = """SELECT 'ORD-' || CAST(l_orderkey AS VARCHAR) AS order_id, l_shi
 FROM lineitem"""
 CH_ORDER = "ts, " + ", ".join(CHANGE_COLS)
 TRANS_SQL = f"""SELECT c.*, coalesce(c.prev_applied, o.status) AS previous_status,
-       CASE WHEN NOT c.valid THEN 'rejected' WHEN coalesce(c.prev_applied, o.status) = c.new_status THEN 'noop'
+       CASE WHEN NOT c.valid THEN 'rejected' WHEN o.order_id IS NULL THEN 'not found' WHEN coalesce(c.prev_applied, o.status) = c.new_status THEN 'noop'
             ELSE 'changed' END AS outcome
 FROM (SELECT *, last_value(CASE WHEN valid THEN new_status END IGNORE NULLS) OVER (
                PARTITION BY order_id ORDER BY {CH_ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
@@ -89,7 +89,7 @@ def q_status_transitions(spark, d):
           FROM mv JOIN v_products p ON p.id = mv.product_id
           WINDOW w AS (PARTITION BY mv.product_id ORDER BY ts, order_id, {', '.join(CHANGE_COLS)}, delta
                        ROWS UNBOUNDED PRECEDING)),
-    f AS (SELECT *, S - least(0, min(S) OVER (PARTITION BY product_id ORDER BY ts, order_id,
+    f AS (SELECT *, S - least(0, min(CASE WHEN delta < 0 THEN S END) OVER (PARTITION BY product_id ORDER BY ts, order_id,
                     {', '.join(CHANGE_COLS)}, delta ROWS UNBOUNDED PRECEDING)) AS bal FROM s),
     c AS (SELECT product_id, max(CASE WHEN rk = 1 THEN bal END) AS closing, count(*) AS n_moves
           FROM f GROUP BY product_id)

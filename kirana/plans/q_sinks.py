@@ -27,7 +27,7 @@ UPSERT_SQL = """
          CASE WHEN p.id IS NOT NULL THEN p.stock_quantity ELSE c.c_stock END AS stock_quantity
   FROM v_products p FULL OUTER JOIN (
     SELECT name, arg_max(category, seq) AS c_category, arg_max(price, seq) AS c_price, arg_max(unit, seq) AS c_unit,
-           arg_max(stock_quantity, seq) AS c_stock FROM v_changes GROUP BY name) c ON c.name = p.name"""
+           arg_min(stock_quantity, seq) AS c_stock FROM v_changes GROUP BY name) c ON c.name = p.name"""
 
 
 def _catalog_changes(spark, d):
@@ -66,8 +66,8 @@ def q_snapshot_diff(spark, d):
 @query("insert_if_absent", """
     SELECT id, phone_number, name, address FROM v_customers
     UNION ALL
-    SELECT NULL AS id, customer_phone, arg_max_null(customer_name, (created_at, id)),
-           arg_max_null(delivery_address, (created_at, id))
+    SELECT NULL AS id, customer_phone, arg_min_null(customer_name, (created_at, id)),
+           arg_min_null(delivery_address, (created_at, id))
     FROM v_orders WHERE customer_phone NOT IN (SELECT phone_number FROM v_customers) GROUP BY customer_phone""")
 def q_insert_if_absent(spark, d):
     t = tb.load(spark, d)
@@ -127,11 +127,11 @@ CRUD_SQL = """
 
 @query("catalog_crud", f"""
     WITH c AS (SELECT *, lower({X.strip("coalesce(name, '')")}) AS k FROM v_crud),
-    fa AS (SELECT k, min(seq) AS first_seq FROM c WHERE op = 'add' GROUP BY k),
+    fa AS (SELECT k, min(seq) AS first_seq FROM c WHERE op = 'add' AND k <> '' AND NOT coalesce(price < 0, false) GROUP BY k),
     j AS (SELECT c.*, c.k IN (SELECT lower(name) FROM v_products) AS ex, c.pid IN (SELECT id FROM v_products) AS known,
                  fa.first_seq FROM c LEFT JOIN fa ON fa.k = c.k),
-    rs AS (SELECT *, CASE WHEN op <> 'delete' AND k = '' THEN 'Product name cannot be empty.'
-                          WHEN op <> 'delete' AND price < 0 THEN 'Price must be non-negative.'
+    rs AS (SELECT *, CASE WHEN op <> 'delete' AND k = '' THEN 'empty name'
+                          WHEN op <> 'delete' AND price < 0 THEN 'negative price'
                           WHEN op = 'add' AND (ex OR seq <> first_seq) THEN 'already exists'
                           WHEN op <> 'add' AND NOT coalesce(known, false) THEN 'not found' END AS r FROM j)
     SELECT op, pid, name, price, seq, r IS NULL AS accepted, coalesce(r, 'ok') AS reason FROM rs""",

@@ -19,19 +19,22 @@ _LOCAL_CHECKPOINT: str | None = None
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app_name: str = "kirana") -> SparkSession:
-    master = master or os.environ.get("KIRANA_MASTER", "local[8]")
-    parts = shuffle_partitions or int(os.environ.get("KIRANA_SHUFFLE_PARTITIONS", "8"))
+    """A session; master, shuffle partitions and driver memory are set only when
+    given here or in the environment, so that a submitted configuration holds."""
+    master = master or os.environ.get("KIRANA_MASTER")
+    parts = shuffle_partitions or os.environ.get("KIRANA_SHUFFLE_PARTITIONS")
+    memory = os.environ.get("KIRANA_DRIVER_MEMORY", "16g" if (master or "").startswith("local") else "")
+    given = {"spark.master": master, "spark.sql.shuffle.partitions": parts, "spark.driver.memory": memory}
     builder = (
-        SparkSession.builder.master(master)
+        SparkSession.builder.config(map={k: str(v) for k, v in given.items() if v})
         .appName(app_name)
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.shuffle.partitions", str(parts))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", os.environ.get("KIRANA_DRIVER_MEMORY", "16g"))
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         # Streaming state for the stateful processors.
         .config("spark.sql.streaming.stateStore.providerClass",
                 "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
@@ -54,6 +57,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir is not set: executors need a folder that all of them share")
     if _LOCAL_CHECKPOINT is None:
         _LOCAL_CHECKPOINT = tempfile.mkdtemp(prefix="kirana-ckpt-")
     spark.conf.set("spark.checkpoint.dir", _LOCAL_CHECKPOINT)
@@ -67,3 +72,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     import uuid
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def written(df, name: str):
+    """Write ``df`` under the shared checkpoint directory and read it back: cuts the
+    lineage, and plans of later rounds start from the size of the files.  (A
+    checkpointed frame keeps the estimate of the plan it came from, which joins
+    multiply from round to round.)  Returns the frame and its path."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete the files of a written frame that is no longer read."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

@@ -19,12 +19,12 @@ from kirana.operators.customers import resolve_customers
 
 def upsert_catalog(products: DataFrame, changes: DataFrame) -> DataFrame:
     """SNK1: changes matched on name overwrite category, price and unit and keep the
-    existing stock; unknown names are inserted with their own stock.  The change
-    set is reduced to its latest row per name (by ``seq``) first."""
-    c = (changes.groupBy("name").agg(F.max_by(F.struct("category", "price", "unit", "stock_quantity"), "seq")
-                                     .alias("_c"))
+    existing stock; an unknown name is inserted with the stock of its first row (by
+    ``seq``), as every later row finds it present, and the rest of its last row."""
+    c = (changes.groupBy("name").agg(F.max_by(F.struct("category", "price", "unit"), "seq").alias("_c"),
+                                     F.min_by(F.struct("stock_quantity"), "seq").alias("_f"))
          .select("name", F.col("_c.category").alias("c_category"), F.col("_c.price").alias("c_price"),
-                 F.col("_c.unit").alias("c_unit"), F.col("_c.stock_quantity").alias("c_stock")))
+                 F.col("_c.unit").alias("c_unit"), F.col("_f.stock_quantity").alias("c_stock")))
     j = products.join(c, "name", "full_outer")
     return j.select(
         F.col("id"), "name",
@@ -36,10 +36,10 @@ def upsert_catalog(products: DataFrame, changes: DataFrame) -> DataFrame:
 
 def insert_if_absent(base: DataFrame, rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     """SNK2: add the rows whose key is new, ignore the rest; among several new rows
-    for one key the latest by ``order`` is inserted (``max_by``, map-side combined)."""
+    for one key the first by ``order`` is inserted (``min_by``, map-side combined)."""
     cols = [c for c in rows.columns if c != key]
     new = (rows.join(base.select(key), key, "left_anti")
-           .groupBy(key).agg(F.max_by(F.struct(*cols), F.struct(*order)).alias("_r"))
+           .groupBy(key).agg(F.min_by(F.struct(*cols), F.struct(*order)).alias("_r"))
            .select(key, *[F.col(f"_r.{c}").alias(c) for c in cols]))
     return base.unionByName(new.select(*[c for c in new.columns if c in base.columns]), allowMissingColumns=True)
 
@@ -88,17 +88,19 @@ def apply_customer_changes(customers: DataFrame, changes: DataFrame, order: list
 def apply_product_changes(products: DataFrame, changes: DataFrame, order: list[str]) -> DataFrame:
     """SNK7: batch catalog CRUD with an accepted / rejected reason per change.
 
-    ``op``: add (rejected when the name exists ignoring case, or earlier in the
-    batch), update (full row by id; rejected for unknown id), delete (by id;
-    rejected for unknown id).  Empty names and negative prices are rejected."""
+    ``op``: add (rejected when the name exists ignoring case, or in an earlier
+    valid add of the batch), update (full row by id; rejected for unknown id), delete (by id;
+    rejected for unknown id).  Empty or null names and negative prices are rejected."""
     c = changes.withColumn("_seq", F.struct(*order)).withColumn("_key", F.lower(py_strip(F.col("name"))))
     names = products.select(F.lower("name").alias("_key")).distinct().withColumn("_exists", F.lit(True))
     ids = products.select(F.col("id").alias("pid"), F.lit(True).alias("_known"))
-    first_add = (c.filter(F.col("op") == "add").groupBy("_key").agg(F.min("_seq").alias("_first")))
+    empty = F.coalesce(F.col("_key"), F.lit("")) == ""
+    negative = F.coalesce(F.col("price") < 0, F.lit(False))
+    first_add = (c.filter((F.col("op") == "add") & ~empty & ~negative).groupBy("_key").agg(F.min("_seq").alias("_first")))
     j = (c.join(names, "_key", "left").join(ids, "pid", "left").join(first_add, "_key", "left"))
-    bad_row = (F.col("op") != "delete") & ((F.col("_key") == "") | (F.col("price") < 0))
-    reason = (F.when(bad_row & (F.col("_key") == ""), F.lit("Product name cannot be empty."))
-              .when(bad_row, F.lit("Price must be non-negative."))
+    written = F.col("op") != "delete"
+    reason = (F.when(written & empty, F.lit("empty name"))
+              .when(written & negative, F.lit("negative price"))
               .when((F.col("op") == "add") & (F.coalesce("_exists", F.lit(False)) | (F.col("_seq") != F.col("_first"))),
                     F.lit("already exists"))
               .when((F.col("op") != "add") & F.col("_known").isNull(), F.lit("not found")))

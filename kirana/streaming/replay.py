@@ -27,7 +27,7 @@ def replay_files(df: DataFrame, ts_col: str, n_files: int = 4, flush_days: int =
     data = df.withColumn("_flush", F.lit(False))
     # slice bounds from approximate quantiles (n_files - 1 numbers on the driver)
     micros = data.select(F.unix_micros(F.col(ts_col)).alias("_us"))
-    qs = micros.approxQuantile("_us", [i / n_files for i in range(1, n_files)], 0.0) if n_files > 1 else []
+    qs = micros.approxQuantile("_us", [i / n_files for i in range(1, n_files)], 0.01) if n_files > 1 else []
     bounds = [None] + [int(q) for q in qs] + [None]
     for i in range(n_files):
         lo, hi = bounds[i], bounds[i + 1]
@@ -37,6 +37,8 @@ def replay_files(df: DataFrame, ts_col: str, n_files: int = 4, flush_days: int =
             cond = cond & (us > F.lit(lo))
         if hi is not None:
             cond = cond & (us <= F.lit(hi))
+        if lo is None:  # rows without a timestamp go with the first slice
+            cond = cond | us.isNull()
         # one file per slice so each micro-batch is one time slice (test replays only)
         data.filter(cond).coalesce(1).write.mode("append").parquet(root)
         time.sleep(1.1)  # distinct modification times: the file source orders files by them

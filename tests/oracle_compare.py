@@ -88,7 +88,7 @@ if __name__ == "__main__":
     from kirana.session import get_spark
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     keys = sys.argv[2:]
-    spark = get_spark()
+    spark = get_spark(master="local[8]", shuffle_partitions=8)
     from kirana.plans.catalog import all_queries
     con = duck(sf)
     keys = keys or list(all_queries())
