@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from kirana.llm import toxicity
 from kirana.llm.bpe_codec import encode_decode
 from kirana.llm.exact_dedup import exact_groups
+from kirana.llm.licenses import license_blocks
 from kirana.llm.minhash import near_groups
 from kirana.llm.mixing import mix
+from kirana.llm.pseudonyms import pseudonymised
 from kirana.llm.suffix_dedup import without_repeats
 from kirana.llm.token_counts import token_counts
 from kirana.llm.topk import top_k
@@ -42,6 +44,14 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"), give=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymised(documents(spark, sf_dir))
+
+
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_blocks(documents(spark, sf_dir))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return toxicity.score(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -70,6 +80,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_bpe": op3_bpe,
+    "op4_pii": op4_pii,
+    "op5_licenses": op5_licenses,
     "op6_toxicity": op6_toxicity,
     "op7_mix": op7_mix,
     "op8_token_counts": op8_token_counts,
