@@ -1,18 +1,19 @@
-"""Catalog search and item-name resolution.
+"""Catalog search and item-name resolution (S8, S9, J12, J4, K2, K3, A5 by name).
 
 The reference builds ``LOWER(name) LIKE '%term%' OR ...`` per query.  Here
 a whole table of queries is matched at once:
 
-* synonym triggers are found with a broadcast join against the fixed,
-  bounded dictionary (``contains`` on the query);
-* terms are matched to product names with an **n-gram equi-join**: a term
-  of length L is a substring of a name only if the name contains the
-  term's first min(3, L) characters, so terms join the distinct names'
-  1-3-grams on that prefix (a hash join, AQE splits hot grams) and the
-  candidates are verified with ``contains``.  No term x name cross
-  product is formed;
-* top-k per query uses a salted two-stage ``row_number`` so a query with
-  a huge candidate set is ranked in parallel.
+* substrings are found with an **n-gram equi-join**: a needle of length L is
+  inside a text only if the text contains the needle's first min(3, L)
+  characters, so needles join the distinct texts' 1-3-grams on that prefix
+  (a hash join, AQE splits hot grams) and the candidates are verified with
+  ``contains``.  No needle x text cross product is formed.  Terms are found
+  in product names this way, and synonym triggers in queries;
+* products of one name and category are one catalog entry until the end, and
+  a term keeps its first ``k`` entries before it meets the queries, so what is
+  ranked per query does not grow with the catalog;
+* the first ``k`` per group is ``row_number() <= k``, which Spark cuts to ``k``
+  rows a group in every task before the shuffle.
 """
 
 from __future__ import annotations
@@ -24,20 +25,16 @@ from pyspark.sql import functions as F
 
 from kirana.functions.phone import py_strip
 from kirana.functions.text import CATEGORY_WORDS, search_terms, search_tokens, significant_tokens
+from kirana.operators.orders import stock_check
+from kirana.session import written
 
 GRAM = 3
 
 
 def topk_per_group(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int,
-                   salt_col: Column | None = None, salt_buckets: int = 16, rank_col: str = "rank") -> DataFrame:
-    """Top ``k`` rows per group by ``order``; stage 1 ranks inside (group, salt)
-    buckets and keeps k per bucket, stage 2 ranks the at most k*buckets
-    survivors of each group."""
-    salt = salt_col if salt_col is not None else F.lit(0)
-    s1 = (df.withColumn("_salt", F.pmod(F.hash(salt), F.lit(salt_buckets)))
-          .withColumn("_r1", F.row_number().over(Window.partitionBy(*by, "_salt").orderBy(*order)))
-          .filter(F.col("_r1") <= k).drop("_r1", "_salt"))
-    return (s1.withColumn(rank_col, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+                   rank_col: str = "rank") -> DataFrame:
+    """Top ``k`` rows per group by ``order``, ranked from 1."""
+    return (df.withColumn(rank_col, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
             .filter(F.col(rank_col) <= k))
 
 
@@ -61,7 +58,6 @@ def substring_pairs(terms: DataFrame, names: DataFrame, term_col: str = "term",
     t = terms.select(term_col).distinct().filter(F.length(term_col) > 0)
     t = t.select(term_col, F.least(F.length(term_col), F.lit(GRAM)).alias("_n"),
                  F.substring(F.col(term_col), 1, GRAM).alias("_gram"))
-    t = t.withColumn("_gram", F.expr(f"substring({term_col}, 1, _n)"))
     g = name_grams(names.select(name_col).distinct(), name_col)
     return (t.join(g, ["_n", "_gram"])
             .filter(F.col(name_col).contains(F.col(term_col)))
@@ -72,16 +68,15 @@ def expand_terms(queries: DataFrame, synonyms: DataFrame, qid: str = "qid", text
     """S8 + S9 + X1: per query the cleaned text and the ordered, de-duplicated
     term list (synonym terms in dictionary order, then the query's words)."""
     q = queries.select(qid, text, F.lower(py_strip(F.col(text))).alias("clean_q"))
-    hits = (q.join(F.broadcast(synonyms), F.col("clean_q").contains(F.col("trigger")))
-            .groupBy(qid).agg(F.sort_array(F.collect_list(F.struct("pos", "terms"))).alias("_syn")))
-    q = q.join(hits, qid, "left")
+    hits = (substring_pairs(synonyms, q, "trigger", "clean_q").join(synonyms, "trigger")
+            .groupBy("clean_q").agg(F.sort_array(F.collect_list(F.struct("pos", "terms"))).alias("_syn")))
+    q = q.join(hits, "clean_q", "left")
     syn_terms = F.flatten(F.transform(F.coalesce("_syn", F.array().cast("array<struct<pos:int,terms:array<string>>>")),
                                       lambda s: s["terms"]))
     words = search_terms(F.col("clean_q"))
     strict = F.filter(words, lambda w: F.length(w) > 1)
     syn_n = F.size(syn_terms)
-    terms = F.array_distinct(F.concat(syn_terms, F.when((syn_n > 0) & (F.size(strict) > 0), strict)
-                                      .when(syn_n > 0, strict).otherwise(words)))
+    terms = F.array_distinct(F.concat(syn_terms, F.when(syn_n > 0, strict).otherwise(words)))
     return q.select(qid, text, "clean_q", terms.alias("terms"))
 
 
@@ -94,24 +89,48 @@ def search_catalog(queries: DataFrame, products: DataFrame, synonyms: DataFrame,
     other (3), then name, then id; top ``k`` per query.  Queries with terms
     but no match get the first ``fallback_n`` in-stock products, queries with
     no terms the first ``default_n`` (ids ascending, ``match='fallback'`` /
-    ``'default'``)."""
-    ex = expand_terms(queries, synonyms, qid, text)
-    qt = ex.select(qid, "clean_q", F.explode("terms").alias("term"))
-    p = (products.filter(F.col("stock_quantity") > 0)
-         .select("id", "name", "category", F.lower("name").alias("name_key"),
-                 F.lower("category").alias("cat_key")))
-    by_name = substring_pairs(qt, p, "term", "name_key")
+    ``'default'``).
+
+    An entry is a (name, category) with its smallest id.  A query's first ``k``
+    products lie in its first ``k`` entries, and those are among the first
+    ``k`` of each of its terms (rank 3: all entries of the term that come
+    earlier are hits too) or the first ``k`` that contain the whole query."""
+    # the terms are used in several branches: written once, under the shared checkpoint folder
+    ex, _ = written(expand_terms(queries, synonyms, qid, text), "search-terms")
+    p = products.filter(F.col("stock_quantity") > 0).select("id", "name", "category")
+    entries = (p.groupBy("name", "category").agg(F.min("id").alias("first_id"))
+               .withColumns({"name_key": F.lower("name"), "cat_key": F.lower("category")}))
     cats = F.array(*[F.lit(c) for c in CATEGORY_WORDS])
+    cols = ["name", "category", "name_key", "first_id"]
+
+    # the first k entries of each distinct term, by name and by category
+    qt = ex.select(qid, "clean_q", F.explode("terms").alias("term"))
     cat_terms = qt.filter(F.array_contains(cats, F.col("term")))
-    by_cat = substring_pairs(cat_terms, p.select(F.col("cat_key").alias("name_key")), "term", "name_key")
-    hit_name = qt.join(by_name, "term").join(p, "name_key").select(qid, "clean_q", "id", "name", "name_key")
-    hit_cat = (cat_terms.join(by_cat.withColumnRenamed("name_key", "cat_key"), "term")
-               .join(p, "cat_key").select(qid, "clean_q", "id", "name", "name_key"))
-    hits = hit_name.unionByName(hit_cat).distinct()
+    by_name = substring_pairs(qt, entries).join(entries, "name_key").select("term", *cols)
+    by_cat = substring_pairs(cat_terms, entries, "term", "cat_key").join(entries, "cat_key").select("term", *cols)
+    by_term_order = [F.col("name"), F.col("first_id")]
+    per_term = topk_per_group(by_name, ["term"], by_term_order, k).unionByName(
+        topk_per_group(by_cat, ["term"], by_term_order, k))
+    by_terms = qt.join(per_term, "term").select(qid, "clean_q", *cols)
+
+    # the first k entries whose name holds the whole query, hits by its terms
+    phrases = ex.select("clean_q", "terms").distinct()
+    is_hit = F.exists("terms", lambda t: F.col("name_key").contains(t)
+                      | (F.array_contains(cats, t) & F.coalesce(F.col("cat_key").contains(t), F.lit(False))))
+    whole = (substring_pairs(phrases, entries, "clean_q", "name_key").join(phrases, "clean_q")
+             .join(entries, "name_key").filter(is_hit))
+    whole = topk_per_group(whole, ["clean_q"], [~F.col("name_key").startswith(F.col("clean_q")), *by_term_order], k)
+    by_phrase = ex.select(qid, "clean_q").join(whole.select("clean_q", *cols), "clean_q")
+
     rank_case = (F.when(F.col("name_key").startswith(F.col("clean_q")), 1)
                  .when(F.col("name_key").contains(F.col("clean_q")), 2).otherwise(3))
-    ranked = topk_per_group(hits.withColumn("match_rank", rank_case), [qid],
-                            [F.col("match_rank"), F.col("name"), F.col("id")], k, salt_col=F.col("id"))
+    cand = by_terms.unionByName(by_phrase.select(qid, "clean_q", *cols)).distinct()
+    cand = topk_per_group(cand.withColumn("match_rank", rank_case), [qid],
+                          [F.col("match_rank"), *by_term_order], k)
+    ids = topk_per_group(p, ["name", "category"], [F.col("id")], k).select(
+        "id", F.col("name").alias("_n"), F.col("category").alias("_c"))
+    hits = cand.drop("rank").join(ids, F.col("name").eqNullSafe(F.col("_n")) & F.col("category").eqNullSafe(F.col("_c")))
+    ranked = topk_per_group(hits, [qid], [F.col("match_rank"), F.col("name"), F.col("id")], k)
     found = ranked.select(qid, "rank", "id", "name", F.lit("match").alias("match"))
     # fallbacks: a bounded (<= default_n rows) listing attached to the queries without results
     in_stock = p.select("id", "name").orderBy("id").limit(max(fallback_n, default_n))
@@ -135,51 +154,64 @@ def resolve_products(lines: DataFrame, products: DataFrame, synonyms: DataFrame,
     4 first catalog-search result (a real match; the reference's arbitrary
     in-stock fallback only with ``strict_reference``); 5 any significant
     token, most stock then id.  Work for tiers 2-5 is done once per distinct
-    requested name and joined back.
+    requested name, against one row per product name, and joined back; the
+    catalog search runs for the names that tiers 2 and 3 leave open.
     """
     p = products.select(F.col("id").alias("_pid"), F.col("name").alias("_pname"),
                         F.lower("name").alias("name_key"), F.col("stock_quantity").alias("_stock"))
+    per_name = p.groupBy("name_key").agg(
+        F.min("_pid").alias("_first"),
+        F.min(F.struct((-F.col("_stock")).alias("_s"), F.col("_pid"))).alias("_most"))
     ln = lines.select(key, F.col(name_col).alias("_req"), F.col(id_col).alias("_rid"))
     # tier 1
-    t1 = ln.join(p, ln["_rid"] == p["_pid"]).select(key, "_pid", F.lit(1).alias("tier"), F.lit(0).alias("_r"))
+    t1 = ln.join(p, ln["_rid"] == p["_pid"]).select(key, "_pid", F.lit(1).alias("tier"))
     # distinct requested names
     names = ln.select(py_strip(F.col("_req")).alias("req")).filter(F.col("req") != "").distinct()
     names = names.withColumn("req_key", F.lower("req"))
     # tier 2: exact CI name
-    t2 = (names.join(p, names["req_key"] == p["name_key"]).groupBy("req")
-          .agg(F.min("_pid").alias("_pid")).select("req", "_pid", F.lit(2).alias("tier"), F.lit(0).alias("_r")))
-    # tier 3: every significant token contained
-    toks = (names.select("req", "req_key", significant_tokens(F.col("req")).alias("_toks"))
-            .filter(F.size("_toks") > 0))
-    tok = toks.select("req", "req_key", F.size("_toks").alias("_nt"),
-                      F.explode(F.array_distinct(F.transform("_toks", lambda t: F.lower(t)))).alias("term"))
-    ntok = tok.groupBy("req").agg(F.count(F.lit(1)).alias("_nd"))
-    pairs = substring_pairs(tok, p, "term", "name_key")
-    tok_hits = tok.join(pairs, "term")
-    all_in = (tok_hits.groupBy("req", "req_key", "name_key").agg(F.count(F.lit(1)).alias("_m"))
-              .join(ntok, "req").filter(F.col("_m") == F.col("_nd")).join(p, "name_key"))
+    t2 = (names.join(per_name, names["req_key"] == per_name["name_key"])
+          .select("req", F.col("_first").alias("_pid"), F.lit(2).alias("tier")))
+    # tiers 3 and 5: the significant tokens a product name holds, all or any
+    toks = names.select("req", "req_key", significant_tokens(F.col("req")).alias("_toks"))
+    words = F.array_distinct(F.transform("_toks", lambda t: F.lower(t)))
+    tok = toks.select("req", "req_key", F.size("_toks").alias("_nt"), F.size(words).alias("_nd"),
+                      F.explode(words).alias("term"))
+    held = (tok.join(substring_pairs(tok, per_name), "term")
+            .groupBy("req", "req_key", "_nt", "_nd", "name_key").agg(F.count(F.lit(1)).alias("_m"))
+            .join(per_name, "name_key"))
     r3 = (F.when(F.col("name_key") == F.col("req_key"), 1)
           .when(F.col("name_key").contains(F.col("req_key")), 2).otherwise(3))
-    t3 = (all_in.groupBy("req").agg(F.min(F.struct(r3.alias("_r"), F.col("_pid"))).alias("_b"))
-          .select("req", F.col("_b._pid").alias("_pid"), F.lit(3).alias("tier"), F.col("_b._r").alias("_r")))
-    # tier 4: first catalog search result
-    sq = names.select(F.col("req").alias("qid"), F.col("req").alias("query"))
-    sr = search_catalog(sq, products, synonyms)
+    by_tokens = held.groupBy("req").agg(
+        F.min(F.when(F.col("_m") == F.col("_nd"), F.struct(r3.alias("_r"), F.col("_first").alias("_pid")))).alias("_all"),
+        F.min(F.when(F.col("_nt") > 1, F.col("_most"))).alias("_any"))
+    t35 = by_tokens.select(
+        "req", F.coalesce("_all._pid", "_any._pid").alias("_pid"),
+        F.when(F.col("_all").isNotNull(), 3).otherwise(5).alias("tier")).filter(F.col("_pid").isNotNull())
+    # tier 4: first catalog search result, for names without a better tier
+    settled = t2.select("req").unionByName(t35.filter("tier = 3").select("req"))
+    sq = names.join(settled, "req", "left_anti").select(F.col("req").alias("qid"), F.col("req").alias("query"))
+    sr = search_catalog(sq, products, synonyms, k=1)
     if not strict_reference:
         sr = sr.filter(F.col("match") == "match")
     t4 = sr.filter(F.col("rank") == 1).select(F.col("qid").alias("req"), F.col("id").alias("_pid"),
-                                              F.lit(4).alias("tier"), F.lit(0).alias("_r"))
-    # tier 5: any token, most stock, then id (only names with 2+ tokens)
-    any_hit = tok_hits.filter(F.col("_nt") > 1).select("req", "name_key").distinct().join(p, "name_key")
-    t5 = (any_hit.groupBy("req").agg(F.min(F.struct((-F.col("_stock")).alias("_s"), F.col("_pid"))).alias("_b"))
-          .select("req", F.col("_b._pid").alias("_pid"), F.lit(5).alias("tier"), F.lit(0).alias("_r")))
-    by_name = t2.unionByName(t3).unionByName(t4).unionByName(t5)
-    best_name = by_name.groupBy("req").agg(F.min(F.struct("tier", "_pid")).alias("_b"))
+                                              F.lit(4).alias("tier"))
+    best_name = (t2.unionByName(t35).unionByName(t4).groupBy("req")
+                 .agg(F.min(F.struct("tier", "_pid")).alias("_b")))
     ln2 = ln.withColumn("req", py_strip(F.col("_req")))
     via_name = ln2.join(best_name, "req").select(key, F.col("_b._pid").alias("_pid"), F.col("_b.tier").alias("tier"))
-    best = (t1.select(key, "_pid", "tier").unionByName(via_name)
-            .groupBy(key).agg(F.min(F.struct("tier", "_pid")).alias("_b")))
+    best = t1.unionByName(via_name).groupBy(key).agg(F.min(F.struct("tier", "_pid")).alias("_b"))
     res = ln.join(best, key, "left").select(key, F.col("_b._pid").alias("matched_id"),
                                             F.col("_b.tier").alias("match_tier"))
     return res.join(p.select(F.col("_pid").alias("matched_id"), F.col("_pname").alias("matched_name"),
                              F.col("_stock").alias("available")), "matched_id", "left")
+
+
+def stock_check_by_name(requests: DataFrame, products: DataFrame, synonyms: DataFrame, key: str = "line_id",
+                        name_col: str = "name", id_col: str = "product_id", qty_col: str = "quantity",
+                        floor_one: bool = False) -> DataFrame:
+    """A5 for spoken names: each request's product is found as in J4, then requested
+    and available units are compared; ``reason`` is "not found" for unknown names."""
+    found = resolve_products(requests, products, synonyms, key, name_col, id_col)
+    asked = requests.select(key, F.col(name_col).alias("requested_name"), F.col(qty_col).alias("quantity"))
+    asked = asked.join(found.select(key, F.col("matched_id").alias("product_id"), "match_tier"), key, "left")
+    return stock_check(asked, products, "quantity", floor_one)

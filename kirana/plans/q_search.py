@@ -118,12 +118,30 @@ RESOLVE_SQL = "WITH " + search_sql("v_rq") + f""",
     FROM r LEFT JOIN best b ON b.line_id = r.line_id LEFT JOIN p ON p.id = b.matched_id"""
 
 
-@query("resolve_products", RESOLVE_SQL, ctes={
+RESOLVE_CTES = {
     "v_requests": REQ_SQL, "v_synonyms": SYN_SQL,
     "v_rq": "SELECT DISTINCT regexp_replace(name, '^\\s+|\\s+$', '', 'g') AS qid, "
-            "regexp_replace(name, '^\\s+|\\s+$', '', 'g') AS query FROM v_requests"})
+            "regexp_replace(name, '^\\s+|\\s+$', '', 'g') AS query FROM v_requests"}
+
+
+@query("resolve_products", RESOLVE_SQL, ctes=RESOLVE_CTES)
 def q_resolve_products(spark, d):
     t = tb.load(spark, d)
     res = se.resolve_products(_requests(spark, d), t.products, synonyms_frame(spark, TEST_SYNONYMS))
     return res.select("line_id", "matched_id", F.col("match_tier").cast("int").alias("match_tier"),
                       "matched_name", "available")
+
+
+@query("stock_check_by_name", """
+    SELECT v.line_id, v.matched_id AS product_id, v.match_tier, 2 * length(v.line_id) AS requested,
+           v.matched_name AS product_name, v.available,
+           coalesce(v.available >= 2 * length(v.line_id), false) AS in_stock,
+           greatest(0, 2 * length(v.line_id) - v.available) AS shortfall
+    FROM v_resolution v""", ctes={**RESOLVE_CTES, "v_resolution": RESOLVE_SQL})
+def q_stock_check_by_name(spark, d):
+    t = tb.load(spark, d)
+    asked = _requests(spark, d).withColumn("quantity", (2 * F.length("line_id")).cast("string"))
+    return se.stock_check_by_name(asked, t.products, synonyms_frame(spark, TEST_SYNONYMS)).select(
+        "line_id", "product_id", F.col("match_tier").cast("int").alias("match_tier"),
+        F.col("requested").cast("bigint").alias("requested"), "product_name", "available", "in_stock",
+        F.col("shortfall").cast("bigint").alias("shortfall"))
