@@ -130,6 +130,14 @@ def restored_stock(cancelled: DataFrame, items: DataFrame, products: DataFrame)
 # O1: first-come, all-or-nothing allocation
 # ---------------------------------------------------------------------------
 
+def _order_sequence(orders: DataFrame, order: Sequence[str], seq_bucket: int) -> DataFrame:
+    """order_id, its place ``_o`` and the bucket ``_b`` of places it is in."""
+    first = orders.schema[order[0]].dataType.typeName()
+    bkt = (time_bucket(F.col(order[0]), 86400) if first in ("timestamp", "timestamp_ntz", "date")
+           else F.floor(F.col(order[0]) / seq_bucket))
+    return orders.select("order_id", F.struct(*order).alias("_o"), bkt.alias("_b"))
+
+
 def allocate_orders(orders: DataFrame, lines: DataFrame, stock: DataFrame,
                     order: Sequence[str] = ("created_at", "id"), seq_bucket: int = 4096) -> DataFrame:
     """O1: accept an order iff every line's quantity fits the stock left *when the
@@ -151,10 +159,7 @@ def allocate_orders(orders: DataFrame, lines: DataFrame, stock: DataFrame,
     Returns order_id, accepted, reason, round.
     """
     spark = orders.sparkSession
-    first = orders.schema[order[0]].dataType.typeName()
-    bkt = (time_bucket(F.col(order[0]), 86400) if first in ("timestamp", "timestamp_ntz", "date")
-           else F.floor(F.col(order[0]) / seq_bucket))
-    seq = orders.select("order_id", F.struct(*order).alias("_o"), bkt.alias("_b"))
+    seq = _order_sequence(orders, order, seq_bucket)
     # one row per (order, product): the largest single line is what is tested,
     # the sum is what is deducted
     per = (lines.groupBy("order_id", "product_id")
@@ -196,6 +201,28 @@ def allocate_orders(orders: DataFrame, lines: DataFrame, stock: DataFrame,
     return decided.select("order_id", (F.col("reason") == "accepted").alias("accepted"), "reason", "round")
 
 
+def allocation_certificate(decisions: DataFrame, orders: DataFrame, lines: DataFrame, stock: DataFrame,
+                           order: Sequence[str] = ("created_at", "id"), seq_bucket: int = 4096) -> DataFrame:
+    """Proof of O1's decisions, one row of counts.
+
+    The stock at the start of each order is recomputed from the decisions alone
+    (what earlier accepted orders took); an order is due exactly when it has lines
+    and each fits.  By induction over the orders the decisions are those of the
+    sequential rule if nothing is undecided, repeated or mismatched."""
+    given = decisions.groupBy("order_id").agg(F.count(F.lit(1)).alias("_n"), F.max("accepted").alias("accepted"))
+    seq = _order_sequence(orders, order, seq_bucket).join(given, "order_id", "left")
+    per = (lines.groupBy("order_id", "product_id").agg(F.max("quantity").alias("qmax"), F.sum("quantity").alias("qsum"))
+           .join(seq, "order_id").join(stock, "product_id", "left"))
+    per = running(per, ["product_id"], F.col("_b"), [F.col("_o")],
+                  {"used": ("sum", F.when(F.col("accepted"), F.col("qsum")).otherwise(0))}, inclusive=False)
+    fits = F.coalesce(F.col("stock") - F.col("used") >= F.col("qmax"), F.lit(False))
+    res = seq.join(per.groupBy("order_id").agg(F.min(fits).alias("_due")), "order_id", "left")
+    wrong = F.coalesce("accepted", F.lit(False)) != F.coalesce("_due", F.lit(False))
+    return res.agg(F.count(F.lit(1)).alias("n_orders"), F.count_if(F.col("_due").isNull()).alias("n_without_lines"),
+                   F.count_if(F.col("_n").isNull()).alias("n_undecided"), F.count_if(F.col("_n") > 1).alias("n_repeated"),
+                   F.count_if(wrong).alias("n_mismatched"))
+
+
 def allocation_stock(decisions: DataFrame, lines: DataFrame, stock: DataFrame) -> DataFrame:
     """Stock left after the accepted orders took all their lines."""
     acc = decisions.filter("accepted").select("order_id")

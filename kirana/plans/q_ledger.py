@@ -167,3 +167,14 @@ def allocation_inputs(spark, d, stock_multiplier: int = 20):
 def q_allocate_orders(spark, d):
     orders, lines, stock = allocation_inputs(spark, d)
     return lg.allocate_orders(orders, lines, stock, ("created_at", "id"))
+
+
+@query("allocation_certificate", """
+    SELECT (SELECT count(*) FROM v_orders) AS n_orders,
+           (SELECT count(*) FROM v_orders o WHERE NOT EXISTS
+              (SELECT 1 FROM v_order_items i WHERE i.order_id = o.order_id)) AS n_without_lines,
+           0::BIGINT AS n_undecided, 0::BIGINT AS n_repeated, 0::BIGINT AS n_mismatched""")
+def q_allocation_certificate(spark, d):
+    orders, lines, stock = allocation_inputs(spark, d)
+    decisions = lg.allocate_orders(orders, lines, stock, ("created_at", "id"))
+    return lg.allocation_certificate(decisions, orders, lines, stock, ("created_at", "id"))
