@@ -20,10 +20,6 @@ from kirana.operators.scan import running, time_bucket
 HOUR = 3600
 
 
-def _secs(c):
-    return F.unix_micros(c) / F.lit(1_000_000.0)
-
-
 def _elapsed_us(later, earlier):
     """Exact elapsed microseconds (integer arithmetic, no float rounding)."""
     return F.unix_micros(later) - F.unix_micros(earlier)
@@ -146,13 +142,16 @@ def call_orders(calls: DataFrame, orders: DataFrame) -> DataFrame:
 
 def asof_orders(calls: DataFrame, orders: DataFrame, call_phone: str = "caller_phone",
                 order_phone: str = "customer_phone", tolerance_seconds: float | None = None,
-                bucket_seconds: int = 30 * 86400) -> DataFrame:
+                bucket_seconds: int = 30 * 86400, forward: bool = False) -> DataFrame:
     """For each call, the latest order by the same normalised phone placed at or
-    before the call start (within ``tolerance_seconds`` when given).
+    before the call start; with ``forward`` the earliest at or after it (within
+    ``tolerance_seconds`` when given).  Of orders at one time the larger id
+    counts as later.
 
     Calls and orders are unioned into one timeline per phone and the latest
-    order is carried forward with a running ``last`` -- no pairs are formed, so
-    a phone with many calls and many orders stays linear."""
+    order is carried forward with a running ``last`` (``forward``: the timeline
+    runs backwards) -- no pairs are formed, so a phone with many calls and many
+    orders stays linear."""
     c = with_phone_keys(calls, call_phone, "_c").select(
         F.col("_c_norm").alias("_key"), F.col("call_sid"), F.col("started_at").alias("_ts"),
         F.lit(1).alias("_side"), F.lit(None).cast("string").alias("_oid"),
@@ -161,9 +160,14 @@ def asof_orders(calls: DataFrame, orders: DataFrame, call_phone: str = "caller_p
         F.col("_o_norm").alias("_key"), F.lit(None).cast("string").alias("call_sid"),
         F.col("created_at").alias("_ts"), F.lit(0).alias("_side"), F.col("order_id").alias("_oid"),
         F.col("created_at").alias("_ots"))
+    if forward:  # of orders at one time the earliest counts
+        o = (o.groupBy("_key", "_ts").agg(F.min("_oid").alias("_oid"))
+             .select("_key", F.lit(None).cast("string").alias("call_sid"), "_ts", F.lit(0).alias("_side"), "_oid",
+                     F.col("_ts").alias("_ots")))
     tl = c.unionByName(o).filter(F.col("_key") != "")
-    tl = running(tl, ["_key"], time_bucket(F.col("_ts"), bucket_seconds),
-                 [F.col("_ts"), F.col("_side"), F.col("_oid"), F.col("call_sid")],
+    way = F.lit(-1 if forward else 1)
+    tl = running(tl, ["_key"], way * time_bucket(F.col("_ts"), bucket_seconds),
+                 [way * F.unix_micros("_ts"), F.col("_side"), F.col("_oid"), F.col("call_sid")],
                  {"_last": ("last", F.when(F.col("_side") == 0, F.struct("_ots", "_oid")))}, inclusive=True)
     # a call without a phone number has no order
     lone = c.filter(F.coalesce("_key", F.lit("")) == "").select(
@@ -172,7 +176,7 @@ def asof_orders(calls: DataFrame, orders: DataFrame, call_phone: str = "caller_p
     hit = tl.filter(F.col("_side") == 1)
     ok = F.col("_last").isNotNull()
     if tolerance_seconds is not None:
-        ok = ok & (_elapsed_us(F.col("_ts"), F.col("_last._ots")) <= _us(tolerance_seconds))
+        ok = ok & (F.abs(_elapsed_us(F.col("_ts"), F.col("_last._ots"))) <= _us(tolerance_seconds))
     return hit.select("call_sid", F.col("_ts").alias("started_at"),
                       F.when(ok, F.col("_last._oid")).alias("order_id"),
                       F.when(ok, F.col("_last._ots")).alias("order_created_at")).unionByName(lone)
@@ -208,6 +212,22 @@ def transcripts(turns: DataFrame, bucket_turns: int = 1024) -> DataFrame:
                     "chars_so_far": ("sum", F.col("_len"))}, inclusive=True).drop("_len")
 
 
+def assemble_transcripts(turns: DataFrame, block_turns: int = 1024) -> DataFrame:
+    """The text of each conversation, a ``role: text`` line per turn in order, with counts.
+
+    One row per conversation and block of ``block_turns`` turn numbers, so that a
+    row stays bounded however long a conversation is; the blocks in order are the
+    whole.  Null roles and texts count as empty, turns of one number go by role
+    and text."""
+    said = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    line = F.transform("_said", lambda t: F.concat(t["role"], F.lit(": "), t["text"]))
+    return (turns.groupBy("conv_id", F.floor(F.col("turn") / block_turns).alias("block"))
+            .agg(F.sort_array(F.collect_list(said)).alias("_said"), F.count(F.lit(1)).alias("n_turns"),
+                 F.count_if(F.col("role") == "user").alias("user_turns"),
+                 F.count_if(F.col("role") == "assistant").alias("assistant_turns"))
+            .select("conv_id", "block", "n_turns", "user_turns", "assistant_turns", F.array_join(line, "\n").alias("text")))
+
+
 def cumulative_cart(lines: DataFrame, by: list[str], order: list[str], ts: str,
                     bucket_seconds: int = 30 * 86400) -> DataFrame:
     """Running quantity per (caller, product) over the turns / orders."""

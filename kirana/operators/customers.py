@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kirana.functions.phone import normalize_phone, with_history_candidates, with_phone_candidates
+from kirana.operators.orders import nested_lines
 
 
 def _candidate_hits(calls: DataFrame, customers: DataFrame, key: str, phone_col: str) -> DataFrame:
@@ -56,18 +57,23 @@ def unregistered_callers(calls: DataFrame, customers: DataFrame, key: str = "id"
 
 
 def order_item_summary(items: DataFrame) -> DataFrame:
-    """Per-order line count and exact money total (partial aggregation before any join)."""
+    """Per-order lines, their count and exact money total (aggregated before any join)."""
     return items.groupBy("order_id").agg(
         F.count(F.lit(1)).alias("n_items"),
         F.sum("quantity").alias("n_units"),
-        F.sum(F.col("subtotal").cast("decimal(18,2)")).alias("items_total"))
+        F.sum(F.col("subtotal").cast("decimal(18,2)")).alias("items_total"),
+        nested_lines().alias("items"))
 
 
-def customer_order_history(customers: DataFrame, orders: DataFrame, items: DataFrame) -> DataFrame:
-    """Every customer's orders across phone formats [stored, norm, +91norm].
+def customer_order_history(customers: DataFrame, orders: DataFrame, items: DataFrame,
+                           newest_first: bool = True) -> DataFrame:
+    """Every customer's orders, with their lines, across phone formats
+    [stored, norm, +91norm]; newest first per customer (time, then order key).
 
     Equi-join of exploded candidates against ``orders.customer_phone``;
-    the per-order item summary is aggregated before it is joined.
+    the per-order lines are aggregated before they are joined.  The order is a
+    range-partitioned sort, so a customer with very many orders spreads over
+    tasks; ``newest_first=False`` leaves it out where the rows are only joined on.
     """
     cand = (with_history_candidates(customers.select(F.col("id").alias("customer_id"), "phone_number"),
                                     "phone_number", "_c")
@@ -75,10 +81,13 @@ def customer_order_history(customers: DataFrame, orders: DataFrame, items: DataF
     o = orders.select(F.col("id").alias("order_key"), "order_id", "customer_phone", "total_amount",
                       "status", "created_at")
     hist = cand.join(o, "customer_phone")
-    return (hist.join(order_item_summary(items), "order_id", "left")
-            .select("customer_id", "order_key", "order_id", "customer_phone", "total_amount", "status",
-                    "created_at", F.coalesce("n_items", F.lit(0)).alias("n_items"),
-                    F.coalesce("items_total", F.lit(0).cast("decimal(28,2)")).alias("items_total")))
+    per_order = order_item_summary(items)
+    out = (hist.join(per_order, "order_id", "left")
+           .select("customer_id", "order_key", "order_id", "customer_phone", "total_amount", "status",
+                   "created_at", F.coalesce("n_items", F.lit(0)).alias("n_items"),
+                   F.coalesce("items_total", F.lit(0).cast("decimal(28,2)")).alias("items_total"),
+                   F.coalesce("items", F.array().cast(per_order.schema["items"].dataType)).alias("items")))
+    return out.orderBy("customer_id", F.desc("created_at"), F.desc("order_key")) if newest_first else out
 
 
 def distinct_customers(customers: DataFrame) -> DataFrame:

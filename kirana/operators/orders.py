@@ -16,10 +16,15 @@ from kirana.functions.text import delivery_fee, eta_window, safe_quantity
 from kirana.sources.settings import settings_row
 
 
+def nested_lines() -> Column:
+    """Aggregate: the lines of one order as a sorted array of structs."""
+    line = F.struct("product_id", "quantity", "unit_price", F.col("subtotal").cast("double").alias("subtotal"))
+    return F.sort_array(F.collect_list(line))
+
+
 def order_documents(orders: DataFrame, items: DataFrame) -> DataFrame:
     """Orders with their lines nested as a sorted array (``[]`` when none)."""
-    line = F.struct("product_id", "quantity", "unit_price", F.col("subtotal").cast("double").alias("subtotal"))
-    nested = items.groupBy("order_id").agg(F.sort_array(F.collect_list(line)).alias("items"))
+    nested = items.groupBy("order_id").agg(nested_lines().alias("items"))
     return (orders.join(nested, "order_id", "left")
             .withColumn("items", F.coalesce("items", F.array().cast(nested.schema["items"].dataType))))
 

@@ -132,6 +132,25 @@ def q_call_orders_asof(spark, d):
     return cl.asof_orders(calls, t.orders)
 
 
+@query("order_next_call", """
+    SELECT o.order_id, o.created_at, c.call_sid, c.started_at
+    FROM v_orders o
+    LEFT JOIN (SELECT CAST(9000000000 + call AS VARCHAR) AS phone, call_sid, started_at FROM v_call_state
+               WHERE started_at IS NOT NULL) c
+      ON c.phone = substr(regexp_replace(o.customer_phone, '[^0-9]', '', 'g'), -10) AND c.started_at >= o.created_at
+    QUALIFY row_number() OVER (PARTITION BY o.order_id ORDER BY c.started_at, c.call_sid) = 1""", ctes=CALL_CTES)
+def q_order_next_call(spark, d):
+    """The forward form of J6 with the sides exchanged: calls come after all orders in the tables."""
+    o = tb.load(spark, d).orders.select(F.col("order_id").alias("call_sid"), F.col("created_at").alias("started_at"),
+                                        F.col("customer_phone").alias("caller_phone"))
+    calls = _state(spark, d).filter(F.col("started_at").isNotNull()).select(
+        F.col("call_sid").alias("order_id"), F.col("started_at").alias("created_at"),
+        phone_format(F.col("call") % 4, F.col("call")).alias("customer_phone"))
+    return cl.asof_orders(o, calls, forward=True).select(
+        F.col("call_sid").alias("order_id"), F.col("started_at").alias("created_at"),
+        F.col("order_id").alias("call_sid"), F.col("order_created_at").alias("started_at"))
+
+
 @query("call_alerts", """
     SELECT s.call_sid, a.code, coalesce(a.n_alerts, 0) AS n_alerts
     FROM v_call_state s LEFT JOIN (
@@ -167,6 +186,16 @@ def q_transcripts(spark, d):
         F.col("chars_so_far").cast("bigint").alias("chars_so_far"))
 
 
+@query("assemble_transcripts", """
+    SELECT conv_id, CAST(floor(turn / 1024) AS BIGINT) AS block, count(*) AS n_turns,
+           count(*) FILTER (WHERE role = 'user') AS user_turns,
+           count(*) FILTER (WHERE role = 'assistant') AS assistant_turns,
+           string_agg(coalesce(role, '') || ': ' || coalesce(text, ''), chr(10) ORDER BY turn, role, text) AS text
+    FROM v_turns GROUP BY 1, 2""")
+def q_assemble_transcripts(spark, d):
+    return cl.assemble_transcripts(tb.load(spark, d).turns)
+
+
 @query("cumulative_cart", """
     SELECT o.o_custkey AS customer, i.l_partkey AS product_id, i.l_orderkey AS order_key,
            i.l_linenumber AS line_number, CAST(i.l_quantity AS BIGINT) AS quantity,

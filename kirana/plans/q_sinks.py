@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 from kirana.functions.phone import py_strip
 from kirana.operators.orders import snapshot_diff
-from kirana.plans.base import query
+from kirana.plans.base import REGISTRY, query
 from kirana.plans import sql_exprs as X
 from kirana.plans.q_store import RESOLVE_SQL
 from kirana.session import scratch_path
@@ -170,14 +170,20 @@ def q_upsert_settings(spark, d):
     return upsert_settings(settings_frame(spark), e)
 
 
-@query("settings_map", note="map-valued output: rows-only check")
+@query("settings_map", REGISTRY["upsert_settings"].sql)
 def q_settings_map(spark, d):
     e = tb.read_table(spark, d, "events").select(F.col("event_type").alias("key"), F.col("value").cast("string").alias("value"),
                                                 F.col("event_id").alias("seq"), "ts")
-    return settings_map(upsert_settings(settings_frame(spark), e))
+    m = settings_map(upsert_settings(settings_frame(spark), e))
+    m = m.select(F.explode("settings").alias("key", "value"), "details")
+    return m.select("key", "value", F.col("details")[F.col("key")]["description"].alias("description"),
+                    F.col("details")[F.col("key")]["updated_at"].alias("updated_at"))
 
 
-@query("write_orders", note="writes to the shared checkpoint folder and reads back: rows-only")
+@query("write_orders", """
+    SELECT o.order_id, 'b0001' AS batch_id, o.customer_phone, o.total_amount, i.n_items
+    FROM v_orders o LEFT JOIN (SELECT order_id, count(*) AS n_items FROM v_order_items GROUP BY 1) i
+      ON i.order_id = o.order_id WHERE o.status <> 'CANCELLED'""")
 def q_write_orders(spark, d):
     t = tb.load(spark, d)
     live = t.orders.filter(F.col("status") != "CANCELLED").select("order_id", "customer_phone", "total_amount")
@@ -187,4 +193,5 @@ def q_write_orders(spark, d):
     sk.write_orders(live, items, path, "b0001")
     o, i = sk.read_orders(spark, path)
     return o.join(i.groupBy("order_id", "batch_id").agg(F.count(F.lit(1)).alias("n_items")),
-                  ["order_id", "batch_id"], "left")
+                  ["order_id", "batch_id"], "left").select(
+        "order_id", F.col("batch_id").cast("string").alias("batch_id"), "customer_phone", "total_amount", "n_items")

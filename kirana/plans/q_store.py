@@ -125,17 +125,21 @@ def q_unregistered(spark, d):
 @query("customer_order_history", f"""
     SELECT c.customer_id, o.id AS order_key, o.order_id, o.customer_phone, o.total_amount, o.status,
            o.created_at, coalesce(s.n_items, 0) AS n_items,
-           CAST(coalesce(s.items_total, 0) AS DOUBLE) AS items_total
+           CAST(coalesce(s.items_total, 0) AS DOUBLE) AS items_total, coalesce(s.lines, '') AS lines
     FROM (SELECT DISTINCT id AS customer_id, unnest([phone_number, {X.norm_phone('phone_number')},
                  CASE WHEN {X.norm_phone('phone_number')} <> '' THEN '+91' || {X.norm_phone('phone_number')}
                       ELSE phone_number END]) AS cand FROM v_customers) c
     JOIN v_orders o ON o.customer_phone = c.cand
-    LEFT JOIN (SELECT order_id, count(*) AS n_items, sum(subtotal) AS items_total
+    LEFT JOIN (SELECT order_id, count(*) AS n_items, sum(subtotal) AS items_total,
+                      string_agg(CAST(product_id AS VARCHAR) || ':' || CAST(quantity AS VARCHAR), ','
+                                 ORDER BY product_id, quantity, unit_price, subtotal) AS lines
                FROM v_order_items GROUP BY order_id) s ON s.order_id = o.order_id""")
 def q_order_history(spark, d):
     t = tb.load(spark, d)
-    return (cu.customer_order_history(t.customers, t.orders, t.order_items)
-            .withColumn("items_total", F.col("items_total").cast("double")))
+    line = F.transform("items", lambda x: F.concat_ws(":", x["product_id"].cast("string"), x["quantity"].cast("string")))
+    return (cu.customer_order_history(t.customers, t.orders, t.order_items, newest_first=False)
+            .withColumn("items_total", F.col("items_total").cast("double"))
+            .withColumn("lines", F.array_join(line, ",")).drop("items"))
 
 
 @query("distinct_customers", f"""

@@ -11,7 +11,7 @@ from kirana.plans.q_calls import GAP, US, WARMUP
 from kirana.plans.q_ledger import MOVE_ORDER
 from kirana.sources import tables as tb
 from kirana.streaming import ops as so
-from kirana.streaming.replay import read_replay, replay_files, run_to_table
+from kirana.streaming.replay import read_replay, replay_files, run_to_table, run_updates
 
 
 def _stream(spark, df, ts, n_files=4):
@@ -53,6 +53,12 @@ def q_stream_frame_windows(spark, d):
     return run_to_table(so.stream_frame_windows(_stream(spark, f, "ts"), "1 hour"), "frame-windows")
 
 
+@query("stream_call_state")
+def q_stream_call_state(spark, d):
+    e = tb.load(spark, d).call_events
+    return run_updates(so.stream_call_state(_stream(spark, e, "ts")), "call-state", ["call_sid", "call"])
+
+
 @query("stream_warmup")
 def q_stream_warmup(spark, d):
     f = tb.load(spark, d).frames
@@ -69,6 +75,7 @@ def q_stream_stock_ledger(spark, d):
 
 
 # the batch twins' oracles check the streamed results
-for _k, _twin in (("stream_daily_kpis", "daily_kpis"), ("stream_frame_windows", "frame_windows"),
+for _k, _twin in (("stream_daily_kpis", "daily_kpis"), ("stream_call_state", "latest_call_state"),
+                  ("stream_frame_windows", "frame_windows"),
                   ("stream_warmup", "warmup_discard"), ("stream_stock_ledger", "stock_ledger")):
     REGISTRY[_k].sql = REGISTRY[_twin].sql

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from kirana.operators.calls import latest_call_state
+
 
 def _live(df: DataFrame, ts: str, delay: str) -> DataFrame:
     """Watermark on ``ts`` then drop the replay's flush sentinel."""
@@ -52,6 +54,14 @@ def stream_speech_sessions(frames: DataFrame, gap: str, lateness: str = "1 day")
             .agg(F.count(F.lit(1)).alias("n_loud"), F.min("ts").alias("start_ts"), F.max("ts").alias("last_loud_ts")))
 
 
+def stream_call_state(events: DataFrame) -> DataFrame:
+    """One row per call from its start/end events, for an ``update`` sink that
+    upserts by call.  State per call: the latest values by event time (one row, kept
+    for the life of the call table), so neither a late start nor an end that comes
+    before its start is lost or resets the call."""
+    return latest_call_state(events)
+
+
 def stream_frame_windows(frames: DataFrame, size: str = "1 hour", lateness: str = "1 day") -> DataFrame:
     """Tumbling windows of frame energy per call."""
     f = _live(frames, "ts", lateness)

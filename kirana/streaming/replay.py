@@ -66,3 +66,22 @@ def run_to_table(stream_df: DataFrame, name: str, output_mode: str = "append") -
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.schema(stream_df.schema).parquet(out)
+
+
+def run_updates(stream_df: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """Run a streaming query in ``update`` mode with ``availableNow``; each micro-batch's
+    changed rows are written under its number (again, if it is retried), and the
+    latest row per ``keys`` is returned as a batch DataFrame."""
+    spark = stream_df.sparkSession
+    out = scratch_path(spark, f"updates-{name}")
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    q = (stream_df.writeStream.outputMode("update").foreachBatch(put)
+         .option("checkpointLocation", out + "-ckpt").trigger(availableNow=True).start())
+    q.awaitTermination()
+    rest = [c for c in stream_df.columns if c not in keys]
+    rows = spark.read.parquet(out)
+    return (rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col("batch")).alias("_last"))
+            .select(*keys, *[F.col(f"_last.{c}").alias(c) for c in rest]))
