@@ -7,20 +7,20 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kirana.plans.base import REGISTRY, query
-from kirana.plans.q_calls import GAP, US, WARMUP
+from kirana.plans.q_calls import BARGE, ECHO, GAP, SEG_SQL, US, WARMUP
 from kirana.plans.q_ledger import MOVE_ORDER
 from kirana.sources import tables as tb
 from kirana.streaming import ops as so
-from kirana.streaming.replay import read_replay, replay_files, run_to_table, run_updates
+from kirana.streaming.replay import read_replay, replay_files, run_to_table, run_updates, run_with_state
 
 
-def _stream(spark, df, ts, n_files=4):
-    root, schema = replay_files(df, ts, n_files)
+def _stream(spark, df, ts, n_files=4, flush=True):
+    root, schema = replay_files(df, ts, n_files, flush=flush)
     return read_replay(spark, root, schema)
 
 
-def _sql(key):
-    return REGISTRY[key].sql
+def _stepped(spark, df, step, name, ts="ts"):
+    return run_with_state(_stream(spark, df, ts, flush=False), name, *step)
 
 
 @query("stream_daily_kpis")
@@ -29,10 +29,10 @@ def q_stream_daily_kpis(spark, d):
     return run_to_table(so.stream_daily_kpis(_stream(spark, o, "created_at")), "daily-kpis")
 
 
-@query("stream_dedup_calls", "SELECT DISTINCT call_sid FROM v_call_events WHERE kind = 'start'")
+@query("stream_dedup_calls")
 def q_stream_dedup_calls(spark, d):
     e = tb.load(spark, d).call_events
-    return run_to_table(so.stream_dedup_calls(_stream(spark, e, "ts")), "dedup-calls")
+    return run_updates(so.stream_dedup_calls(_stream(spark, e, "ts", flush=False)), "dedup-calls", ["call_sid"])
 
 
 @query("stream_speech_sessions", f"""
@@ -56,13 +56,46 @@ def q_stream_frame_windows(spark, d):
 @query("stream_call_state")
 def q_stream_call_state(spark, d):
     e = tb.load(spark, d).call_events
-    return run_updates(so.stream_call_state(_stream(spark, e, "ts")), "call-state", ["call_sid", "call"])
+    return run_updates(so.stream_call_state(_stream(spark, e, "ts", flush=False)), "call-state", ["call_sid", "call"])
+
+
+@query("stream_frame_windows_sliding")
+def q_stream_frame_windows_sliding(spark, d):
+    f = tb.load(spark, d).frames
+    return run_to_table(so.stream_frame_windows(_stream(spark, f, "ts"), "6 hours", "1 hour"), "frame-windows-sliding")
+
+
+@query("stream_speech_segments", f"SELECT * EXCLUDE (closed) FROM ({SEG_SQL}) WHERE closed")
+def q_stream_speech_segments(spark, d):
+    f = tb.load(spark, d).frames
+    return _stepped(spark, f, so.segments_step(GAP), "segments").select(
+        "call", "seg", "start_ts", "last_loud_ts", "end_ts", "n_loud", "n_frames")
+
+
+@query("stream_batches")
+def q_stream_batches(spark, d):
+    f = tb.load(spark, d).frames
+    return _stepped(spark, f, so.batches_step(5), "batches").withColumnRenamed("batch_no", "batch")
+
+
+@query("stream_echo_gate")
+def q_stream_echo_gate(spark, d):
+    return _stepped(spark, tb.load(spark, d).call_events, so.echo_gate_step(ECHO), "echo-gate")
+
+
+@query("stream_barge_in")
+def q_stream_barge_in(spark, d):
+    return _stepped(spark, tb.load(spark, d).call_events, so.barge_in_step(BARGE), "barge-in")
+
+
+@query("stream_order_lock")
+def q_stream_order_lock(spark, d):
+    return _stepped(spark, tb.load(spark, d).call_events, so.order_lock_step(), "order-lock")
 
 
 @query("stream_warmup")
 def q_stream_warmup(spark, d):
-    f = tb.load(spark, d).frames
-    return run_to_table(so.stream_warmup(_stream(spark, f, "ts"), WARMUP), "warmup")
+    return _stepped(spark, tb.load(spark, d).frames, so.warmup_step(WARMUP), "warmup")
 
 
 @query("stream_stock_ledger")
@@ -70,12 +103,14 @@ def q_stream_stock_ledger(spark, d):
     t = tb.load(spark, d)
     opening = t.products.select(F.col("id").alias("product_id"), F.col("stock_quantity").alias("opening"))
     moves = t.stock_moves.join(opening, "product_id")
-    out = run_to_table(so.stream_stock_ledger(_stream(spark, moves, "ts"), MOVE_ORDER), "stock-ledger")
-    return out.select("product_id", "ts", "l_orderkey", "l_linenumber", "l_suppkey", "delta", "balance")
+    return _stepped(spark, moves, so.stock_ledger_step(MOVE_ORDER), "stock-ledger").select(
+        "product_id", "ts", "l_orderkey", "l_linenumber", "l_suppkey", "delta", "balance")
 
 
 # the batch twins' oracles check the streamed results
 for _k, _twin in (("stream_daily_kpis", "daily_kpis"), ("stream_call_state", "latest_call_state"),
-                  ("stream_frame_windows", "frame_windows"),
+                  ("stream_dedup_calls", "dedup_calls"), ("stream_frame_windows", "frame_windows"),
+                  ("stream_frame_windows_sliding", "frame_windows_sliding"), ("stream_batches", "frame_batches"),
+                  ("stream_echo_gate", "echo_gate"), ("stream_barge_in", "barge_in"), ("stream_order_lock", "order_lock"),
                   ("stream_warmup", "warmup_discard"), ("stream_stock_ledger", "stock_ledger")):
     REGISTRY[_k].sql = REGISTRY[_twin].sql

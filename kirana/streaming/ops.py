@@ -1,22 +1,29 @@
-"""Structured Streaming forms of the call and store operators.
-
-Each takes a streaming DataFrame and returns a streaming DataFrame; the
-batch twins live in ``kirana.operators``.  Windowed aggregations use
-watermarks (state is dropped once the watermark passes), stateful per-key
-rules use ``applyInPandasWithState`` with a small fixed-size state per key.
+"""Structured Streaming forms of the call and store operators.
+
+Three kinds:
+
+* windowed aggregations with a watermark (T9, T11, session windows): streaming
+  DataFrame in, streaming DataFrame out, state dropped once the watermark passes;
+* keyed aggregations for an ``update`` sink (T1, T10): the batch operator itself;
+* rules that depend on what a key did before (T2-T8): a *step*
+  ``(micro-batch, state before) -> (rows, state after)`` for
+  ``run_with_state``.  State is a table with one small row per key.  A step is
+  built from the two-level scans of the batch twin, so a key with a third of a
+  micro-batch still spreads over many tasks, and no Python runs per key.
+  Micro-batches must arrive in time order.
 """
 
 from __future__ import annotations
 
-from typing import Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from kirana.operators.calls import latest_call_state
+from kirana.operators import calls as cl
+from kirana.operators.scan import running, running_floor_balance, time_bucket
+
+Step = Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]
 
 
 def _live(df: DataFrame, ts: str, delay: str) -> DataFrame:
@@ -40,14 +47,15 @@ def stream_daily_kpis(orders: DataFrame, lateness: str = "1 day") -> DataFrame:
                     F.round(F.col("_rev").cast("decimal(38,6)"), 2).cast("double").alias("revenue")))
 
 
-def stream_dedup_calls(events: DataFrame, lateness: str = "60 days") -> DataFrame:
-    """One start record per call id although starts are logged twice."""
-    e = _live(events, "ts", lateness).filter((F.col("kind") == "start") | F.col("ts").isNull())
-    return e.dropDuplicatesWithinWatermark(["call_sid"]).select("call_sid")
+def stream_dedup_calls(events: DataFrame) -> DataFrame:
+    """One start record per call id although starts are logged twice: the earliest
+    start, for an ``update`` sink that upserts by call id."""
+    return cl.dedup_calls(events)
 
 
 def stream_speech_sessions(frames: DataFrame, gap: str, lateness: str = "1 day") -> DataFrame:
-    """Loud frames grouped into session windows per call."""
+    """Loud frames grouped into session windows per call; T2 proper, with W4's rule
+    for the closing frame, is ``segments_step``."""
     # references the event-time column so it is not pushed below the watermark
     f = _live(frames, "ts", lateness).filter(F.col("loud") | F.col("ts").isNull())
     return (f.groupBy("call", F.session_window("ts", gap).alias("s"))
@@ -59,58 +67,81 @@ def stream_call_state(events: DataFrame) -> DataFrame:
     upserts by call.  State per call: the latest values by event time (one row, kept
     for the life of the call table), so neither a late start nor an end that comes
     before its start is lost or resets the call."""
-    return latest_call_state(events)
-
-
-def stream_frame_windows(frames: DataFrame, size: str = "1 hour", lateness: str = "1 day") -> DataFrame:
-    """Tumbling windows of frame energy per call."""
-    f = _live(frames, "ts", lateness)
-    return (f.groupBy("call", F.window("ts", size).alias("w"))
-            .agg(F.count(F.lit(1)).alias("n_frames"), F.round(F.avg("energy"), 6).alias("mean_energy"),
-                 F.round(1.0 - F.avg(F.col("loud").cast("double")), 6).alias("silence_ratio"))
-            .select("call", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
-                    "n_frames", "mean_energy", "silence_ratio"))
-
-
-def stream_warmup(frames: DataFrame, skip_seconds: float) -> DataFrame:
-    """Drop each call's frames in the first ``skip_seconds`` after its first
-    seen frame.  State per call: the first timestamp (one value)."""
-    skip_us = int(round(skip_seconds * 1_000_000))
-    f = frames.filter(~F.col("_flush")) if "_flush" in frames.columns else frames
-    f = f.select("call", "event_id", "ts", F.unix_micros("ts").alias("us"))
-
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(pdfs))
-        first = int(batch["us"].min())
-        if state.exists:
-            first = min(first, int(state.get[0]))
-        state.update((first,))
-        keep = batch[batch["us"] - first >= skip_us]
-        yield keep[["call", "event_id", "ts"]]
-
-    return f.groupBy("call").applyInPandasWithState(
-        fn, "call long, event_id long, ts timestamp", "first_us long", "append", GroupStateTimeout.NoTimeout)
-
-
-def stream_stock_ledger(moves: DataFrame, order: list[str]) -> DataFrame:
-    """Floored stock ledger on a stream of moves (with an ``opening`` column).
-    State per product: the current balance.  Moves inside a micro-batch are
-    applied in ``order``; batches arrive in time order from the source."""
-    m = moves.filter(~F.col("_flush")) if "_flush" in moves.columns else moves
-    cols = ["product_id", "ts", "l_orderkey", "l_linenumber", "l_suppkey", "delta"]
-    m = m.select(*sorted(set(cols + order + ["opening"]), key=lambda c: (c not in cols, c)))
-
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(pdfs)).sort_values(order, kind="mergesort")
-        start = int(state.get[0]) if state.exists else int(batch["opening"].iloc[0])
-        # closed form of b = max(0, b + d): S - min(0, running min of S)
-        s = start + np.cumsum(batch["delta"].to_numpy(dtype=np.int64))
-        bal = s - np.minimum(0, np.minimum.accumulate(s))
-        state.update((int(bal[-1]),))
-        res = batch[cols].copy()
-        res["balance"] = bal
-        yield res
-
-    return m.groupBy("product_id").applyInPandasWithState(
-        fn, "product_id long, ts timestamp, l_orderkey long, l_linenumber int, l_suppkey long, delta long, "
-            "balance long", "balance long", "append", GroupStateTimeout.NoTimeout)
+    return cl.latest_call_state(events)
+
+
+def stream_frame_windows(frames: DataFrame, size: str = "1 hour", slide: str | None = None,
+                         lateness: str = "1 day") -> DataFrame:
+    """Tumbling or sliding windows of frame energy per call."""
+    return cl.frame_windows(_live(frames, "ts", lateness), size, slide)
+
+
+def segments_step(gap_seconds: float, min_loud_seconds: float = 0.0) -> tuple[Step, str]:
+    """The turns of W4, each emitted when it closes."""
+    return lambda frames, before: cl.next_segments(frames, before, gap_seconds, min_loud_seconds), cl.SEGMENT_STATE
+
+
+def warmup_step(skip_seconds: float) -> tuple[Step, str]:
+    """Drop each call's frames in the first ``skip_seconds``.  State: the first timestamp."""
+    def step(frames: DataFrame, before: DataFrame) -> tuple[DataFrame, DataFrame]:
+        firsts = (frames.groupBy("call").agg(F.min("ts").alias("first_ts")).unionByName(before)
+                  .groupBy("call").agg(F.min("first_ts").alias("first_ts")))
+        elapsed = F.unix_micros("ts") - F.unix_micros("first_ts")
+        kept = frames.join(firsts, "call").filter(elapsed >= F.lit(int(round(skip_seconds * 1_000_000))))
+        return kept.select("call", "event_id", "ts"), firsts
+    return step, "call long, first_ts timestamp"
+
+
+def batches_step(n: int = 5) -> tuple[Step, str]:
+    """T4: every ``n`` consecutive frames of a call form one batch; the tail waits.
+    State: the batches so far and the fewer than ``n`` frames that wait."""
+    def step(frames: DataFrame, before: DataFrame) -> tuple[DataFrame, DataFrame]:
+        waiting = before.select("call", F.explode("tail").alias("_t")).select("call", "_t.*")
+        f = frames.select("call", "ts", "event_id", "energy").unionByName(waiting)
+        f = running(f, ["call"], time_bucket(F.col("ts")), [F.col("ts"), F.col("event_id")],
+                    {"_rn": ("count", F.lit(1))}, inclusive=True)
+        f = f.withColumn("_nth", F.floor((F.col("_rn") - 1) / n).cast("bigint"))
+        full = (f.groupBy("call", "_nth")
+                .agg(F.count(F.lit(1)).alias("n_frames"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
+                     F.round(F.avg("energy"), 6).alias("mean_energy"))
+                .filter(F.col("n_frames") == n).join(before.select("call", "done"), "call", "left")
+                .withColumn("batch_no", F.col("_nth") + F.coalesce("done", F.lit(0))))
+        counts = f.groupBy("call").agg(F.count(F.lit(1)).alias("_n"))
+        tail = (f.join(counts, "call").filter(F.col("_rn") > F.col("_n") - F.col("_n") % n)
+                .groupBy("call").agg(F.collect_list(F.struct("ts", "event_id", "energy")).alias("_tail")))
+        after = (before.select("call", "done").join(counts, "call", "full_outer").join(tail, "call", "left")
+                 .select("call", (F.coalesce("done", F.lit(0)) + F.floor(F.coalesce("_n", F.lit(0)) / n)).alias("done"),
+                         F.coalesce("_tail", F.array().cast("array<struct<ts:timestamp,event_id:bigint,energy:double>>")).alias("tail")))
+        return full.select("call", "batch_no", "n_frames", "first_ts", "last_ts", "mean_energy"), after
+    return step, "call long, done long, tail array<struct<ts:timestamp,event_id:bigint,energy:double>>"
+
+
+def echo_gate_step(echo_seconds: float, loud_at: float = 50.0) -> tuple[Step, str]:
+    """T5: echo gate on a stream of call events."""
+    return (lambda e, before: (cl.echo_gate(e, echo_seconds, loud_at, before=before), cl.timeline_state(e, before)),
+            cl.TIMELINE_STATE)
+
+
+def barge_in_step(window_seconds: float) -> tuple[Step, str]:
+    """Genuine interrupts on a stream of call events."""
+    return (lambda e, before: (cl.barge_in(e, window_seconds, before=before), cl.timeline_state(e, before)),
+            cl.TIMELINE_STATE)
+
+
+def order_lock_step() -> tuple[Step, str]:
+    """Events after an order, on a stream of call events."""
+    return lambda e, before: (cl.order_lock(e, before=before), cl.timeline_state(e, before)), cl.TIMELINE_STATE
+
+
+def stock_ledger_step(order: list[str]) -> tuple[Step, str]:
+    """Floored stock ledger on a stream of moves (with an ``opening`` column), in
+    ``order`` within a micro-batch.  State: the balance per product."""
+    def step(moves: DataFrame, before: DataFrame) -> tuple[DataFrame, DataFrame]:
+        m = (moves.join(before.withColumnRenamed("balance", "_held"), "product_id", "left")
+             .withColumn("_from", F.coalesce("_held", "opening")))
+        led = running_floor_balance(m, ["product_id"], time_bucket(F.col("ts")), [F.col(c) for c in order],
+                                    F.col("_from"), F.col("delta"), "balance")
+        last = led.groupBy("product_id").agg(F.max_by("balance", F.struct(*order)).alias("_now"))
+        after = before.join(last, "product_id", "full_outer").select("product_id", F.coalesce("_now", "balance").alias("balance"))
+        return led.drop("_held", "_from", "opening"), after
+    return step, "product_id long, balance long"

@@ -1,54 +1,49 @@
-"""Bounded replays of a table as a file stream (test harness for the
-streaming operators; production jobs point ``readStream`` at the real
-landing folder instead).
-
-The table is written as ``n_files`` time slices, one after the other so
-the file source picks them up in time order, followed by one flush file
-holding a single sentinel row far in the future (``_flush = true``).  The
-sentinel only advances the watermark so that windows still open at the
-end of the replay are emitted (written twice: one batch advances the
-watermark, the next evicts); operators drop it right after
-``withWatermark``.  Everything lives under the shared checkpoint folder.
+"""Replays of a table as a file stream, and runs of streams into tables.
+
+Production jobs point ``readStream`` at the real landing folder; a replay writes
+a table there as ``n_files`` time slices in one job (a range partitioning by
+time; rows without a time come first) and dates the files in that order, which
+is the order in which the file source takes them.  With ``flush``, two later
+files follow, each with one sentinel row far in the future (``_flush = true``):
+the first advances the watermark, the second starts the batch that evicts the
+windows still open (``availableNow`` runs no batch without data).  Windowed
+operators drop the sentinel right after ``withWatermark``.  Everything lives
+under the shared checkpoint folder.
 """
 
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kirana.session import scratch_path
+from kirana.session import remove, scratch_path
+
+
+def _date_in_order(spark: SparkSession, root: str) -> None:
+    """Modification times a second apart, in the order of the partitions."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = sorted(f.getPath().getName() for f in files.listStatus(path(root)))
+    first = int(time.time() - 3600) * 1000
+    for k, name in enumerate(n for n in names if n.startswith("part-")):
+        files.setTimes(path(f"{root}/{name}"), first + 1000 * k, -1)
 
 
-def replay_files(df: DataFrame, ts_col: str, n_files: int = 4, flush_days: int = 3650) -> tuple[str, object]:
+def replay_files(df: DataFrame, ts_col: str, n_files: int = 4, flush_days: int = 3650, flush: bool = True) -> tuple[str, object]:
     spark = df.sparkSession
     root = scratch_path(spark, "replay")
-    data = df.withColumn("_flush", F.lit(False))
-    # slice bounds from approximate quantiles (n_files - 1 numbers on the driver)
-    micros = data.select(F.unix_micros(F.col(ts_col)).alias("_us"))
-    qs = micros.approxQuantile("_us", [i / n_files for i in range(1, n_files)], 0.0) if n_files > 1 else []
-    bounds = [None] + [int(q) for q in qs] + [None]
-    for i in range(n_files):
-        lo, hi = bounds[i], bounds[i + 1]
-        cond = F.lit(True)
-        us = F.unix_micros(F.col(ts_col))
-        if lo is not None:
-            cond = cond & (us > F.lit(lo))
-        if hi is not None:
-            cond = cond & (us <= F.lit(hi))
-        # one file per slice so each micro-batch is one time slice (test replays only)
-        data.filter(cond).coalesce(1).write.mode("append").parquet(root)
-        time.sleep(1.1)  # distinct modification times: the file source orders files by them
-    mx = data.agg(F.max(ts_col)).first()[0]
-    sentinel = (data.limit(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in data.schema.fields])
-                .withColumn(ts_col, F.lit(mx) + F.expr(f"INTERVAL {flush_days} DAYS"))
-                .withColumn("_flush", F.lit(True)))
-    # two flush files: the first advances the watermark, the second batch evicts
-    # the windows it closed (availableNow runs no trailing no-data batch)
-    sentinel.write.mode("append").parquet(root)
-    time.sleep(1.1)
-    sentinel.withColumn(ts_col, F.col(ts_col) + F.expr("INTERVAL 1 DAYS")).write.mode("append").parquet(root)
+    data = df.withColumn("_flush", F.lit(False)) if flush else df
+    data.repartitionByRange(n_files, ts_col).write.parquet(root)
+    _date_in_order(spark, root)
+    last = df.agg(F.max(ts_col)).first()[0] if flush else None
+    if last is not None:
+        values = {f.name: F.lit(None).cast(f.dataType) for f in data.schema.fields} | {"_flush": F.lit(True)}
+        for days in (flush_days, flush_days + 1):
+            row = values | {ts_col: (F.lit(last) + F.make_dt_interval(F.lit(days))).cast(data.schema[ts_col].dataType)}
+            spark.range(1).select(*[v.alias(k) for k, v in row.items()]).write.mode("append").parquet(root)
     return root, data.schema
 
 
@@ -85,3 +80,30 @@ def run_updates(stream_df: DataFrame, name: str, keys: list[str]) -> DataFrame:
     rows = spark.read.parquet(out)
     return (rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col("batch")).alias("_last"))
             .select(*keys, *[F.col(f"_last.{c}").alias(c) for c in rest]))
+
+
+def run_with_state(stream_df: DataFrame, name: str, step: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]],
+                   state: str) -> DataFrame:
+    """Run ``step`` over the micro-batches of a stream and return all its rows as a batch DataFrame.
+
+    ``step(batch, before)`` gives the rows of a micro-batch and the state after it,
+    a table of schema ``state``.  Both are written under the batch's number: a
+    micro-batch that is retried after a failure starts from the same state and
+    overwrites its own output."""
+    spark = stream_df.sparkSession
+    out = scratch_path(spark, f"carried-{name}")
+
+    def put(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        before = (session.read.schema(state).parquet(f"{out}/state/{number - 1}") if number
+                  else session.createDataFrame([], state))
+        rows, after = step(batch, before)
+        rows.write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
+        after.write.mode("overwrite").parquet(f"{out}/state/{number}")
+        if number > 1:
+            remove(session, f"{out}/state/{number - 2}")
+
+    q = (stream_df.writeStream.foreachBatch(put).option("checkpointLocation", f"{out}/ckpt")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(f"{out}/rows").drop("batch")
