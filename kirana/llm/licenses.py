@@ -1,6 +1,7 @@
 """License notices by conditional compression (operator 5).
 
-Lines that name a license, copyright or permission are candidate blocks.  Each
+Lines with a telling word of a template are candidate blocks (a block without any of
+them can't agree with the template).  Each
 is compressed alone and with every template as zstandard raw dictionary; the
 templates are ranked by the share of the size that they save, and the winner is
 confirmed by the words in which block and template differ.
@@ -14,6 +15,7 @@ are not read.
 from __future__ import annotations
 
 import difflib
+import math
 import re
 from collections.abc import Iterator
 
@@ -25,6 +27,7 @@ from kirana.llm.common import prepare, texts
 
 #: The customary short notices of licenses.
 TEMPLATES = {
+    "All-Rights-Reserved": "All rights reserved.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted.",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
@@ -32,7 +35,6 @@ TEMPLATES = {
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "MIT": "Released under the MIT License.",
 }
-CANDIDATE = re.compile("licen[sc]|copyright|permission|redistribut|warrant", re.IGNORECASE)
 #: Share of the words that must agree, in order.
 AGREE = 0.8
 
@@ -41,9 +43,15 @@ def _words(text: str) -> list[str]:
     return re.findall(r"[a-z0-9.]*[a-z0-9]", text.lower())
 
 
+def _telling(words: list[str]) -> set[str]:
+    """The longest words of a template, one more than may be missing: a block that agrees holds one of them."""
+    return set(sorted(words, key=lambda w: (-len(w), w))[:len(words) - math.ceil(AGREE * len(words)) + 1])
+
+
 class Templates:
     def __init__(self, templates: dict[str, str]):
         self.words = {n: _words(t) for n, t in templates.items()}
+        self.gate = re.compile("|".join(sorted(map(re.escape, set().union(*map(_telling, self.words.values()))))))
         self.plain = zstandard.ZstdCompressor(level=3)
         self.given = {n: zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(t.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))
                       for n, t in sorted(templates.items())}
@@ -75,7 +83,7 @@ def license_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text", tem
             keys, rows = [], []
             for at, t in enumerate(texts(b.column(1))):
                 for n, line in enumerate(t.split("\n")):
-                    if CANDIDATE.search(line) and (got := known.best(line)):
+                    if known.gate.search(line.lower()) and (got := known.best(line)):
                         keys.append(at)
                         rows.append((n, *got))
             cols = zip(*rows) if rows else [[]] * 4

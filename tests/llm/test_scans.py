@@ -40,3 +40,13 @@ def test_license_blocks(spark):
     assert all(r.differing == 0 and r.saved > 0 for r in got if r.doc_id < 90)
     assert [(r.doc_id, r.line, r.license) for r in got if r.doc_id >= 90] == [(93, 0, "MIT"), (93, 1, "MIT")]
     assert license_blocks(spark.createDataFrame([], COLUMNS)).count() == 0
+
+
+def test_no_template_is_gated_out(spark):
+    texts = ["All rights reserved.", "ALL RIGHTS RESERVED", "Some rights were reserved."]
+    rows = [(k, t, 0, 0) for k, t in enumerate(texts)]
+    got = license_blocks(spark.createDataFrame(rows, COLUMNS)).collect()
+    assert [(r.doc_id, r.license) for r in got] == [(0, "All-Rights-Reserved"), (1, "All-Rights-Reserved")]
+    own = {"X": "Zebras may graze here freely."}
+    got = license_blocks(spark.createDataFrame([(1, "a\nZebras may graze here freely.", 0, 0)], COLUMNS), templates=own).collect()
+    assert [(r.line, r.license) for r in got] == [(1, "X")]
