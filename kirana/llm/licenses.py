@@ -1,20 +1,22 @@
 """License notices by conditional compression (operator 5).
 
-Lines with a telling word of a template are candidate blocks (a block without any of
-them can't agree with the template).  Each
-is compressed alone and with every template as zstandard raw dictionary; the
-templates are ranked by the share of the size that they save, and the winner is
-confirmed by the words in which block and template differ.
+Runs of words around a telling word of a template, over the whole text and its
+line breaks, are candidate blocks (a block without any telling word can't agree
+with the template).  A block is confirmed by the words in which it and the template
+differ: it holds most of the template's words in order, and no more than half as many
+others among them.  Each confirmed block is compressed alone and with the
+template as zstandard raw dictionary; of blocks that overlap, the one with the largest
+share of the size saved is kept.
 
 Defined results: null and empty texts have no blocks and return no row; equal
-blocks of a document return a row each, with their line number; ties between
+blocks of a document return a row each, with the number of the line on which they
+begin; ties between
 templates go to the first name; an empty table returns no rows; other columns
 are not read.
 """
 
 from __future__ import annotations
 
-import difflib
 import math
 import re
 from collections.abc import Iterator
@@ -39,8 +41,11 @@ TEMPLATES = {
 AGREE = 0.8
 
 
+WORD = re.compile(r"[0-9]+(?:\.[0-9]+)*|[^\W\d_]+")
+
+
 def _words(text: str) -> list[str]:
-    return re.findall(r"[a-z0-9.]*[a-z0-9]", text.lower())
+    return WORD.findall(text.lower())
 
 
 def _telling(words: list[str]) -> set[str]:
@@ -50,25 +55,60 @@ def _telling(words: list[str]) -> set[str]:
 
 class Templates:
     def __init__(self, templates: dict[str, str]):
-        self.words = {n: _words(t) for n, t in templates.items()}
-        self.gate = re.compile("|".join(sorted(map(re.escape, set().union(*map(_telling, self.words.values()))))))
+        self.words = {n: _words(t) for n, t in sorted(templates.items())}
+        self.may_miss = {n: len(w) - math.ceil(AGREE * len(w)) for n, w in self.words.items()}
+        self.by_word: dict[str, list[str]] = {}
+        for n, words in self.words.items():
+            for w in _telling(words):
+                self.by_word.setdefault(w, []).append(n)
+        self.gate = re.compile("|".join(sorted(map(re.escape, self.by_word))))
         self.plain = zstandard.ZstdCompressor(level=3)
         self.given = {n: zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(t.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))
-                      for n, t in sorted(templates.items())}
-
-    def best(self, block: str) -> tuple[str, float, int] | None:
-        """Name, share of the size saved, and differing words of the confirmed template."""
-        raw, own = block.lower().encode(), _words(block)
-        alone = len(self.plain.compress(raw))
-        ranked = sorted(((1 - len(c.compress(raw)) / alone, n) for n, c in self.given.items()), key=lambda x: (-x[0], x[1]))
-        for saved, name in ranked:
-            if saved <= 0:
-                return None
-            want = self.words[name]
-            same = sum(m.size for m in difflib.SequenceMatcher(None, own, want, autojunk=False).get_matching_blocks())
-            if same >= AGREE * len(want):
-                return name, saved, len(own) + len(want) - 2 * same
-        return None
+                      for n, t in templates.items()}
+
+    def _agreeing(self, name: str, words: list[str], at: int) -> tuple[int, int, int] | None:
+        """Differing words, first and end of the best run of words around ``at`` that agrees with a template."""
+        want, may_miss = self.words[name], self.may_miss[name]
+        n, more = len(want), (len(want) + 1) // 2
+        best = None
+        # (words of the template passed, of these missing) -> (extra words, minus the first word)
+        live: dict[tuple[int, int], tuple[int, int]] = {}
+        for i in range(max(0, at - n - more + 1), min(len(words), at + n + more)):
+            new = {state: (extra + 1, first) for state, (extra, first) in live.items() if extra < more}
+            begin = {(j, j): (0, -i) for j in range(may_miss + 1)} if i <= at else {}
+            for (j, missing), had in [*live.items(), *begin.items()]:
+                for to in range(j, min(n, j + may_miss - missing + 1)):
+                    if want[to] != words[i]:
+                        continue
+                    state = to + 1, missing + to - j
+                    new[state] = min(had, new.get(state, had))
+                    lost = state[1] + n - to - 1
+                    if lost <= may_miss and i >= at and (best is None or lost + had[0] < best[0]):
+                        best = lost + had[0], -had[1], i + 1
+            live = new
+        return best
+
+    def blocks(self, text: str) -> list[tuple[int, str, float, int]]:
+        """Line, name, share of the size saved and differing words of every confirmed block of a text."""
+        text = text.lower()
+        if not self.gate.search(text):
+            return []
+        spans = [m.span() for m in WORD.finditer(text)]
+        words = [text[a:b] for a, b in spans]
+        found = {(name, *got) for at, w in enumerate(words) for name in self.by_word.get(w, ()) if (got := self._agreeing(name, words, at))}
+        ranked = []
+        for name, differing, first, end in found:
+            raw = text[spans[first][0]:spans[end - 1][1]].encode()
+            saved = 1 - len(self.given[name].compress(raw)) / len(self.plain.compress(raw))
+            if saved > 0:
+                ranked.append((-saved, name, first, end, differing))
+        taken: list[tuple[int, int]] = []
+        out = []
+        for less, name, first, end, differing in sorted(ranked):
+            if all(end <= a or b <= first for a, b in taken):
+                taken.append((first, end))
+                out.append((first, name, -less, differing))
+        return [(text.count("\n", 0, spans[first][0]), *rest) for first, *rest in sorted(out)]
 
 
 def license_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None) -> DataFrame:
@@ -82,10 +122,9 @@ def license_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text", tem
         for b in batches:
             keys, rows = [], []
             for at, t in enumerate(texts(b.column(1))):
-                for n, line in enumerate(t.split("\n")):
-                    if known.gate.search(line.lower()) and (got := known.best(line)):
-                        keys.append(at)
-                        rows.append((n, *got))
+                for got in known.blocks(t):
+                    keys.append(at)
+                    rows.append(got)
             cols = zip(*rows) if rows else [[]] * 4
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keys, pa.int64())), *(pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.string(), pa.float64(), pa.int64())))], names)
 

@@ -50,3 +50,14 @@ def test_no_template_is_gated_out(spark):
     own = {"X": "Zebras may graze here freely."}
     got = license_blocks(spark.createDataFrame([(1, "a\nZebras may graze here freely.", 0, 0)], COLUMNS), templates=own).collect()
     assert [(r.line, r.license) for r in got] == [(1, "X")]
+
+
+def test_notices_over_lines_and_side_by_side(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without\n# modification, are permitted"
+    texts = ["x\n * Licensed under the Apache License,\n * Version 2.0.\n", bsd, "Released under the MIT License. Licensed under CC BY-NC 4.0.",
+             "License: " + "Released under the MIT License. " * 2 + "word " * 300 + "All rights reserved. Licensed under the Apache License, Version 2.0."]
+    got = license_blocks(spark.createDataFrame([(k, t, 0, 0) for k, t in enumerate(texts)], COLUMNS)).collect()
+    want = [(0, 1, "Apache-2.0"), (1, 0, "BSD-3-Clause"), (2, 0, "MIT"), (2, 0, "CC-BY-NC-4.0"), (3, 0, "MIT"), (3, 0, "MIT"), (3, 0, "All-Rights-Reserved"), (3, 0, "Apache-2.0")]
+    assert [(r.doc_id, r.line, r.license) for r in got] == want and all(r.differing == 0 and r.saved > 0 for r in got)
+    far = ["Released " + "word " * 9 + "under the MIT " + "word " * 9 + "License."]
+    assert license_blocks(spark.createDataFrame([(1, far[0], 0, 0)], COLUMNS)).count() == 0
