@@ -4,7 +4,8 @@ Runs of words around a telling word of a template, over the whole text and its
 line breaks, are candidate blocks (a block without any telling word can't agree
 with the template).  A block is confirmed by the words in which it and the template
 differ: it holds most of the template's words in order, and no more than half as many
-others among them.  Each confirmed block is compressed alone and with the
+others among them; words that name a license (name, version, NC, SA and ND marks)
+are neither missing nor added.  Each confirmed block is compressed alone and with the
 template as zstandard raw dictionary; of blocks that overlap, the one with the largest
 share of the size saved is kept.
 
@@ -17,6 +18,7 @@ are not read.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -27,16 +29,35 @@ from pyspark.sql import DataFrame
 
 from kirana.llm.common import prepare, texts
 
+_CC = {"BY": "Attribution", "BY-NC": "Attribution-NonCommercial", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives",
+       "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-ND": "Attribution-NoDerivatives", "BY-SA": "Attribution-ShareAlike"}
+_CC_VERSIONS = ("2.0", "2.5", "3.0", "4.0")
 #: The customary short notices of licenses.
 TEMPLATES = {
+    "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
     "All-Rights-Reserved": "All rights reserved.",
+    "Apache-1.0": "Licensed under the Apache License, Version 1.0.",
+    "Apache-1.1": "Licensed under the Apache License, Version 1.1.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
+    "BSD": "Released under the BSD License.",
     "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted.",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
+    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
+    "LGPL-2.0": "This work is licensed under the GNU Library General Public License, version 2.",
+    "LGPL-2.1": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
     "MIT": "Released under the MIT License.",
-}
+} | {f"CC-{k}-{v}": f"Licensed under CC {k} {v}." for k in _CC for v in _CC_VERSIONS} | {
+    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License."}
+#: Further wordings of the same licenses.
+WORDINGS = [("CC-BY-4.0", "Licensed under CC BY 4.0.")] + [
+    (f"CC-{k}-{v}", f"This work is licensed under a Creative Commons {t} {v} {'International' if v == '4.0' else 'Unported' if v == '3.0' else 'Generic'} License.")
+    for k, t in _CC.items() for v in _CC_VERSIONS if (k, v) != ("BY", "4.0")]
+#: Words that tell one license from another: neither missing nor added ones are passed over.  Numbers count with them, unless they are added years.
+NAMES = frozenset("affero apache artistic boost bsd cc commercial commons creative derivatives eclipse gnu gpl isc lesser lgpl library mit mozilla nc nd "
+                  "noncommercial noderivatives noderivs sa share sharealike zlib".split())
+#: Words without which a template doesn't agree either.
+NEEDED = frozenset("attribution binary by redistribution reserved rights".split())
 #: Share of the words that must agree, in order.
 AGREE = 0.8
 
@@ -45,45 +66,69 @@ WORD = re.compile(r"[0-9]+(?:\.[0-9]+)*|[^\W\d_]+")
 
 
 def _words(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    """Words and numbers of a text in small letters; 2.0 is 2."""
+    return [_plain(w) for w in WORD.findall(text)]
+
+
+def _plain(word: str) -> str:
+    return re.sub(r"(?:\.0)+$", "", word) if word[0].isdecimal() else word
+
+
+def _names(word: str) -> bool:
+    return word in NAMES or word[0].isdecimal()
+
+
+def _year(word: str) -> bool:
+    return len(word) == 4 and word.isdecimal()
 
 
 def _telling(words: list[str]) -> set[str]:
-    """The longest words of a template, one more than may be missing: a block that agrees holds one of them."""
-    return set(sorted(words, key=lambda w: (-len(w), w))[:len(words) - math.ceil(AGREE * len(words)) + 1])
+    """Words of a template of which a block that agrees holds one: a word that names the license, or else the longest, one more than may be missing."""
+    known = [w for w in words if w in NAMES] or [w for w in words if w in NEEDED]
+    return set(sorted(known or words, key=lambda w: (-len(w), w))[:1 if known else len(words) - math.ceil(AGREE * len(words)) + 1])
 
 
 class Templates:
-    def __init__(self, templates: dict[str, str]):
-        self.words = {n: _words(t) for n, t in sorted(templates.items())}
-        self.may_miss = {n: len(w) - math.ceil(AGREE * len(w)) for n, w in self.words.items()}
-        self.by_word: dict[str, list[str]] = {}
-        for n, words in self.words.items():
+    def __init__(self, templates: list[tuple[str, str]]):
+        self.names = [n for n, _ in templates]
+        self.words = [_words(t.lower()) for _, t in templates]
+        self.may_miss = [len(w) - math.ceil(AGREE * len(w)) for w in self.words]
+        #: Words up to each place that may not be missing.
+        self.firm = [[0, *itertools.accumulate(_names(w) or w in NEEDED for w in words)] for words in self.words]
+        self.by_word: dict[str, list[int]] = {}
+        for t, words in enumerate(self.words):
             for w in _telling(words):
-                self.by_word.setdefault(w, []).append(n)
-        self.gate = re.compile("|".join(sorted(map(re.escape, self.by_word))))
+                self.by_word.setdefault(w, []).append(t)
+        letter = r"[^\W\d_]"
+        # patterns that begin with plain letters are searched quickly
+        self.gates = {w: re.compile(rf"{w}(?<!{letter}{w})(?!{letter})" if w.isalpha() else re.escape(w)) for w in sorted(self.by_word)}
         self.plain = zstandard.ZstdCompressor(level=3)
-        self.given = {n: zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(t.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))
-                      for n, t in templates.items()}
+        self.given = [zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(t.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+                      for _, t in templates]
 
-    def _agreeing(self, name: str, words: list[str], at: int) -> tuple[int, int, int] | None:
+    def _agreeing(self, template: int, words: list[str], at: int) -> tuple[int, int, int] | None:
         """Differing words, first and end of the best run of words around ``at`` that agrees with a template."""
-        want, may_miss = self.words[name], self.may_miss[name]
+        want, may_miss, firm = self.words[template], self.may_miss[template], self.firm[template]
         n, more = len(want), (len(want) + 1) // 2
+        around = range(max(0, at - n - more + 1), min(len(words), at + n + more))
+        near = set(words[around.start:around.stop])
+        if sum(w in near for w in want) < n - may_miss:
+            return None
         best = None
         # (words of the template passed, of these missing) -> (extra words, minus the first word)
         live: dict[tuple[int, int], tuple[int, int]] = {}
-        for i in range(max(0, at - n - more + 1), min(len(words), at + n + more)):
-            new = {state: (extra + 1, first) for state, (extra, first) in live.items() if extra < more}
-            begin = {(j, j): (0, -i) for j in range(may_miss + 1)} if i <= at else {}
+        for i in around:
+            may_add = not _names(words[i]) or _year(words[i])
+            new = {state: (extra + 1, first) for state, (extra, first) in live.items() if may_add and extra < more}
+            begin = {(j, j): (0, -i) for j in range(may_miss + 1) if not firm[j]} if i <= at else {}
             for (j, missing), had in [*live.items(), *begin.items()]:
                 for to in range(j, min(n, j + may_miss - missing + 1)):
-                    if want[to] != words[i]:
+                    if want[to] != words[i] or firm[to] > firm[j]:
                         continue
                     state = to + 1, missing + to - j
                     new[state] = min(had, new.get(state, had))
                     lost = state[1] + n - to - 1
-                    if lost <= may_miss and i >= at and (best is None or lost + had[0] < best[0]):
+                    if lost <= may_miss and firm[n] == firm[to + 1] and i >= at and (best is None or lost + had[0] < best[0]):
                         best = lost + had[0], -had[1], i + 1
             live = new
         return best
@@ -91,17 +136,17 @@ class Templates:
     def blocks(self, text: str) -> list[tuple[int, str, float, int]]:
         """Line, name, share of the size saved and differing words of every confirmed block of a text."""
         text = text.lower()
-        if not self.gate.search(text):
+        if not any(w in text and gate.search(text) for w, gate in self.gates.items()):
             return []
         spans = [m.span() for m in WORD.finditer(text)]
-        words = [text[a:b] for a, b in spans]
-        found = {(name, *got) for at, w in enumerate(words) for name in self.by_word.get(w, ()) if (got := self._agreeing(name, words, at))}
+        words = _words(text)
+        found = {(t, *got) for at, w in enumerate(words) for t in self.by_word.get(w, ()) if (got := self._agreeing(t, words, at))}
         ranked = []
-        for name, differing, first, end in found:
+        for t, differing, first, end in found:
             raw = text[spans[first][0]:spans[end - 1][1]].encode()
-            saved = 1 - len(self.given[name].compress(raw)) / len(self.plain.compress(raw))
+            saved = 1 - len(self.given[t].compress(raw)) / len(self.plain.compress(raw))
             if saved > 0:
-                ranked.append((-saved, name, first, end, differing))
+                ranked.append((-saved, self.names[t], first, end, differing))
         taken: list[tuple[int, int]] = []
         out = []
         for less, name, first, end, differing in sorted(ranked):
@@ -114,7 +159,7 @@ class Templates:
 def license_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None) -> DataFrame:
     """One row per confirmed block: the key, ``line``, ``license``, ``saved`` (share of the size), ``differing`` (words)."""
     prepare(docs.sparkSession)
-    chosen = templates or TEMPLATES
+    chosen = list(templates.items()) if templates else [*TEMPLATES.items(), *WORDINGS]
     names = [key, "line", "license", "saved", "differing"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -61,3 +61,15 @@ def test_notices_over_lines_and_side_by_side(spark):
     assert [(r.doc_id, r.line, r.license) for r in got] == want and all(r.differing == 0 and r.saved > 0 for r in got)
     far = ["Released " + "word " * 9 + "under the MIT " + "word " * 9 + "License."]
     assert license_blocks(spark.createDataFrame([(1, far[0], 0, 0)], COLUMNS)).count() == 0
+
+
+def test_no_license_under_a_wrong_name(spark):
+    gnu = "This work is licensed under the GNU %sPublic License, version %s."
+    named = {gnu % ("General ", "2"): "GPL-2.0", gnu % ("General ", "3"): "GPL-3.0", gnu % ("Lesser General ", "3"): "LGPL-3.0", gnu % ("Affero General ", "3"): "AGPL-3.0",
+             "Licensed under CC BY-SA 4.0.": "CC-BY-SA-4.0", "Licensed under CC BY 4.0.": "CC-BY-4.0", "Licensed under CC BY-NC-ND 4.0.": "CC-BY-NC-ND-4.0", "Licensed under CC BY 3.0.": "CC-BY-3.0",
+             "Released under the BSD License.": "BSD", "Licensed under the Apache License, Version 1.1.": "Apache-1.1", "Licensed under the Apache license, version 2": "Apache-2.0",
+             "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": "CC-BY-SA-4.0",
+             "Released in 2019 under the terms of the MIT License": "MIT",
+             "Released under the Zlib License.": None, gnu % ("General ", "4"): None, "Licensed under the Apache License, Version 3.0.": None, "Some rights reserved.": None}
+    got = license_blocks(spark.createDataFrame([(k, t, 0, 0) for k, t in enumerate(named)], COLUMNS)).collect()
+    assert [(r.doc_id, r.license) for r in got] == [(k, n) for k, n in enumerate(named.values()) if n]
