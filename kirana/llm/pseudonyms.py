@@ -7,6 +7,9 @@ equal in all documents and the pseudonym passes the same validation.  A value is
 number in a mixed radix (digits, letters, days); the network works on the bits
 of that range and walks its cycle until it is inside again.
 
+Card numbers are whole digit groups with single spaces or hyphens between; in a run of
+groups every span of 13 to 19 digits is tried, the longer first, then the earlier.
+
 Defined results: null and empty texts hold nothing and come back as "";
 repeated rows and null keys return a row each; an empty table returns no rows;
 other columns are not read.
@@ -16,6 +19,7 @@ from __future__ import annotations
 
 import datetime as dt
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -27,13 +31,18 @@ from kirana.llm.common import prepare, texts
 KEY = b"public demonstration key"
 ROUNDS = 8
 _FIRST, _DAYS = dt.date(1900, 1, 1).toordinal(), 73049
+_PLAIN = (
+    r"(?<![\w-])(?P<date>\d{4}-\d{2}-\d{2})(?![\w-])"
+    r"|(?<![\w-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\w-])")
+PLAIN = re.compile(_PLAIN)
 FOUND = re.compile(
     r"(?P<email>[A-Za-z0-9][A-Za-z0-9._+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"
     r"|(?<![\w.])(?P<ip>\d{1,3}(?:\.\d{1,3}){3})(?![\w]|\.\d)"
-    r"|(?<![\w-])(?P<date>\d{4}-\d{2}-\d{2})(?![\w-])"
-    r"|(?<![\w-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\w-])"
+    rf"|{_PLAIN}"
     r"|(?<!\w)(?P<phone>\+\d{1,3} ?\(?\d{2,4}\)?(?:[ -]?\d{3,4}){2})(?!\w)"
-    r"|(?<![\w-])(?P<card>\d(?:[ -]?\d){12,18})(?![\w-])")
+    r"|(?<![\w-])(?P<card>(?=(?:[ -]?[0-9]){13})[0-9]+(?:[ -][0-9]+)*)(?![\w-])")
+#: Digits of a card number.
+CARD = range(13, 20)
 
 
 def permute(value: int, size: int, name: str, key: bytes = KEY) -> int:
@@ -111,17 +120,62 @@ def pseudonym(kind: str, value: str, key: bytes = KEY) -> str | None:
     return _symbols(local, kind, key) + "@" + host
 
 
-def mask(text: str, key: bytes = KEY) -> tuple[str, int]:
-    """The text with pseudonyms, and how many values were replaced."""
-    count = 0
+def _cards(run: str) -> list[tuple[int, int]]:
+    """Card numbers of a run of digit groups: whole groups, the longer first, then the earlier; none overlap."""
+    groups = [m.span() for m in re.finditer("[0-9]+", run)]
+    digits = [int(c) for c in run if c.isdecimal()]
+    # Luhn sums up to each digit, with every second digit doubled from the first or from the second one on
+    sums = [[0, *itertools.accumulate(d if k % 2 == odd else sum(divmod(2 * d, 10)) for k, d in enumerate(digits))] for odd in (0, 1)]
+    ends = [0, *itertools.accumulate(b - a for a, b in groups)]
+    valid = []
+    for k, (start, _) in enumerate(groups):
+        for n in range(k + 1, len(ends)):
+            size, known = ends[n] - ends[k], sums[(ends[n] - 1) % 2]
+            if size >= CARD.stop:
+                break
+            if size in CARD and (known[ends[n]] - known[ends[k]]) % 10 == 0:
+                valid.append((-size, start, groups[n - 1][1]))
+    taken: set[int] = set()
+    out = []
+    for _, start, end in sorted(valid):
+        if not any(p in taken for p in range(start, end)):
+            taken.update(range(start, end))
+            out.append((start, end))
+    return sorted(out)
+
+
+def _in_run(text: str, start: int, end: int, key: bytes) -> Iterator[tuple[int, int, str]]:
+    """Start, end and pseudonym of what a run of digit groups holds: dates and social security numbers, and cards between them."""
+    at = start
+    for m in [*PLAIN.finditer(text, start, end), None]:
+        got = m and pseudonym(m.lastgroup, m[0], key)
+        if m and got is None:
+            continue
+        for a, b in _cards(text[at:m.start() if m else end]):
+            yield at + a, at + b, pseudonym("card", text[at + a:at + b], key)
+        if m:
+            yield *m.span(), got
+            at = m.end()
 
-    def one(m: re.Match) -> str:
-        nonlocal count
-        got = pseudonym(m.lastgroup, m[0], key)
-        count += got is not None
-        return m[0] if got is None else got
 
-    return FOUND.sub(one, text), count
+def mask(text: str, key: bytes = KEY) -> tuple[str, int]:
+    """The text with pseudonyms, and how many values were replaced."""
+    count, out, done, at = 0, [], 0, 0
+    while m := FOUND.search(text, at):
+        start, at = m.span()
+        if m.lastgroup == "card":
+            # an address may begin with the last word of the run
+            last = text.rfind(" ", start, at) + 1
+            if last and (after := FOUND.match(text, last)) and after.lastgroup in ("email", "ip"):
+                at = last - 1
+            found = _in_run(text, start, at, key)
+        else:
+            got = pseudonym(m.lastgroup, m[0], key)
+            found = [] if got is None else [(start, at, got)]
+        for a, b, got in found:
+            out += text[done:a], got
+            count, done = count + 1, b
+    return "".join(out) + text[done:], count
 
 
 def pseudonymised(docs: DataFrame, key: str = "doc_id", text: str = "text", secret: bytes = KEY) -> DataFrame:

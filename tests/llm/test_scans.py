@@ -73,3 +73,17 @@ def test_no_license_under_a_wrong_name(spark):
              "Released under the Zlib License.": None, gnu % ("General ", "4"): None, "Licensed under the Apache License, Version 3.0.": None, "Some rights reserved.": None}
     got = license_blocks(spark.createDataFrame([(k, t, 0, 0) for k, t in enumerate(named)], COLUMNS)).collect()
     assert [(r.doc_id, r.license) for r in got] == [(k, n) for k, n in enumerate(named.values()) if n]
+
+
+def test_cards_beside_other_digits():
+    card = "4111111111111111"
+    spaced = "4111 1111 1111 1111"
+    hidden = pseudonym("card", card)
+    for text in ("Order 7 %s", "%s 2", "%s 12/27", "%s 123 and", "13 %s 4", "7-%s-123", "No 2024 31 %s 5 6 7 8 9 10 11 12 13 14"):
+        assert mask(text % card) == (text % hidden, 1)
+    got, n = mask(f"4 {spaced} 12/27")
+    assert n == 1 and spaced not in got and got == f"4 {pseudonym('card', spaced)} 12/27"
+    mixed = f"1 {card} 1987-02-28 {card} 123-45-6789 {card} 10.20.30.40 {card} 12@example.com"
+    want = [hidden, pseudonym("date", "1987-02-28"), hidden, pseudonym("ssn", "123-45-6789"), hidden, pseudonym("ip", "10.20.30.40"), hidden, pseudonym("email", "12@example.com")]
+    assert mask(mixed) == ("1 " + " ".join(want), 8)
+    assert mask("1 " * 100_000 + card)[0].endswith(hidden)
