@@ -1,6 +1,6 @@
 """Exact top-k by inner product over norm buckets (operator 9).
 
-Vectors are made integers, ``floor(scale * x)``, and grouped by length: bucket b
+Vectors are made integers, ``floor(scale * x)``, held in doubles (exact at any size), and grouped by length: bucket b
 holds those whose length is within a factor ``STEP`` of the next; a bucket is
 split into blocks of about ``BLOCK`` rows.  Queries form blocks too.
 
@@ -17,9 +17,9 @@ Blocks are joined by number, one row for each pair of blocks that may matter;
 no task gets more than a pair of blocks, and k rows a query leave it.
 
 Defined results: vectors that are null, empty, or hold null or non-finite
-components take no part, nor do those with a null key or with components beyond
-2 to the 24 after scaling, whose products could not be kept exact.  Only vectors
-of equal dimension are compared.  Rows that repeat a key and vector count once;
+components take no part, nor do those with a null key; a component that is no longer
+finite after scaling, or a score among the best k that doesn't fit a long, raises an
+error.  Only vectors of equal dimension are compared.  Rows that repeat a key and vector count once;
 equal scores are ordered by the smaller key; an empty table returns no rows;
 other columns are not read.
 """
@@ -40,15 +40,21 @@ BLOCK, QUERY_BLOCK = 4096, 512
 COORDINATES_FROM = 0.3
 #: Heaviest coordinates of a query that prune.
 FOCUS = 3
-LARGEST = 1 << 24
+#: Doubles from here on are whole numbers.
+WHOLE = float(1 << 53)
+TOO_LARGE = "a score does not fit a long"
 
 
 def integers(vector: Column, scale: int) -> Column:
-    return F.transform(vector, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")))
+    def whole(x: Column) -> Column:
+        y = F.lit(float(scale)) * x.cast("double")
+        return F.when(F.abs(y) < WHOLE, F.floor(y).cast("double")).otherwise(y)
 
+    return F.transform(vector, whole)
 
-def _usable(vector: Column, scale: int) -> Column:
-    fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) * scale < LARGEST))
+
+def _usable(vector: Column) -> Column:
+    fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
     return vector.isNotNull() & (F.size(vector) > 0) & F.coalesce(fine, F.lit(False))
 
 
@@ -68,9 +74,16 @@ def _matrix(rows: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return keys.to_numpy(zero_copy_only=False), values.reshape(len(keys), -1)
 
 
+def _whole(values: np.ndarray) -> np.ndarray:
+    """Python's integers, which have no bound."""
+    return np.array([int(x) for x in values.ravel()] + [None], object)[:-1].reshape(values.shape)
+
+
 def _survivors(q: np.ndarray, v: np.ndarray, q_length: np.ndarray, v_length: np.ndarray, bound: np.ndarray) -> np.ndarray:
     """Vectors that may reach some query's bound; rounding is allowed for."""
-    with np.errstate(divide="ignore", invalid="ignore"):
+    if not (np.isfinite(q_length).all() and np.isfinite(v_length).all()):
+        return np.ones(len(v), bool)
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
         cosine = bound / (q_length * v_length.max())
     cosine[~np.isfinite(cosine)] = -1.0
     keep = np.zeros(len(v), bool)
@@ -99,25 +112,38 @@ def _best(k: int):
             for i in range(b.num_rows):
                 q_keys, q = _matrix(b.column(0)[i].values)
                 v_keys, v = _matrix(b.column(1)[i].values)
-                bound = np.array(b.column(2)[i].as_py(), float) if b.column(2)[i].is_valid else np.full(len(q), -np.inf)
-                # sums below 2 to the 53 are exact in floating point, and quick
-                exact = float(np.abs(q).max(initial=0)) * float(np.abs(v).max(initial=0)) * q.shape[1] < 2**53
-                kind = float if exact else object
-                fq, fv = q.astype(float), v.astype(float)
-                keep = np.flatnonzero(_survivors(fq, fv, np.sqrt((fq**2).sum(1)), np.sqrt((fv**2).sum(1)), bound))
+                bound = b.column(2)[i].as_py() or [None] * len(q)
+                if not (np.isfinite(q).all() and np.isfinite(v).all()):
+                    raise OverflowError("a component is beyond the range of a double after scaling")
+                # sums below 2 to the 53 are exact in floating point, and quick; larger ones in longs, or else in Python's integers
+                most = int(np.abs(q).max(initial=0)) * int(np.abs(v).max(initial=0)) * q.shape[1]
+                kind = float if most < 2**53 else np.int64 if most < 2**63 else object
+                floor = np.array([-np.inf if x is None else x for x in bound], float)
+                with np.errstate(over="ignore"):
+                    keep = np.flatnonzero(_survivors(q, v, np.sqrt((q**2).sum(1)), np.sqrt((v**2).sum(1)), floor))
                 if not len(keep):
                     continue
-                score = q.astype(kind) @ v[keep].astype(kind).T
+                cast = _whole if kind is object else lambda x: x.astype(kind)
+                score = cast(q) @ cast(v[keep]).T
                 keys = v_keys[keep]
                 out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
                 for j in range(len(q)):
-                    other = np.flatnonzero((keys != q_keys[j]) & (score[j] >= bound[j]))
+                    reached = np.ones(len(keys), bool) if bound[j] is None else np.asarray(score[j] >= bound[j], bool)
+                    other = np.flatnonzero((keys != q_keys[j]) & reached)
                     if len(other) > k:
                         least = np.partition(score[j][other], len(other) - k)[len(other) - k]
-                        other = other[score[j][other] >= least]
+                        other = other[np.asarray(score[j][other] >= least, bool)]
                     other = other[np.lexsort((keys[other], -score[j][other]))][:k]
-                    out.append((np.full(len(other), q_keys[j]), keys[other], score[j][other].astype(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[n] for o in out])) for n in range(3)], ["query", "key", "score"])
+                    best = score[j][other]
+                    if kind is object:
+                        if any(x >= 2**63 for x in best):
+                            raise OverflowError(TOO_LARGE)
+                        # other blocks may have better ones; null comes last
+                        best = np.array([None if x < -2**63 else x for x in best], object)
+                    else:
+                        best = best.astype(np.int64)
+                    out.append((np.full(len(other), q_keys[j]), keys[other], best))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[n] for o in out]), pa.int64()) for n in range(3)], ["query", "key", "score"])
     return work
 
 
@@ -125,9 +151,11 @@ def top_k(rows: DataFrame, queries: Column, k: int = 10, key: str = "vec_id", ve
     """The ``k`` best other rows of each row that meets ``queries``: query_id, rank, vec_id, score."""
     prepare(rows.sparkSession)
     v = F.col(vector)
-    usable = rows.filter(F.col(key).isNotNull() & _usable(v, scale)).select(F.col(key).cast("long").alias("key"), integers(v, scale).alias("v"), queries.alias("asks"))
+    usable = rows.filter(F.col(key).isNotNull() & _usable(v)).select(F.col(key).cast("long").alias("key"), integers(v, scale).alias("v"), queries.alias("asks"))
     usable = usable.dropDuplicates(["key", "v"]).withColumn("dim", F.size("v"))
-    usable = usable.withColumn("length", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)))
+    # squares of the largest doubles are not finite, so components are divided by the largest one first
+    usable = usable.withColumn("size", F.greatest(F.array_max(F.transform("v", F.abs)), F.lit(1.0)))
+    usable = usable.withColumn("length", F.least(F.col("size") * F.sqrt(F.aggregate(F.transform("v", lambda x: x / F.col("size")), F.lit(0.0), lambda s, x: s + x * x)), F.lit(1.7e308))).drop("size")
     usable = stage(usable.withColumn("bucket", F.floor(F.log(F.greatest("length", F.lit(1.0))) / F.log(F.lit(STEP)))), "vectors")
     blocks = stage(_packed(usable, ["dim", "bucket"], BLOCK), "vector-blocks")
     asked = stage(_packed(usable.filter("asks"), ["dim"], QUERY_BLOCK), "query-blocks")
@@ -137,15 +165,16 @@ def top_k(rows: DataFrame, queries: Column, k: int = 10, key: str = "vec_id", ve
     # a block of the longest bucket of each dimension gives the bounds
     first = blocks.groupBy("dim").agg(F.max(F.struct("bucket", "number"))["number"].alias("number"))
     longest = blocks.join(first, ["dim", "number"]).select("dim", F.col("rows").alias("v"))
-    none = F.lit(None).cast("array<double>").alias("bound")
+    none = F.lit(None).cast("array<long>").alias("bound")
     begun = stage(q.join(longest, "dim").select("q", "v", none).mapInArrow(_best(k), schema), "top-first")
     order = Window.partitionBy("query").orderBy(F.desc("score"), "key")
-    ranked = begun.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") == k).select(F.col("query").alias("its"), F.col("score").cast("double").alias("bound"))
+    ranked = begun.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") == k).select(F.col("query").alias("its"), F.col("score").alias("bound"))
     # bounds in the order of the query block's rows
     each = asked.select("number", F.posexplode("rows").alias("at", "row")).select("number", "at", F.col("row.key").alias("its"))
     bounds = (each.join(ranked, "its", "left").groupBy("number")
-              .agg(F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce("bound", F.lit(float("-inf"))).alias("b")))), lambda x: x["b"]).alias("bound"))
-              .withColumn("least", F.array_min("bound")).withColumnRenamed("number", "asked"))
+              .agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "bound"))), lambda x: x["bound"]).alias("bound"))
+              # a query without a bound needs every block
+              .withColumn("least", F.when(F.forall("bound", lambda x: x.isNotNull()), F.array_min("bound").cast("double")).otherwise(F.lit(float("-inf")))).withColumnRenamed("number", "asked"))
     heads = q.drop("q").join(bounds, "asked")
     others = blocks.join(first, ["dim", "number"], "left_anti").select("dim", "number", "longest")
     pairs = others.join(heads, "dim").filter(F.col("q_longest") * F.col("longest") * (1 + 1e-9) + 1e-6 >= F.col("least")).select("asked", "number")
@@ -153,4 +182,4 @@ def top_k(rows: DataFrame, queries: Column, k: int = 10, key: str = "vec_id", ve
             .join(blocks.select("number", F.col("rows").alias("v")), "number")
             .select("q", "v", "bound").mapInArrow(_best(k), schema))
     found = begun.unionByName(rest).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return found.select(F.col("query").alias("query_id"), "rank", F.col("key").alias("vec_id"), "score")
+    return found.select(F.col("query").alias("query_id"), "rank", F.col("key").alias("vec_id"), F.coalesce("score", F.raise_error(F.lit(TOO_LARGE)).cast("long")).alias("score"))

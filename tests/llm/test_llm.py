@@ -272,6 +272,30 @@ def test_top_k(spark):
     assert top_k(frame.limit(0), F.col("vec_id") % 10 == 0).count() == 0
 
 
+@pytest.mark.parametrize("size", [1e3, 20_000.0, 2e5, 1e6])
+def test_top_k_of_long_vectors(spark, size):
+    r = random.Random(9)
+    rows = [(k, [size * r.uniform(-1, 1) for _ in range(6)]) for k in range(120)] + [(k, [size, -size, 0.5, 0.0, 0.0, 0.0]) for k in range(120, 140)]
+    rows += [(k, [r.uniform(-1, 1) for _ in range(6)]) for k in range(140, 200)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    ints = {k: [int(np.floor(1024 * x)) for x in v] for k, v in rows}
+    want = []
+    for q in range(0, 200, 10):
+        best = sorted((-sum(a * b for a, b in zip(ints[q], v)), k) for k, v in ints.items() if k != q)[:10]
+        want += [(q, n + 1, k, -s) for n, (s, k) in enumerate(best)]
+    got = [tuple(x) for x in top_k(frame, F.col("vec_id") % 10 == 0).select("query_id", "rank", "vec_id", "score").collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_top_k_beyond_a_long(spark):
+    apart = spark.createDataFrame([(0, [1e200, 0.0]), (1, [0.0, 1.0]), (2, [-1e200, 1.0])], "vec_id long, embedding array<double>")
+    assert [x.score for x in top_k(apart, F.col("vec_id") == 1).orderBy("rank").collect()] == [1 << 20, 0]
+    more = apart.union(spark.createDataFrame([(k, [0.0, float(k)]) for k in range(3, 20)], apart.schema))
+    assert [x.score for x in top_k(more, F.col("vec_id") == 0).collect()] == [0] * 10
+    with pytest.raises(Exception, match="does not fit a long"):
+        top_k(apart, F.col("vec_id") == 0).collect()
+
+
 @pytest.mark.parametrize("key", sorted(ORACLE_SQL))
 def test_oracles(spark, key):
     from tests.oracle_compare import digest, duck
