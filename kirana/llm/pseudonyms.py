@@ -7,7 +7,11 @@ equal in all documents and the pseudonym passes the same validation.  A value is
 number in a mixed radix (digits, letters, days); the network works on the bits
 of that range and walks its cycle until it is inside again.
 
-Card numbers are whole digit groups with single spaces or hyphens between; in a run of
+Formats: dates of 1900 to 2099 as 1987-02-28 (also before a time, T10:00), 28/02/1987,
+28.02.1987 or, where only that is a date, 02/28/1987 and 02.28.1987; phones as +1 (017) 555-7713
+with single spaces or hyphens, or (555) 123-4567 and 555-123-4567 with an area from 200;
+social security numbers with hyphens only, as nine plain digits may be any number; IPv4 and
+e-mail addresses.  Card numbers are whole digit groups with single spaces or hyphens between; in a run of
 groups every span of 13 to 19 digits is tried, the longer first, then the earlier.
 
 Defined results: null and empty texts hold nothing and come back as "";
@@ -32,7 +36,9 @@ KEY = b"public demonstration key"
 ROUNDS = 8
 _FIRST, _DAYS = dt.date(1900, 1, 1).toordinal(), 73049
 _PLAIN = (
-    r"(?<![\w-])(?P<date>\d{4}-\d{2}-\d{2})(?![\w-])"
+    r"(?<![\w-])(?P<date>[0-9]{4}-[0-9]{2}-[0-9]{2})(?:(?=T[0-9]{2}:[0-9]{2})|(?![\w-]))"
+    r"|(?<![\w./-])(?P<day>[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![\w/-]|\.\d)"
+    r"|(?<![\w-])(?P<local>\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4})(?![\w-])"
     r"|(?<![\w-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\w-])")
 PLAIN = re.compile(_PLAIN)
 FOUND = re.compile(
@@ -105,6 +111,24 @@ def pseudonym(kind: str, value: str, key: bytes = KEY) -> str | None:
         except ValueError:
             return None
         return dt.date.fromordinal(_FIRST + permute(day, _DAYS, kind, key)).isoformat() if 0 <= day < _DAYS else None
+    if kind == "day":
+        first, second, year = int(value[:2]), int(value[3:5]), int(value[6:])
+        # day first; month first only where the day shows it, and then it goes on to show it
+        swapped = second > 12
+        try:
+            day = dt.date(year, *((first, second) if swapped else (second, first))).toordinal() - _FIRST
+        except ValueError:
+            return None
+        if not 0 <= day < _DAYS:
+            return None
+        day = permute(day, _DAYS, "date", key)
+        while swapped and dt.date.fromordinal(_FIRST + day).day <= 12:
+            day = permute(day, _DAYS, "date", key)
+        got = dt.date.fromordinal(_FIRST + day)
+        return _like(value, f"{got.month:02d}{got.day:02d}{got.year}" if swapped else f"{got.day:02d}{got.month:02d}{got.year}")
+    if kind == "local":
+        number = int(digits) - 2 * 10**9
+        return _like(value, str(permute(number, 8 * 10**9, kind, key) + 2 * 10**9)) if number >= 0 else None
     if kind == "ssn":
         area, group, serial = (int(p) for p in value.split("-"))
         if area in (0, 666) or area > 899 or not group or not serial:
@@ -166,7 +190,7 @@ def mask(text: str, key: bytes = KEY) -> tuple[str, int]:
         if m.lastgroup == "card":
             # an address may begin with the last word of the run
             last = text.rfind(" ", start, at) + 1
-            if last and (after := FOUND.match(text, last)) and after.lastgroup in ("email", "ip"):
+            if last and (after := FOUND.match(text, last)) and after.lastgroup in ("email", "ip", "day"):
                 at = last - 1
             found = _in_run(text, start, at, key)
         else:

@@ -87,3 +87,21 @@ def test_cards_beside_other_digits():
     want = [hidden, pseudonym("date", "1987-02-28"), hidden, pseudonym("ssn", "123-45-6789"), hidden, pseudonym("ip", "10.20.30.40"), hidden, pseudonym("email", "12@example.com")]
     assert mask(mixed) == ("1 " + " ".join(want), 8)
     assert mask("1 " * 100_000 + card)[0].endswith(hidden)
+
+
+def test_more_layouts():
+    dates = {"28/02/1987": r"\d\d/\d\d/\d{4}", "28.02.1987": r"\d\d\.\d\d\.\d{4}", "02/28/1987": r"\d\d/\d\d/\d{4}", "1987-02-28T10:00": r"\d{4}-\d\d-\d\dT10:00"}
+    phones = {"(555) 123-4567": r"\([2-9]\d\d\) \d{3}-\d{4}", "555-123-4567": r"[2-9]\d\d-\d{3}-\d{4}"}
+    for value, layout in (dates | phones).items():
+        got, n = mask(f"On {value}, or {value}.")
+        assert n == 2 and value not in got and re.fullmatch(f"On ({layout}), or \\1\\.", got)
+        assert mask(got)[1] == 2
+    year, month, day = pseudonym("date", "1987-02-28").split("-")
+    assert pseudonym("day", "28.02.1987") == f"{day}.{month}.{year}"
+    for text in ("31/02/1987", "28.02.87", "1.28.02.1987", "28/02/1887", "(155) 123-4567", "155-123-4567", "1555-123-4567"):
+        assert mask(text) == (text, 0)
+    seen = {pseudonym("day", f"{m:02d}/{d:02d}/1990") for m in range(1, 13) for d in range(1, 29)}
+    assert len(seen) == 12 * 28
+    assert mask("4111111111111111 555-123-4567")[0] == f"{pseudonym('card', '4111111111111111')} {pseudonym('local', '555-123-4567')}"
+    for last in ("28/02/1987", "28.02.1987"):
+        assert mask(f"4111111111111111 {last}")[0] == f"{pseudonym('card', '4111111111111111')} {pseudonym('day', last)}"
