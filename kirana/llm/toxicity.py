@@ -3,8 +3,8 @@
 The grammar of ``clauses.py`` finds clauses; what counts as an insult, and how
 much each kind of clause weighs, is learnt from labelled rows:
 
-1. From at most about ``SAMPLE_ROWS`` labelled documents, copies of one another
-   taken once, the lexicon: words and beginnings of words that stand in many
+1. From at most about ``SAMPLE_ROWS`` labelled documents, exact copies but for case
+   and white space taken once, the lexicon: words and beginnings of words that stand in many
    toxic and few other documents, with their log odds as weights.
 2. A logistic regression over the clause weights by kind.
 
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kirana.llm.clauses import KINDS, REPORTED, THREAT, TOKEN, Grammar, entries
-from kirana.llm.common import prepare, stage, texts
+from kirana.llm.common import prepare, squeezed, stage, texts
 
 #: Labelled documents that the model is fitted on, about; all of them if there are no more.
 SAMPLE_ROWS = 20_000
@@ -122,22 +122,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     # the sample's size is bounded by a parameter, so it may be broadcast
     rows = docs.select(F.col(key).alias("its"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(sample), "its")
 
-    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Two smallest hashes of word triples; copies mostly share both."""
-        import xxhash
-
-        for b in batches:
-            got = []
-            for t in texts(b.column(0)):
-                w = t.split()
-                least = [min((xxhash.xxh64_intdigest(" ".join(w[k:k + 3]), seed) for k in range(max(1, len(w) - 2))), default=0) for seed in (1, 2)]
-                got.append([x >> 1 for x in least])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([g[k] for g in got], pa.int64()) for k in (0, 1))], ["text", "toxic", "m1", "m2"])
-
-    once = rows.select("text", "toxic").mapInArrow(marks, "text string, toxic int, m1 long, m2 long")
-    for m in ("m1", "m2"):
-        best = once.groupBy(m, "toxic").agg(F.max_by("text", F.xxhash64("text")).alias("text"), F.max("m2").alias("other"))
-        once = best.select("text", "toxic", F.col("other").alias("m2")) if m == "m1" else best.select("text", "toxic")
+    # copies but for case and white space; texts that only share passages stay
+    same = F.sha2(F.lower(squeezed(F.col("text"))), 256)
+    once = rows.groupBy(same.alias("same"), "toxic").agg(F.max("text").alias("text")).select("text", "toxic")
     rows = stage(once, "toxic-sample")
     lexicon = _lexicon(rows)
 

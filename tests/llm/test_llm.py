@@ -257,6 +257,19 @@ def test_toxicity_learns(spark):
     assert toxicity.score(docs, blank).count() == 402
 
 
+def test_toxicity_keeps_texts_that_share_a_passage(spark, monkeypatch):
+    passage = " ".join(words(11, 40))
+    rows = [(k, f"{passage} {' '.join(words(100 + k, 40))}") for k in range(300)] + [(k, passage) for k in range(300, 340)]
+    rows += [(k, f" {passage.upper()}") for k in range(340, 380)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = []
+    monkeypatch.setattr(toxicity, "stage", lambda df, name: kept.append([x.text for x in df.collect()]) or df)
+    toxicity.fit(docs, docs.select("doc_id", F.lit(0).alias("toxic")))
+    open_ = {t for k, t in docs.filter(~toxicity.held_out(F.col("doc_id"))).collect()}
+    assert len(kept[0]) == len(set(kept[0])) and {" ".join(t.lower().split()) for t in kept[0]} == {" ".join(t.lower().split()) for t in open_}
+    assert len(kept[0]) == len({t.lower().strip() for t in open_})
+
+
 def test_top_k(spark):
     r = random.Random(8)
     rows = [(k, [r.uniform(-2, 2) * (1 + k % 3) for _ in range(6)], 0) for k in range(300)] + [(k, [1.0, 0.5], 0) for k in range(300, 312)]
