@@ -102,7 +102,7 @@ def q_stream_warmup(spark, d):
 def q_stream_stock_ledger(spark, d):
     t = tb.load(spark, d)
     opening = t.products.select(F.col("id").alias("product_id"), F.col("stock_quantity").alias("opening"))
-    moves = t.stock_moves.join(opening, "product_id")
+    moves = t.stock_moves.join(opening, "product_id", "left")
     return _stepped(spark, moves, so.stock_ledger_step(MOVE_ORDER), "stock-ledger").select(
         "product_id", "ts", "l_orderkey", "l_linenumber", "l_suppkey", "delta", "balance")
 

@@ -135,7 +135,8 @@ def order_lock_step() -> tuple[Step, str]:
 
 def stock_ledger_step(order: list[str]) -> tuple[Step, str]:
     """Floored stock ledger on a stream of moves (with an ``opening`` column), in
-    ``order`` within a micro-batch.  State: the balance per product."""
+    ``order`` within a micro-batch.  State: the balance per product.  Moves of a product
+    without an opening stay, with no balance and the reason ``unknown product``."""
     def step(moves: DataFrame, before: DataFrame) -> tuple[DataFrame, DataFrame]:
         m = (moves.join(before.withColumnRenamed("balance", "_held"), "product_id", "left")
              .withColumn("_from", F.coalesce("_held", "opening")))
@@ -143,5 +144,6 @@ def stock_ledger_step(order: list[str]) -> tuple[Step, str]:
                                     F.col("_from"), F.col("delta"), "balance")
         last = led.groupBy("product_id").agg(F.max_by("balance", F.struct(*order)).alias("_now"))
         after = before.join(last, "product_id", "full_outer").select("product_id", F.coalesce("_now", "balance").alias("balance"))
+        led = led.withColumn("reason", F.when(F.col("_from").isNull(), F.lit("unknown product")))
         return led.drop("_held", "_from", "opening"), after
     return step, "product_id long, balance long"

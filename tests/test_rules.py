@@ -99,3 +99,25 @@ def test_calls_without_a_phone_are_kept(spark):
     calls = spark.createDataFrame([("c1", "", at(3)), ("c2", None, at(3)), ("c3", "+919876543210", at(3))], "call_sid string, caller_phone string, started_at timestamp")
     orders = spark.createDataFrame([("ORD-1", "9876543210", at(1))], "order_id string, customer_phone string, created_at timestamp")
     assert {r.call_sid: r.order_id for r in cl.asof_orders(calls, orders).collect()} == {"c1": None, "c2": None, "c3": "ORD-1"}
+
+
+def test_streamed_ledger_keeps_moves_of_unknown_products(spark, monkeypatch):
+    import datetime as dt
+    from types import SimpleNamespace
+
+    import kirana.plans.catalog  # noqa: F401  registers the twins first
+    from kirana.plans import q_stream
+    from kirana.plans.q_ledger import MOVE_ORDER
+    from kirana.streaming import ops
+
+    rows = [(p, dt.datetime(2024, 1, 1 + k), k, 1, 1, 1.0, 0.0, 0.0, "N", "O", -2) for k, p in enumerate([1, 9, 1, 9])]
+    moves = spark.createDataFrame(rows, "product_id long, ts timestamp, l_orderkey long, l_linenumber int, l_suppkey long, "
+                                        "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, delta long")
+    products = spark.createDataFrame([(1, 3)], "id long, stock_quantity long")
+    monkeypatch.setattr(q_stream.tb, "load", lambda *_: SimpleNamespace(products=products, stock_moves=moves))
+    got = sorted((r.l_orderkey, r.product_id, r.balance) for r in q_stream.q_stream_stock_ledger(spark, "").collect())
+    assert got == [(0, 1, 1), (1, 9, None), (2, 1, 0), (3, 9, None)]
+    step, state = ops.stock_ledger_step(MOVE_ORDER)
+    opening = products.select(products.id.alias("product_id"), products.stock_quantity.alias("opening"))
+    led, _ = step(moves.join(opening, "product_id", "left"), spark.createDataFrame([], state))
+    assert {(r.product_id, r.reason) for r in led.collect()} == {(1, None), (9, "unknown product")}
