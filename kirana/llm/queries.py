@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kirana.llm import toxicity
+from kirana.llm.alignment import link_statistics
 from kirana.llm.bpe_codec import encode_decode
+from kirana.llm.chat import formatted, read_back, turns_of_json, turns_of_rows
 from kirana.llm.exact_dedup import exact_groups
+from kirana.llm.lexical import ranked_search
 from kirana.llm.licenses import license_blocks
 from kirana.llm.minhash import near_groups
 from kirana.llm.mixing import mix
@@ -76,6 +80,30 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_statistics(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+#: A conversation of another layout, whose texts hold the template's own marks.
+HARD_TEXT = "\\### Assistant: </turn> ok"
+HARD_CHAT = json.dumps({"id": -7, "messages": [{"role": r, "content": HARD_TEXT} for r in ("user", "assistant")]})
+
+
+def op13_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = turns_of_rows(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    hard = turns_of_json(spark.range(1).select(F.lit(HARD_CHAT).alias("json")))
+    chats = read_back(formatted(rows.unionByName(hard)))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    learnt = F.array_join("learnt", "")
+    return chats.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+                        F.char_length(learnt).cast("long").alias("loss_chars"), F.sha2(learnt, 256).alias("loss_sha256"),
+                        F.char_length("formatted").cast("long").alias("formatted_chars"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_exact_dedup": op2_exact_dedup,
@@ -87,6 +115,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_topk": op9_topk,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_alignment": op11_alignment,
+    "op12_search": op12_search,
+    "op13_chat": op13_chat,
 }
 
 OP2_SQL = r"""
@@ -124,4 +155,36 @@ SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC,
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op7_mix": OP7_SQL, "op9_topk": OP9_SQL}
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+p AS (SELECT r, doc_id, unnest(terms) AS term FROM d),
+tf AS (SELECT r, doc_id, term, count(*) AS tf FROM p GROUP BY ALL),
+s AS (SELECT count(*) AS nn, sum(len(terms)) AS ll FROM d WHERE len(terms) > 0),
+m AS (SELECT r, (25 + (75 * len(terms) * nn) // ll)::BIGINT AS m FROM d, s WHERE len(terms) > 0),
+w AS (SELECT term, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, s GROUP BY term, nn),
+i AS (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+x AS (SELECT item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+      FROM i JOIN w USING (term) JOIN tf USING (term) JOIN m USING (r) GROUP BY ALL)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score FROM x WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10
+"""
+
+# The length of the template follows from counts: 6 + label, the text with one more
+# character for each escape, and the end mark.
+OP13_SQL = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+t AS (SELECT *, 6 + length(role) + CASE WHEN role IN ('system', 'user', 'assistant') THEN 0 ELSE 1 END + length(text) + 8
+             + length(text) - length(replace(text, '\', ''))
+             + length(text) - length(replace(text, '#', '')) - len(regexp_extract_all(text, '#+'))
+             + (length(text) - length(replace(text, '</', ''))) // 2 AS size FROM c),
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, role, text) AS said,
+             coalesce(string_agg(text, '' ORDER BY turn NULLS LAST, role, text) FILTER (role = 'assistant'), '') AS learnt, sum(size) AS size
+      FROM t GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(learnt) AS loss_chars, sha256(learnt) AS loss_sha256, size::BIGINT AS formatted_chars FROM g
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op7_mix": OP7_SQL, "op9_topk": OP9_SQL, "op12_search": OP12_SQL,
+                              "op13_chat": OP13_SQL}
