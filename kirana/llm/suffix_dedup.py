@@ -25,8 +25,9 @@ in one task.
 
 Defined results: null and empty texts, and texts under LENGTH bytes, lose
 nothing; a document with a null key takes no part and is returned whole; rows
-that repeat a key must repeat its text and get the same result each; equal
-strings in one document are ordered by start; an empty table returns no rows;
+that repeat a key and its text are one document and get the same result each;
+rows of one key with different texts are documents of their own, ordered by the
+SHA-256 of their texts; equal strings in one document are ordered by start; an empty table returns no rows;
 other columns are not read.
 """
 
@@ -266,16 +267,29 @@ def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          ["key", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
+def _documents(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, text, doc): ``doc`` is the key, or where keys repeat a number in order of key and text."""
+    lean = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    if not lean.filter("key is not null").groupBy("key").count().filter("count > 1").limit(1).count():
+        return lean.withColumn("doc", F.col("key"))
+    lean = lean.withColumn("mark", F.when(F.col("key").isNotNull(), F.sha2("text", 256)))
+    numbers = (lean.filter("key is not null").select("key", "mark").distinct().orderBy("key", "mark")
+               .withColumn("doc", F.monotonically_increasing_id()))
+    return lean.join(stage(numbers, "numbers"), ["key", "mark"], "left").select("key", "text", "doc")
+
+
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, span) of starts whose LENGTH bytes also start earlier; a span packs its first start, width and sample."""
+    """(doc, span) of starts whose LENGTH bytes also start earlier; a span packs its first start, width and sample.
+
+    Rows of one key must hold one text (``without_repeats`` numbers them where they don't)."""
     prepare(docs.sparkSession)
     return _rounds(docs.select(F.col(key).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text")).filter("doc is not null"))
 
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: the key, ``n_bytes``, ``n_removed``, ``n_spans``, and ``kept``, the bytes left."""
-    spans = repeated_spans(docs, key, text).groupBy("doc").agg(F.collect_list("span").alias("spans"))
-    lean = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    joined = lean.join(spans, F.col("key") == F.col("doc"), "left").select("key", "text", "spans")
+    own = _documents(docs, key, text)
+    spans = repeated_spans(own, "doc", "text").groupBy(F.col("doc").alias("of")).agg(F.collect_list("span").alias("spans"))
+    joined = own.join(spans, F.col("doc") == F.col("of"), "left").select("key", "text", "spans")
     out = joined.mapInArrow(_rest, f"key {dict(docs.dtypes)[key]}, n_bytes long, n_removed long, n_spans long, kept binary")
     return out.withColumnRenamed("key", key)
