@@ -17,7 +17,6 @@ import numpy as np
 NONE = np.int32(2**31 - 1)
 #: Longer words go through a heap, whose time is n log n instead of n squared.
 SHORT = 128
-_SLOTS = 1 << 18
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -51,22 +50,25 @@ class Ranks:
         right = np.array([vocab[b] for _, b in merges], np.uint64)
         self.made = np.array([vocab[a + b] for a, b in merges], np.int32)
         self.pairs = {(int(a), int(b)): r for r, (a, b) in enumerate(zip(left, right))}
-        self._keys = np.full(_SLOTS, np.iinfo(np.uint64).max, np.uint64)
-        self._rank = np.full(_SLOTS, NONE, np.int32)
+        # open addressing, at most a quarter full
+        bits = max(10, (4 * len(merges)).bit_length())
+        self._shift, self._slots = np.uint64(64 - bits), 1 << bits
+        self._keys = np.full(self._slots, np.iinfo(np.uint64).max, np.uint64)
+        self._rank = np.full(self._slots, NONE, np.int32)
         for r, key in enumerate(((left << np.uint64(32)) | right).tolist()):
-            at = ((key * int(_SPREAD)) & (2**64 - 1)) >> 46
+            at = ((key * int(_SPREAD)) & (2**64 - 1)) >> (64 - bits)
             while self._rank[at] != NONE:
-                at = (at + 1) % _SLOTS
+                at = (at + 1) % self._slots
             self._keys[at], self._rank[at] = key, r
 
     def of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair (NONE where there is no merge)."""
         key = (left.astype(np.uint64) << np.uint64(32)) | right.astype(np.uint64)
-        at = ((key * _SPREAD) >> np.uint64(46)).astype(np.int64)
+        at = ((key * _SPREAD) >> self._shift).astype(np.int64)
         out = self._rank[at]
         open_ = np.flatnonzero((out != NONE) & (self._keys[at] != key))
         while len(open_):
-            at[open_] = (at[open_] + 1) % _SLOTS
+            at[open_] = (at[open_] + 1) % self._slots
             out[open_] = self._rank[at[open_]]
             open_ = open_[(out[open_] != NONE) & (self._keys[at[open_]] != key[open_])]
         return out
