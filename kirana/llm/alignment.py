@@ -39,7 +39,7 @@ from kirana.llm.split import RARE
 
 COMMON = 1 << 20
 #: Ids of the windows that a worker keeps; beyond it the table starts anew.
-TABLE_IDS = 2_000_000
+TABLE_IDS = 3_000_000
 _CUT = b"\xff\xff\xff\xff"  # no id is -1
 #: How byte-level files of this kind cut texts (fixed by the tokenizer).
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -102,12 +102,22 @@ class PieceTokens:
         return self.model.encode(batch, num_threads=1)
 
 
+def _spread(first: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... (many[0] of them), first[1], ..."""
+    ends = np.cumsum(many)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - many), many)
+
+
 class Windows:
-    """Alignments of windows, each worked out once and numbered."""
+    """Alignments of windows, each worked out once and numbered; new ones are worked out together."""
 
     def __init__(self, a: ByteTokens, b: PieceTokens):
-        self.length = [[len(t) for t in a.bytes], [len(t) for t in b.bytes]]
+        self.length = [np.array([len(t) for t in x.bytes], np.int64) for x in (a, b)]
         self.many_b = len(b.bytes)
+        digits = [str(i).encode() + b"," for i in range(max(len(a.bytes), len(b.bytes)))]
+        self.digits = np.frombuffer(b"".join(digits), np.uint8)
+        self.wide = np.array([len(d) for d in digits], np.int64)
+        self.at = np.cumsum(self.wide) - self.wide
         self.clear()
 
     def clear(self) -> None:
@@ -115,48 +125,49 @@ class Windows:
         self.groups: list[str] = []
         self.n_groups = array("q")
         self.links = array("q")  # id pairs as a * many_b + b
-        self.ends = array("q", [0])
+        self.n_links = array("q")
         self.ids = 0
 
-    def add(self, key: bytes) -> int:
-        """Two ordered lists of byte ranges over the same bytes, walked together."""
-        cut = key.index(_CUT)
-        while cut % 4:
-            cut = key.index(_CUT, cut + 1)
-        a, b = np.frombuffer(key[:cut], np.int32).tolist(), np.frombuffer(key[cut + 4:], np.int32).tolist()
-        len_a, len_b = self.length
-        i = j = first_a = first_b = 0
-        end_a, end_b = len_a[a[0]], len_b[b[0]]
-        groups = []
-        while True:
-            self.links.append(a[i] * self.many_b + b[j])
-            if end_a == end_b:
-                groups.append(",".join(map(str, a[first_a:i + 1])) + "|" + ",".join(map(str, b[first_b:j + 1])))
-                i, j = i + 1, j + 1
-                if i == len(a):
-                    break
-                first_a, first_b = i, j
-                end_a, end_b = end_a + len_a[a[i]], end_b + len_b[b[j]]
-            elif end_a < end_b:
-                i += 1
-                end_a += len_a[a[i]]
-            else:
-                j += 1
-                end_b += len_b[b[j]]
-        self.groups.append(";".join(groups))
-        self.n_groups.append(len(groups))
-        self.ends.append(len(self.links))
-        self.ids += len(a) + len(b)
-        self.number[key] = len(self.groups) - 1
-        return len(self.groups) - 1
-
-    def of(self, keys: list[bytes]) -> list[int]:
+    def of(self, keys: list[bytes], ids: list[np.ndarray], first: list[np.ndarray], last: list[np.ndarray]) -> list[int]:
+        """Numbers of windows: ids of A and B from ``first`` up to ``last``, and the bytes of both."""
         got = list(map(self.number.get, keys))
+        new = []
         for k in [k for k, x in enumerate(got) if x is None]:
-            found = self.number.get(keys[k])
-            got[k] = self.add(keys[k]) if found is None else found
+            n = got[k] = self.number.setdefault(keys[k], len(self.number))
+            if n == len(self.groups) + len(new):
+                new.append(k)
+        if new:
+            many = [z[new] - a[new] for a, z in zip(first, last)]
+            self._align([x[_spread(a[new], n)].astype(np.int64) for x, a, n in zip(ids, first, many)], many)
         return got
 
+    def _align(self, ids: list[np.ndarray], many: list[np.ndarray]) -> None:
+        """Adds windows whose tokens stand one window after the other; both sides cover the same bytes."""
+        end_a, end_b = (np.cumsum(n[x]) for n, x in zip(self.length, ids))
+        stop = end_a[np.cumsum(many[0]) - 1]
+        in_a = np.searchsorted(end_a, end_b)
+        both = end_a[in_a] == end_b
+        # every range between neighbouring ends of either side lies in one token of each: a link
+        ends = np.sort(np.concatenate([end_a, end_b[~both]]))
+        self.links.frombytes((ids[0][np.searchsorted(end_a, ends)] * self.many_b + ids[1][np.searchsorted(end_b, ends)]).tobytes())
+        self.n_links.frombytes(np.diff(np.searchsorted(ends, stop, "right"), prepend=0).tobytes())
+        shared = end_b[both]
+        self.n_groups.frombytes(np.diff(np.searchsorted(shared, stop, "right"), prepend=0).tobytes())
+        # the ids of a group's A tokens, then of its B tokens, each with the mark behind it
+        group = [np.searchsorted(shared, e) for e in (end_a, end_b)]
+        order = np.argsort(np.concatenate([2 * group[0], 2 * group[1] + 1]), kind="stable")
+        token = np.concatenate(ids)[order]
+        side = np.concatenate([2 * group[0], 2 * group[1] + 1])[order]
+        wide = self.wide[token]
+        text = self.digits[_spread(self.at[token], wide)]
+        behind = np.cumsum(wide)
+        closes = np.flatnonzero(np.diff(side, append=-1) != 0)
+        text[behind[closes] - 1] = np.where(side[closes] % 2 == 0, ord("|"), ord(";"))
+        cut = behind[np.cumsum(many[0] + many[1]) - 1].tolist()
+        said = text.tobytes().decode("ascii")
+        self.groups += [said[p:q - 1] for p, q in zip([0, *cut[:-1]], cut)]
+        self.ids += len(token)
+
 
 class Aligner:
     """Aligns batches of texts."""
@@ -164,7 +175,7 @@ class Aligner:
     def __init__(self, path_a: str, path_b: str):
         self.a, self.b = ByteTokens(path_a), PieceTokens(path_b)
         self.windows = Windows(self.a, self.b)
-        self.length = [np.array(x, np.int64) for x in self.windows.length]
+        self.length = self.windows.length
         self.spaced = [np.array([t.startswith(b" ") for t in x.bytes]) for x in (self.a, self.b)]
 
     def tokens(self, batch: list[str]) -> tuple[list[list[int]], list[list[int]]]:
@@ -195,14 +206,17 @@ class Aligner:
         cut_a = shared[(opens[0][shared + 1] & opens[1][at_b[shared] + 1]) | last[shared + 1]] + 1
         cut_b = at_b[cut_a - 1] + 1
         raw = [x.tobytes() for x in flat]
-        stops = [(4 * c).tolist() for c in (cut_a, cut_b)]
+        last_of = [cut_a, cut_b]
+        first_of = [np.concatenate([[0], c])[:-1] for c in last_of]
+        stops = [(4 * c).tolist() for c in last_of]
         starts = [[0, *s[:-1]] for s in stops]
         one, two = raw
-        number = self.windows.of([one[p:q] + _CUT + two[r:s] for p, q, r, s in zip(starts[0], stops[0], starts[1], stops[1])])
+        keys = [one[p:q] + _CUT + two[r:s] for p, q, r, s in zip(starts[0], stops[0], starts[1], stops[1])]
+        number = self.windows.of(keys, flat, first_of, last_of)
         window = np.array(number, np.int64)
         of_doc = np.searchsorted(cut_a, begin[0], "right")  # windows end where their document ends at the latest
-        n_groups, ends = np.array(self.windows.n_groups, np.int64), np.array(self.windows.ends, np.int64)
-        links, many = np.array(self.windows.links, np.int64), np.diff(ends)
+        n_groups, many, links = (np.array(x, np.int64) for x in (self.windows.n_groups, self.windows.n_links, self.windows.links))
+        ends = np.cumsum(many) - many
 
         def sums(x: np.ndarray) -> np.ndarray:
             total = np.concatenate([[0], np.cumsum(x)])
@@ -215,7 +229,7 @@ class Aligner:
         own, often = np.unique(doc * max(1, len(many)) + window, return_counts=True)
         doc, window_of = np.divmod(own, max(1, len(many)))
         size = many[window_of] if len(many) else np.zeros(0, np.int64)
-        where = np.arange(size.sum()) + np.repeat(ends[window_of] - (np.cumsum(size) - size), size)
+        where = _spread(ends[window_of], size) if len(many) else size
         span = len(self.a.bytes) * len(self.b.bytes)
         pair, back = np.unique(np.repeat(doc, size) * span + links[where], return_inverse=True)
         times = np.bincount(back, np.repeat(often, size), len(pair)).astype(np.int64)
@@ -242,7 +256,7 @@ def alignments(docs: DataFrame, path_a: str, path_b: str, key: str = "doc_id", t
             _, offsets = utf8(b.column(1))
             for x, z in slices(offsets):
                 made = aligner.batch(texts(b.column(1).slice(x, z - x)))
-                yield pa.RecordBatch.from_arrays([pa.array(range(row, row + z - x), pa.int64()), b.column(0).slice(x, z - x),
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + z - x)), b.column(0).slice(x, z - x),
                                                   *[made[c] for c in schema.names[2:]]], schema.names)
                 row += z - x
 
