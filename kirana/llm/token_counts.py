@@ -1,12 +1,13 @@
 """Token counts without ids (operator 8).
 
-1. Every distinct pre-token of the corpus is counted, and its pieces are
-   worked out once with the rank arrays of ``bpe.py``.
-2. Each document's pre-token frequencies are joined to those piece counts and
-   summed.  Pre-tokens that make up at least one in ``COMMON`` of all
-   occurrences are at most ``COMMON`` by definition; those join on the map
-   side, from a broadcast table.  The rest go through a shuffled join, in
-   which therefore no key is hot.
+1. Every text is split once; its pre-token frequencies are written, one row a text.
+2. Every distinct pre-token of the corpus is counted, and its pieces are worked out
+   once with the rank arrays of ``bpe.py``.
+3. The frequencies are joined to those piece counts and summed.  Pre-tokens that make
+   up at least one in ``COMMON`` of all occurrences are at most ``COMMON`` by definition;
+   those join on the map side, from a broadcast table in which a long one is held by its
+   digest, so that the table's bytes are bounded too.  All others go through a shuffled
+   join, in which no key has more than that share.
 
 Defined results: a null or empty text has 0 bytes and 0 tokens; repeated rows
 and null keys return a row each; an empty table returns no rows; other columns
@@ -15,9 +16,11 @@ are not read.
 
 from __future__ import annotations
 
-from collections import Counter
+import hashlib
 from collections.abc import Iterator
+from itertools import repeat
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -25,114 +28,77 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kirana.llm.bpe import ranks
-from kirana.llm.common import prepare, stage, texts
-from kirana.llm.split import BYTE_PIECE, RARE, byte_chunks, splitter
+from kirana.llm.common import drop_stage, prepare, stage, utf8
+from kirana.llm.pretokens import Frequencies
+from kirana.llm.split import splitter
 
 COMMON = 1 << 20
-#: Longer pre-tokens never enter the broadcast table, which bounds its bytes.
-COMMON_LETTERS = 48
-_FLUSH = 200_000
-
-
-class _Frequencies:
-    """Pre-token frequencies of texts; a bounded table keeps the pieces of common chunks."""
-
-    def __init__(self, path: str):
-        self.split = splitter(path)
-        self.table: dict[str, list[str]] = {}
-
-    def of(self, text: str) -> tuple[Counter, int]:
-        """Frequencies of the pre-tokens, and the number of special tokens."""
-        chunks: Counter = Counter()
-        out: Counter = Counter()
-        specials = 0
-        for k, part in enumerate(self.split.parts(text)):
-            if k % 2:
-                specials += 1
-            elif RARE.search(part):
-                out.update(p.decode("latin-1") for p in self.split.by_library(part))
-            else:
-                chunks.update(byte_chunks(part))
-        table = self.table
-        if len(table) > _FLUSH:
-            table.clear()
-        for c, n in chunks.items():
-            pieces = table.get(c)
-            if pieces is None:
-                pieces = [p.encode().decode("latin-1") for p in BYTE_PIECE.findall(c)]
-                if len(c) <= COMMON_LETTERS:
-                    table[c] = pieces
-            for p in pieces:
-                out[p] += n
-        return out, specials
+#: A longer pre-token is held in the broadcast table by its SHA-256.
+LONG = 64
 
 
-def token_counts(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per text: the key, ``n_bytes`` and ``n_tokens``.
-
-    Pre-tokens travel as Latin-1 strings of their UTF-8 bytes, as a special
-    token may cut a text anywhere between characters but pieces are bytes.
-    """
-    spark = docs.sparkSession
-    prepare(spark)
-    rows = docs.select(key, text)
+def frequencies(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per text: a row number, the key, ``n_bytes``, the number of special tokens, distinct pre-tokens and how often each occurs."""
+    prepare(docs.sparkSession)
+    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField(key, docs.schema[key].dataType), T.StructField("n_bytes", T.LongType()),
+                           T.StructField("special", T.LongType()), T.StructField("pieces", T.ArrayType(T.StringType())), T.StructField("times", T.ArrayType(T.LongType()))])
 
-    def corpus(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, freq = Counter(), _Frequencies(tokenizer)
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], ["piece", "n"])
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, row = Frequencies(splitter(tokenizer)), TaskContext.get().partitionId() << 40
         for b in batches:
-            for t in texts(b.column(1)):
-                found.update(freq.of(t)[0])
-                if len(found) > _FLUSH:
-                    yield out()
-                    found.clear()
-        yield out()
+            size = np.diff(utf8(b.column(1))[1])
+            for x, z, begin, pieces, times, special in found.of(b.column(1)):
+                lists = pa.array(begin.astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.arange(row, row + z - x)), b.column(0).slice(x, z - x), pa.array(size[x:z]), pa.array(special),
+                     pa.ListArray.from_arrays(lists, pieces), pa.ListArray.from_arrays(lists, pa.array(times))], schema.names)
+                row += z - x
+
+    return docs.select(key, text).mapInArrow(work, schema)
+
+
+def token_counts(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per text: the key, ``n_bytes`` and ``n_tokens``."""
+    spark = docs.sparkSession
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n = ranks(tokenizer).counts([p.encode("latin-1") for p in b.column(0).to_pylist()])
+            n = ranks(tokenizer).counts([p.encode() for p in b.column(0).to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n)], ["piece", "n", "tokens"])
 
-    distinct = rows.mapInArrow(corpus, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
-    vocabulary = stage(distinct.mapInArrow(pieces, "piece string, n long, tokens long"), "piece-counts")
+    rows = stage(frequencies(docs, tokenizer, key, text), "frequencies", compression="zstd")
+    each = rows.select(F.explode(F.arrays_zip("pieces", "times")).alias("p")).select(F.col("p.pieces").alias("piece"), F.col("p.times").alias("n"))
+    vocabulary = stage(each.groupBy("piece").agg(F.sum("n").alias("n")).mapInArrow(pieces, "piece string, n long, tokens long"), "piece-counts")
     total = vocabulary.agg(F.sum("n")).first()[0] or 0
-    is_common = (F.col("n") * COMMON >= F.lit(total)) & (F.length("piece") <= COMMON_LETTERS)
-    common = spark.sparkContext.broadcast(
-        dict(zip(*(c.to_pylist() for c in vocabulary.filter(is_common).select("piece", "tokens").toArrow().columns))))
+    is_common = F.col("n") * COMMON >= F.lit(total)
+    held = F.when(F.length("piece") > LONG, F.unhex(F.sha2("piece", 256)))
+    known = vocabulary.filter(is_common).select(F.when(F.length("piece") <= LONG, F.col("piece")).alias("piece"), held.alias("digest"), "tokens").toArrow()
+    common = spark.sparkContext.broadcast({p if p is not None else d: n for p, d, n in zip(*(c.to_pylist() for c in known.columns))})
+
+    long = LONG
 
-    kind = docs.schema[key].dataType
-    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField(key, kind), T.StructField("n_bytes", T.LongType()),
-                           T.StructField("tokens", T.LongType()), T.StructField("piece", T.StringType()), T.StructField("n", T.LongType())])
+    def held_as(piece: str) -> str | bytes:
+        return piece if len(piece) <= long else hashlib.sha256(piece.encode()).digest()
 
-    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each document with what its common pre-tokens make, and one for each rare pre-token."""
-        known, freq, at = common.value, _Frequencies(tokenizer), TaskContext.get().partitionId() << 40
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each text with what its common pre-tokens make, and one for each rare pre-token."""
+        get = common.value.get
         for b in batches:
-            heads, rare = [], []
-            for k, t in zip(b.column(0).to_pylist(), texts(b.column(1))):
-                found, tokens = freq.of(t)
-                for p, n in found.items():
-                    each = known.get(p)
-                    if each is None:
-                        rare.append((at, p, n))
-                    else:
-                        tokens += each * n
-                heads.append((at, k, len(t.encode()), tokens))
-                at += 1
-            for cols in ([*zip(*heads), None, None], [*list(zip(*rare))[:1], None, None, None, *list(zip(*rare))[1:]]):
-                if cols[0]:
-                    size = len(cols[0])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.nulls(size, f.type) if c is None else pa.array(c, f.type) for c, f in zip(cols, arrow)], names=arrow.names)
-
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    arrow = to_arrow_schema(schema)
-    counted = stage(rows.mapInArrow(known, schema), "frequencies")
-    heads = counted.filter("piece is null").select("row", key, "n_bytes", "tokens")
-    rest = (counted.filter("piece is not null").select("row", "piece", "n")
-            .join(vocabulary.filter(~is_common).select("piece", F.col("tokens").alias("each")), "piece")
-            .groupBy("row").agg(F.sum(F.col("n") * F.col("each")).alias("more")))
-    return (heads.join(rest, "row", "left")
-            .select(key, "n_bytes", (F.col("tokens") + F.coalesce("more", F.lit(0))).alias("n_tokens")))
+            row, begin = b.column(0).to_numpy(), b.column(1).offsets.to_numpy().astype(np.int64)
+            begin = begin - begin[0]
+            flat, times = b.column(1).flatten(), b.column(2).flatten().to_numpy()
+            tokens = np.fromiter(map(get, map(held_as, flat.to_pylist()), repeat(-1)), np.int64, count=len(flat))
+            sums = np.concatenate([[0], np.cumsum(np.where(tokens >= 0, tokens * times, 0))])
+            none = pa.nulls(len(row), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(sums[begin[1:]] - sums[begin[:-1]]), pa.nulls(len(row), pa.string()), none], ["row", "tokens", "piece", "n"])
+            rest = np.flatnonzero(tokens < 0)
+            yield pa.RecordBatch.from_arrays([pa.array(row[np.searchsorted(begin, rest, "right") - 1]), pa.nulls(len(rest), pa.int64()), flat.take(pa.array(rest)),
+                                              pa.array(times[rest])], ["row", "tokens", "piece", "n"])
+
+    looked = stage(rows.select("row", "pieces", "times").mapInArrow(look, "row long, tokens long, piece string, n long"), "looked-up")
+    rest = (looked.filter("piece is not null").select("row", "piece", "n").join(vocabulary.filter(~is_common).select("piece", F.col("tokens").alias("each")), "piece")
+            .select("row", (F.col("n") * F.col("each")).alias("tokens")))
+    sums = stage(looked.filter("piece is null").select("row", "tokens").unionByName(rest).groupBy("row").agg(F.sum("tokens").alias("tokens")), "token-sums")
+    drop_stage(looked)
+    drop_stage(vocabulary)
+    return rows.join(sums, "row").select(key, "n_bytes", (F.col("tokens") + F.col("special")).alias("n_tokens"))

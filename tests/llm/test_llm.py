@@ -208,6 +208,78 @@ def test_suffix_dedup(docs, empty):
     assert without_repeats(empty).count() == 0
 
 
+def test_suffix_dedup_of_a_repeated_id(spark):
+    passage, a, b = (" ".join(words(k, 60)) for k in (4, 21, 22))
+    rows = [(7, passage + a), (7, "x" + passage + b), (7, passage + a), (3, b), (None, passage)]
+    order = sorted({r for r in rows if r[0] is not None}, key=lambda r: (r[0], hashlib.sha256(r[1].encode()).hexdigest()))
+    seen, want = set(), {}
+    for k, t in order:
+        raw, gone = t.encode(), np.zeros(len(t.encode()), bool)
+        for s in range(len(raw) - 99):
+            if raw[s:s + 100] in seen:
+                gone[s:s + 100] = True
+            seen.add(raw[s:s + 100])
+        want[k, t] = bytes(x for x, g in zip(raw, gone) if not g)
+    got = without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), bytes(r.kept)) for r in got) == sorted((str(k), want.get((k, t), t.encode())) for k, t in rows)
+    assert sum(len(t) for _, t in rows) > sum(len(r.kept) for r in got)
+
+
+def test_pre_tokens_of_odd_texts():
+    """Boundaries over bytes against the library, on short texts of awkward characters."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from kirana.llm.bpe import ranks
+    from kirana.llm.pretokens import Frequencies
+    from kirana.llm.split import splitter
+
+    path = tokenizer_file("byte_bpe_50k.json")
+    r = random.Random(5)
+    letters = [*"ab'sS stredvlm  \n\t 1²é_-.\"…€ \u0085|<", "'re", "'ll", "<|endoftext|>", "日本", "\u3000", "'s"]
+    texts = ["".join(r.choices(letters, k=r.randint(0, 14))) for _ in range(20_000)] + ["", None, "it's we're 'tis don't'll \n's  's", "-" * 5000]
+    got = []
+    for a, z, begin, pieces, times, special in Frequencies(splitter(path)).of(pa.array(texts, pa.string())):
+        n = ranks(path).counts([p.encode() for p in pieces.to_pylist()]) * times
+        got += [int(n[begin[k]:begin[k + 1]].sum() + special[k]) for k in range(z - a)]
+    assert got == [len(e.ids) for e in Tokenizer.from_file(path).encode_batch([t or "" for t in texts], add_special_tokens=False)]
+
+
+def test_token_counts_with_rare_and_long_pieces(spark, monkeypatch):
+    from kirana.llm import token_counts as tc
+
+    monkeypatch.setattr(tc, "LONG", 3)
+    rule = "=" * 300
+    rows = [(k, f"{rule} the cat {k} {rule}\nits {'x' * k}") for k in range(40)]
+    want = {r.doc_id: (r.n_bytes, r.n_tokens) for r in token_counts(spark.createDataFrame(rows, "doc_id long, text string"), tokenizer_file("byte_bpe_50k.json")).collect()}
+    monkeypatch.setattr(tc, "COMMON", 16)
+    got = {r.doc_id: (r.n_bytes, r.n_tokens) for r in token_counts(spark.createDataFrame(rows, "doc_id long, text string"), tokenizer_file("byte_bpe_50k.json")).collect()}
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json"))
+    assert got == want == {k: (len(t.encode()), len(library.encode(t, add_special_tokens=False).ids)) for k, t in rows}
+
+
+def test_bpe_table_follows_the_merges(tmp_path):
+    """A file with more merges than a fixed table would hold."""
+    import json
+
+    from kirana.llm.bpe import Ranks, byte_letters
+
+    letters = byte_letters()
+    vocab = {c: k for k, c in enumerate(letters)}
+    merges = [[a, b] for a in letters for b in letters]
+    merges += [[a + b, c] for a in letters[:64] for b in letters[:64] for c in letters[:60]]
+    for a, b in merges:
+        vocab.setdefault(a + b, len(vocab))
+    path = tmp_path / "many.json"
+    path.write_text(json.dumps({"model": {"vocab": vocab, "merges": merges, "end_of_word_suffix": None}, "added_tokens": []}))
+    ranks = Ranks(str(path))
+    assert len(merges) > 300_000
+    ids = ranks.encode([b"!!!", b"ab"])
+    assert [[ranks.tokens[i] for i in x] for x in ids] == [["!!!"], ["ab"]]
+
+
 def test_mix(docs, empty):
     mixed, plan = mix(docs, block_words=16)
     got = [r.asDict() for r in mixed.collect()]
