@@ -1,17 +1,24 @@
 """Tool calls in model replies.
 
 A reply table is parsed with regex + JSON functions (no Python), the calls
-are counted per tool, and a table of calls is executed as one batch per
-tool by routing each name to the set-at-a-time operator that implements it.
+are counted per tool, and a table of calls is run in one order of time: each name
+goes to the set-at-a-time operator that implements it, and what depends on earlier
+calls (callers, stock, orders) is replayed.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kirana.functions.phone import canonical_phone
-from kirana.functions.text import extract_tool_json, normalize_items, tool_arguments, tool_name
+from kirana.functions.phone import py_strip
+from kirana.functions.text import delivery_fee, extract_tool_json, normalize_items, safe_quantity, tool_arguments, tool_name
+from kirana.operators.orders import with_settings
+from kirana.operators.replay import replay_customer_changes, replay_orders
+from kirana.operators.search import resolve_products, search_catalog
+from kirana.session import written
 
 # The tool names the assistant may call.
 KNOWN_TOOLS = ["register_caller", "search_catalog", "check_stock", "place_order", "track_order",
@@ -42,64 +49,82 @@ def order_items_table(calls: DataFrame, items_col: str = "items") -> DataFrame:
                         F.posexplode(normalize_items(F.col(items_col))).alias("item_pos", "item"))
 
 
-def tool_batch(calls: DataFrame, products: DataFrame, orders: DataFrame, search_fn, stock_fn,
-               lookup_fn, cancel_fn) -> DataFrame:
-    """Run a table of tool calls (call_id, tool, arguments, caller_phone) as one
-    batch per tool and return (call_id, tool, ok, result) with ``result`` as JSON.
+def tool_batch(calls: DataFrame, customers: DataFrame, products: DataFrame, orders: DataFrame, items: DataFrame, settings: DataFrame,
+               synonyms: DataFrame, order: Sequence[str]) -> DataFrame:
+    """A table of tool calls (call_id, tool, arguments, caller_phone and the columns of
+    ``order``) run in that order, with one row each: ``ok``, ``reason`` and typed results,
+    and all of them as JSON in ``result``.
+
+    * ``register_caller`` goes through SNK4; ``place_order`` takes its customer's name and
+      address from the profile of then where it gives none (S16), finds its products as J4
+      does in the catalog before the batch, is accepted or not by the stock of then, and
+      costs A4's total with the fee of S10 at the present settings; the order's id is
+      ``ORD-C`` and the call's id.
+    * ``check_stock`` (A5), ``track_order`` (FIL5) and ``cancel_existing_order`` (O2) see
+      the stock and the orders of then; ``search_catalog`` (J12) the catalog before the batch.
 
-    Bad JSON arguments become ``{}``; a missing phone falls back to the caller's;
-    unknown names give an error row.  Each branch is a DataFrame operator, so
-    the whole batch is a single plan of unions."""
-    args = F.when(F.json_object_keys(F.col("arguments")).isNotNull(), F.col("arguments")).otherwise(F.lit("{}"))
-    c = calls.withColumn("_args", args)
+    Arguments that are no JSON object count as ``{}``, a missing phone as the caller's;
+    an unknown name gives an error row."""
+    given = F.when(F.json_object_keys(F.col("arguments")).isNotNull(), F.col("arguments")).otherwise(F.lit("{}"))
 
-    def arg(name: str):
+    def arg(name: str) -> Column:
         return F.get_json_object(F.col("_args"), f"$.{name}")
 
-    out = []
-    # register_caller: canonical phone + name/address (the customer upsert is SNK4)
-    reg = c.filter(F.col("tool") == "register_caller").select(
-        "call_id", "tool", F.lit(True).alias("ok"),
-        F.to_json(F.struct(canonical_phone(F.coalesce(arg("customer_phone"), F.col("caller_phone"))).alias("phone_number"),
-                           F.coalesce(arg("customer_name"), F.lit("")).alias("name"),
-                           F.coalesce(arg("delivery_address"), F.lit("")).alias("address"))).alias("result"))
-    out.append(reg)
-    # search_catalog
-    sq = c.filter(F.col("tool") == "search_catalog").select(
-        F.col("call_id").alias("qid"), F.coalesce(arg("query"), F.lit("")).alias("query"))
-    sr = search_fn(sq)
-    out.append(sr.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("rank", "id", "name"))).alias("_p"))
-               .select(F.col("qid").alias("call_id"), F.lit("search_catalog").alias("tool"), F.lit(True).alias("ok"),
-                       F.to_json(F.struct(F.col("_p").alias("products"), F.size("_p").alias("count"))).alias("result")))
-    # check_stock
-    ck = c.filter(F.col("tool") == "check_stock").select(
-        "call_id", F.coalesce(arg("product_name"), F.lit("")).alias("name"),
-        F.coalesce(arg("quantity"), F.lit("1")).alias("quantity"))
-    out.append(stock_fn(ck).select("call_id", F.lit("check_stock").alias("tool"), F.col("in_stock").alias("ok"),
-                                   F.to_json(F.struct("in_stock", "matched_name", "available")).alias("result")))
-    # place_order: normalised items (allocation itself is O1, run over the accepted batch)
-    po = c.filter(F.col("tool") == "place_order").select(
-        "call_id", F.coalesce(arg("items"), F.lit("[]")).alias("items"),
-        canonical_phone(F.coalesce(arg("customer_phone"), F.col("caller_phone"))).alias("phone"))
-    out.append(po.select("call_id", F.lit("place_order").alias("tool"),
-                         (F.size(normalize_items(F.col("items"))) > 0).alias("ok"),
-                         F.to_json(F.struct("phone", normalize_items(F.col("items")).alias("items"))).alias("result")))
-    # track_order
-    tr = c.filter(F.col("tool") == "track_order").select(
-        "call_id", F.coalesce(arg("order_id"), F.lit("")).alias("requested_id"))
-    out.append(lookup_fn(tr).select("call_id", F.lit("track_order").alias("tool"), F.col("found").alias("ok"),
-                                    F.to_json(F.struct("order_id", "found", "status")).alias("result")))
-    # cancel_existing_order
-    cn = c.filter(F.col("tool") == "cancel_existing_order").select(
-        "call_id", F.coalesce(arg("order_id"), F.lit("")).alias("requested_id"))
-    out.append(cancel_fn(cn).select("call_id", F.lit("cancel_existing_order").alias("tool"),
-                                    (F.col("outcome") == "cancelled").alias("ok"),
-                                    F.to_json(F.struct("order_id", "outcome")).alias("result")))
-    # unknown tool
-    out.append(c.filter(~F.col("tool").isin(*KNOWN_TOOLS)).select(
-        "call_id", "tool", F.lit(False).alias("ok"),
-        F.to_json(F.struct(F.concat(F.lit("Unknown tool name: "), F.col("tool")).alias("error"))).alias("result")))
-    res = out[0]
-    for o in out[1:]:
-        res = res.unionByName(o)
-    return res
+    blank = F.lit("")
+    c = calls.withColumn("_args", given).select(
+        "call_id", "tool", *[o for o in order if o not in ("call_id", "tool")],
+        F.coalesce(F.when(arg("customer_phone") != "", arg("customer_phone")), F.col("caller_phone"), blank).alias("phone"),
+        F.coalesce(arg("customer_name"), blank).alias("name"), F.coalesce(arg("delivery_address"), blank).alias("address"),
+        F.lower(F.coalesce(arg("delivery_type"), F.lit("delivery"))).alias("delivery_type"), F.coalesce(arg("items"), F.lit("[]")).alias("items"),
+        F.coalesce(arg("product_name"), blank).alias("product_name"), F.coalesce(arg("quantity"), F.lit("1")).alias("quantity"),
+        F.coalesce(arg("query"), blank).alias("query"),
+        F.when(F.col("tool") == "place_order", F.concat(F.lit("ORD-C"), F.col("call_id").cast("string"))).otherwise(F.coalesce(arg("order_id"), blank)).alias("order_id"))
+    c, _ = written(c, "tool-calls")
+
+    # customers: registrations, and the profile that each order finds
+    people = c.filter(F.col("tool").isin("register_caller", "place_order")).select(
+        "call_id", *order, F.when(F.col("tool") == "register_caller", "register").otherwise("lookup").alias("op"), "phone", "name", "address")
+    seen = replay_customer_changes(customers, people, order)[0]
+    seen = seen.select("call_id", F.col("op").alias("_op"), F.col("id").alias("customer_id"), F.col("reason").alias("_person"), F.col("name").alias("_name"), F.col("address").alias("_address"))
+
+    # lines of orders and stock checks, their products found by name
+    wanted = (c.filter("tool = 'place_order'").select("call_id", F.posexplode(normalize_items(F.col("items"))).alias("pos", "i")).select("call_id", "pos", "i.name", "i.quantity")
+              .unionByName(c.filter("tool = 'check_stock'").select("call_id", F.lit(0).alias("pos"), F.col("product_name").alias("name"), "quantity")))
+    wanted = wanted.withColumn("line_id", F.concat_ws("|", F.col("call_id").cast("string"), F.col("pos").cast("string"))).withColumn("_no_id", F.lit(None).cast("bigint"))
+    wanted, _ = written(wanted, "tool-lines")
+    found = resolve_products(wanted, products, synonyms, "line_id", "name", "_no_id").select("line_id", F.col("matched_id").alias("product_id"))
+    lines = wanted.join(found, "line_id", "left").select(F.col("call_id").alias("request_id"), "pos", "product_id", safe_quantity(F.col("quantity")).alias("quantity"))
+    lines, _ = written(lines, "tool-lines")
+
+    op = F.create_map(*[F.lit(x) for x in ("place_order", "place", "check_stock", "check", "track_order", "track", "cancel_existing_order", "cancel")])
+    requests = c.withColumn("op", F.try_element_at(op, F.col("tool"))).filter("op is not null").select(F.col("call_id").alias("request_id"), *order, "op", "order_id")
+    verdicts, tried, _ = replay_orders(requests, lines, orders, items, products, order)
+    verdicts = verdicts.select(F.col("request_id").alias("call_id"), "before", "outcome")
+
+    price = products.select(F.col("id").alias("product_id"), F.col("price").cast("decimal(18,2)").alias("_price"))
+    sums = lines.join(price, "product_id").groupBy(F.col("request_id").alias("call_id")).agg(F.sum(F.col("_price") * F.col("quantity").cast("decimal(18,0)")).alias("_sub"))
+    checked = tried.filter("pos = 0").select(F.col("request_id").alias("call_id"), "product_id", "available")
+    hits = search_catalog(c.filter("tool = 'search_catalog'").select(F.col("call_id").alias("qid"), "query"), products, synonyms)
+    hits = hits.groupBy(F.col("qid").alias("call_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda h: h["id"]).alias("products"))
+
+    j = (with_settings(c, settings).join(seen, "call_id", "left").join(verdicts, "call_id", "left").join(sums, "call_id", "left").join(checked, "call_id", "left").join(hits, "call_id", "left"))
+    placed, of = F.col("outcome") == "accepted", lambda t: F.col("tool") == t
+    known = F.coalesce(F.col("tool").isin(*KNOWN_TOOLS), F.lit(False))
+    ok = (F.when(~known, F.lit(False)).when(of("register_caller"), F.col("_person") == "ok").when(of("search_catalog"), F.lit(True))
+          .otherwise(F.col("outcome").isin("accepted", "in stock", "found", "cancelled")))
+    reason = (F.when(~known, F.concat(F.lit("Unknown tool name: "), F.coalesce("tool", blank))).when(of("register_caller"), F.col("_person"))
+              .when(of("search_catalog"), F.lit("ok")).otherwise(F.col("outcome")))
+    fee = delivery_fee(F.col("delivery_type"), F.col("_sub").cast("double"), F.col("fee"), F.col("threshold"))
+    name = F.coalesce(F.when(F.col("name") != "", py_strip(F.col("name"))), F.when(F.col("customer_id").isNotNull(), F.col("_name")), F.lit("Valued Customer"))
+    to_door = F.when((F.col("delivery_type") == "delivery") & F.col("customer_id").isNotNull(), F.col("_address"))
+    typed = j.select(
+        "call_id", "tool", F.coalesce(ok, F.lit(False)).alias("ok"), reason.alias("reason"),
+        F.when(of("register_caller") | placed, F.col("customer_id")).alias("customer_id"),
+        F.when(placed, name).when(of("register_caller") & ok, py_strip(F.col("name"))).alias("customer_name"),
+        F.when(placed, F.coalesce(F.when(F.col("address") != "", F.col("address")), to_door, F.lit("Store Pickup"))).when(of("register_caller") & ok, py_strip(F.col("address"))).alias("address"),
+        F.when(placed | of("track_order") | of("cancel_existing_order"), F.upper(py_strip(F.col("order_id")))).alias("order_id"),
+        F.when(placed, F.lit("CONFIRMED")).when(of("track_order"), F.col("before")).when(F.col("outcome") == "cancelled", F.lit("CANCELLED")).alias("status"),
+        F.when(placed, (F.col("_sub").cast("double") + fee).cast("decimal(18,2)").cast("double")).alias("total_amount"),
+        F.when(of("check_stock"), F.col("product_id")).alias("product_id"), F.when(of("check_stock"), F.col("available")).alias("available"),
+        F.when(of("search_catalog"), F.coalesce("products", F.array().cast("array<bigint>"))).alias("products"))
+    return typed.withColumn("result", F.to_json(F.struct(*typed.columns[2:])))

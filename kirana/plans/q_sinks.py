@@ -106,7 +106,7 @@ def q_apply_customer_changes(spark, d):
     ch = t.orders.select(F.lit("register").alias("op"), F.col("customer_phone").alias("phone"),
                          F.col("customer_name").alias("name"), F.col("delivery_address").alias("address"),
                          "created_at", F.col("id").alias("oid"))
-    return sk.apply_customer_changes(t.customers, ch, ["created_at", "oid"]).select(
+    return sk.register_latest(t.customers, ch, ["created_at", "oid"]).select(
         "id", "phone_number", "name", "address")
 
 

@@ -9,12 +9,16 @@ collecting a key's history into one place.
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kirana.functions.phone import py_strip, with_phone_keys
 from kirana.operators.customers import resolve_customers
+from kirana.operators.replay import replay_customer_changes, replay_product_changes
 
 
 def upsert_catalog(products: DataFrame, changes: DataFrame) -> DataFrame:
@@ -54,26 +58,24 @@ def evolve_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 
 def apply_customer_changes(customers: DataFrame, changes: DataFrame, order: list[str]) -> DataFrame:
-    """SNK4: registrations against the customer table.
-
-    A registration resolves the caller (J1); a match updates that customer's
-    name and address (latest change wins); otherwise the canonical phone is
-    inserted together with the 10-digit alias (latest change per canonical
-    phone wins).  ``op = 'delete'`` rows remove the resolved customer."""
-    c = changes.withColumn("_ok", (py_strip(F.col("name")) != "") & (py_strip(F.col("address")) != "")
-                           & (py_strip(F.col("phone")) != ""))
-    c = c.filter(F.col("_ok") | (F.col("op") == "delete")).withColumn("_seq", F.struct(*order))
-    r = resolve_customers(c, customers, "_seq", "phone")
-    matched = r.filter(F.col("customer_id").isNotNull())
-    upd = (matched.filter(F.col("op") == "register").groupBy("customer_id")
-           .agg(F.max_by(F.struct(py_strip(F.col("name")).alias("n"), py_strip(F.col("address")).alias("a")), "_seq")
-                .alias("_u")))
-    dels = matched.filter(F.col("op") == "delete").select(F.col("customer_id").alias("id")).distinct()
-    kept = customers.join(dels, "id", "left_anti")
-    kept = (kept.join(upd.withColumnRenamed("customer_id", "id"), "id", "left")
-            .select("id", "phone_number", F.coalesce("_u.n", "name").alias("name"),
-                    F.coalesce("_u.a", "address").alias("address")))
-    fresh = with_phone_keys(r.filter(F.col("customer_id").isNull() & (F.col("op") == "register")), "phone", "_p")
+    """SNK4: the customers after registrations, address changes, updates and deletes, one
+    after the other (``replay_customer_changes`` also gives the verdict on each)."""
+    return replay_customer_changes(customers, changes, order)[1]
+
+
+def register_latest(customers: DataFrame, changes: DataFrame, order: list[str]) -> DataFrame:
+    """Registrations alone, in one plan and by caller: each caller's latest one holds.
+
+    A caller the table knows (J1) gets its name and address; otherwise the canonical
+    phone and its 10-digit alias are inserted, both with the latest name and address.
+    (One after the other, a later registration writes only the row its phone finds.)"""
+    c = changes.filter((py_strip(F.col("name")) != "") & (py_strip(F.col("address")) != "") & (py_strip(F.col("phone")) != ""))
+    r = resolve_customers(c.withColumn("_seq", F.struct(*order)), customers, "_seq", "phone")
+    said = F.struct(py_strip(F.col("name")).alias("n"), py_strip(F.col("address")).alias("a"))
+    upd = (r.filter(F.col("customer_id").isNotNull()).groupBy(F.col("customer_id").alias("id")).agg(F.max_by(said, "_seq").alias("_u")))
+    kept = customers.join(upd, "id", "left").select(
+        "id", "phone_number", F.coalesce("_u.n", "name").alias("name"), F.coalesce("_u.a", "address").alias("address"))
+    fresh = with_phone_keys(r.filter(F.col("customer_id").isNull()), "phone", "_p")
     canon = F.when(F.length("_p_norm") == 10, F.concat(F.lit("+91"), F.col("_p_norm"))).otherwise(F.col("_p_raw"))
     fresh = (fresh.withColumn("_canon", canon).groupBy("_canon")
              .agg(F.max_by(F.struct(py_strip(F.col("name")).alias("n"), py_strip(F.col("address")).alias("a"),
@@ -86,40 +88,56 @@ def apply_customer_changes(customers: DataFrame, changes: DataFrame, order: list
 
 
 def apply_product_changes(products: DataFrame, changes: DataFrame, order: list[str]) -> DataFrame:
-    """SNK7: batch catalog CRUD with an accepted / rejected reason per change.
-
-    ``op``: add (rejected when the name exists ignoring case, or in an earlier
-    valid add of the batch), update (full row by id; rejected for unknown id), delete (by id;
-    rejected for unknown id).  Empty or null names and negative prices are rejected."""
-    c = changes.withColumn("_seq", F.struct(*order)).withColumn("_key", F.lower(py_strip(F.col("name"))))
-    names = products.select(F.lower("name").alias("_key")).distinct().withColumn("_exists", F.lit(True))
-    ids = products.select(F.col("id").alias("pid"), F.lit(True).alias("_known"))
-    empty = F.coalesce(F.col("_key"), F.lit("")) == ""
-    negative = F.coalesce(F.col("price") < 0, F.lit(False))
-    first_add = (c.filter((F.col("op") == "add") & ~empty & ~negative).groupBy("_key").agg(F.min("_seq").alias("_first")))
-    j = (c.join(names, "_key", "left").join(ids, "pid", "left").join(first_add, "_key", "left"))
-    written = F.col("op") != "delete"
-    reason = (F.when(written & empty, F.lit("empty name"))
-              .when(written & negative, F.lit("negative price"))
-              .when((F.col("op") == "add") & (F.coalesce("_exists", F.lit(False)) | (F.col("_seq") != F.col("_first"))),
-                    F.lit("already exists"))
-              .when((F.col("op") != "add") & F.col("_known").isNull(), F.lit("not found")))
-    return j.select(*changes.columns, reason.isNull().alias("accepted"), F.coalesce(reason, F.lit("ok")).alias("reason"))
-
-
-def write_orders(accepted_orders: DataFrame, accepted_items: DataFrame, path: str, batch_id: str) -> None:
-    """SNK6: append items first, then headers, both tagged with ``batch_id``.
-    Readers join headers to items on ``batch_id`` so a half-written batch
-    (items without headers) is never visible."""
-    (accepted_items.withColumn("batch_id", F.lit(batch_id))
-     .write.mode("append").partitionBy("batch_id").parquet(f"{path}/order_items"))
-    (accepted_orders.withColumn("batch_id", F.lit(batch_id))
-     .write.mode("append").partitionBy("batch_id").parquet(f"{path}/orders"))
-
-
-def read_orders(spark: SparkSession, path: str) -> DataFrame:
-    """SNK6 reader: only batches whose headers were written."""
-    o = spark.read.parquet(f"{path}/orders")
-    i = spark.read.parquet(f"{path}/order_items")
-    done = o.select("batch_id").distinct()
-    return o, i.join(done, "batch_id", "left_semi")
+    """SNK7 against a catalog whose names may repeat: the changes with ``accepted`` and
+    ``reason``.  Ids are those of the table; ``replay_product_changes`` also gives the
+    catalog afterwards and lets later changes name the ids of earlier adds."""
+    return replay_product_changes(products, changes, order, unique_names=False, new_ids=False)[0].drop("id")
+
+
+def _fs(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and a maker of its path objects."""
+    new = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return new(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), new
+
+
+def write_orders(accepted_orders: DataFrame, accepted_items: DataFrame, path: str, batch_id: str) -> bool:
+    """SNK6: headers and lines of a batch, visible together or not at all, and once.
+
+    The data go to a folder of this attempt; then one small file under ``commits``, named
+    after the batch and holding the attempt's name, is renamed into place.  A batch that
+    has such a file is not written again, so a retry changes nothing (False is returned);
+    an attempt that dies before leaves a folder that no reader looks at."""
+    if not re.fullmatch(r"[\w.=-]+", batch_id) or batch_id.startswith((".", "_")):
+        raise ValueError(f"a batch id names a file: {batch_id!r}")
+    spark = accepted_orders.sparkSession
+    fs, new = _fs(spark, path)
+    commit = new(f"{path}/commits/{batch_id}")
+    if fs.exists(commit):
+        return False
+    attempt = f"{batch_id}-{uuid.uuid4().hex[:12]}"
+    for name, rows in (("order_items", accepted_items), ("orders", accepted_orders)):
+        rows.withColumn("batch_id", F.lit(batch_id)).write.parquet(f"{path}/attempts/{attempt}/{name}")
+    draft = new(f"{path}/commits/_{attempt}")
+    out = fs.create(draft, False)
+    out.write(bytearray(attempt.encode()))
+    out.close()
+    if fs.exists(commit) or not fs.rename(draft, commit):  # another attempt was faster
+        fs.delete(draft, False)
+        fs.delete(new(f"{path}/attempts/{attempt}"), True)
+        return False
+    return True
+
+
+#: What a reader gets where nothing is committed yet.
+NO_ORDERS = "order_id string, batch_id string"
+
+
+def read_orders(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """SNK6 reader: headers and lines of the committed batches (one path for each)."""
+    fs, new = _fs(spark, path)
+    if not fs.exists(new(f"{path}/commits")) or not fs.listStatus(new(f"{path}/commits")):
+        return spark.createDataFrame([], NO_ORDERS), spark.createDataFrame([], NO_ORDERS)
+    done = [r.value for r in spark.read.text(f"{path}/commits").collect()]  # Spark skips drafts, whose names begin with _
+    if not done:
+        return spark.createDataFrame([], NO_ORDERS), spark.createDataFrame([], NO_ORDERS)
+    return tuple(spark.read.option("mergeSchema", "true").parquet(*[f"{path}/attempts/{a}/{name}" for a in done]) for name in ("orders", "order_items"))
