@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -102,10 +103,11 @@ class Frequencies:
             out.update(p.decode() for p in self.split.by_library(part))
         return out, len(parts) // 2
 
-    def of(self, column: pa.Array) -> list[tuple[int, int, np.ndarray, pa.Array, np.ndarray, np.ndarray]]:
-        """For slices [a, z) of a column: where each text's pieces begin in (pieces, times), and its special tokens."""
+    def of(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray]]:
+        """For slices [a, z) of a column: where each text's entries begin in (numbers of pieces, times), the pieces, and each text's special tokens."""
         raw, offsets = utf8(column)
-        return [(a, z, *self._slice(column.slice(a, z - a), raw[offsets[a]:offsets[z]], offsets[a:z + 1] - offsets[a])) for a, z in slices(offsets)]
+        for a, z in slices(offsets):
+            yield a, z, *self._slice(column.slice(a, z - a), raw[offsets[a]:offsets[z]], offsets[a:z + 1] - offsets[a])
 
     def _slice(self, column: pa.Array, raw: np.ndarray, offsets: np.ndarray):
         many = len(offsets) - 1
@@ -129,7 +131,7 @@ class Frequencies:
         ends = np.concatenate([[0], np.cumsum(size)])
         letters = raw[np.arange(ends[-1]) + np.repeat(begin[one] - ends[:-1], size)]
         words = pa.StringArray.from_buffers(len(one), pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(letters)))
-        pieces, special = words.take(pa.array(which)), np.zeros(many, np.int64)
+        pieces, special = words.to_pylist(), np.zeros(many, np.int64)
         if rare.any():  # their pieces come behind, then all are put in order of their text
             more_doc, more, more_times = [], [], []
             for k in np.flatnonzero(rare).tolist():
@@ -138,7 +140,9 @@ class Frequencies:
                 more += found.keys()
                 more_times += found.values()
             doc = np.concatenate([doc, np.array(more_doc, np.int64)])
+            which = np.concatenate([which, len(pieces) + np.arange(len(more))])
+            times = np.concatenate([times, np.array(more_times, np.int64)])
             order = np.argsort(doc, kind="stable")
-            doc, times = doc[order], np.concatenate([times, np.array(more_times, np.int64)])[order]
-            pieces = pa.concat_arrays([pieces, pa.array(more, pa.string())]).take(pa.array(order))
-        return np.searchsorted(doc, np.arange(many + 1)), pieces, times, special
+            doc, which, times = doc[order], which[order], times[order]
+            pieces += more
+        return np.searchsorted(doc, np.arange(many + 1)), which, times, pieces, special

@@ -1,13 +1,15 @@
 """Token counts without ids (operator 8).
 
-1. Every text is split once; its pre-token frequencies are written, one row a text.
-2. Every distinct pre-token of the corpus is counted, and its pieces are worked out
-   once with the rank arrays of ``bpe.py``.
-3. The frequencies are joined to those piece counts and summed.  Pre-tokens that make
-   up at least one in ``COMMON`` of all occurrences are at most ``COMMON`` by definition;
-   those join on the map side, from a broadcast table in which a long one is held by its
-   digest, so that the table's bytes are bounded too.  All others go through a shuffled
-   join, in which no key has more than that share.
+1. Every text is split once.  Texts are dealt into blocks of bounded size; a block has
+   a table of its distinct pre-tokens, and each text's frequencies refer to that table.
+2. The tables' pre-tokens are brought together by a shuffle; the pieces of each distinct
+   one are worked out once with the rank arrays of ``bpe.py`` and their number goes back
+   to every block that has the pre-token.
+3. Frequencies and piece counts meet block by block and are summed.
+
+A pre-token travels once a block, however often it occurs, and a block is at most
+``BLOCK_BYTES`` of text (or one text) with ``BLOCK_PIECES`` pre-tokens (or those of one
+slice more), so no key is hot in either shuffle.
 
 Defined results: a null or empty text has 0 bytes and 0 tokens; repeated rows
 and null keys return a row each; an empty table returns no rows; other columns
@@ -16,89 +18,98 @@ are not read.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from kirana.llm.bpe import ranks
-from kirana.llm.common import drop_stage, prepare, stage, utf8
+from kirana.llm.common import prepare, stage, utf8
 from kirana.llm.pretokens import Frequencies
 from kirana.llm.split import splitter
 
-COMMON = 1 << 20
-#: A longer pre-token is held in the broadcast table by its SHA-256.
-LONG = 64
+BLOCK_BYTES = 1 << 25
+BLOCK_PIECES = 1 << 19
+#: Pre-tokens of a block's table in one row.
+ROW_PIECES = 1 << 14
 
 
 def frequencies(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per text: a row number, the key, ``n_bytes``, the number of special tokens, distinct pre-tokens and how often each occurs."""
+    """Rows of texts (block, key, ``n_bytes``, ``special`` tokens, numbers of their pre-tokens in the block's table, and how often
+    each occurs) and rows of the blocks' tables (block, ``first`` number, ``pieces``)."""
     prepare(docs.sparkSession)
-    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField(key, docs.schema[key].dataType), T.StructField("n_bytes", T.LongType()),
-                           T.StructField("special", T.LongType()), T.StructField("pieces", T.ArrayType(T.StringType())), T.StructField("times", T.ArrayType(T.LongType()))])
+    schema = T.StructType([
+        T.StructField("block", T.LongType()), T.StructField(key, docs.schema[key].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("special", T.LongType()),
+        T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("times", T.ArrayType(T.IntegerType())),
+        T.StructField("first", T.IntegerType()), T.StructField("pieces", T.ArrayType(T.StringType()))])
+    pieces_bound, bytes_bound, row = BLOCK_PIECES, BLOCK_BYTES, ROW_PIECES
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, row = Frequencies(splitter(tokenizer)), TaskContext.get().partitionId() << 40
+        kinds, found = to_arrow_schema(schema), Frequencies(splitter(tokenizer))
+        block, table, filled = TaskContext.get().partitionId() << 32, {}, 0
+
+        def rows(n: int, **columns: pa.Array) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(n, f.type) for f in kinds], names=kinds.names)
+
+        def close() -> Iterator[pa.RecordBatch]:
+            every = list(table)
+            for a in range(0, len(every), row):
+                part = pa.ListArray.from_arrays(pa.array([0, len(every[a:a + row])], pa.int32()), pa.array(every[a:a + row], pa.string()))
+                yield rows(1, block=pa.array([block]), first=pa.array([a]), pieces=part)
+
         for b in batches:
             size = np.diff(utf8(b.column(1))[1])
-            for x, z, begin, pieces, times, special in found.of(b.column(1)):
+            for x, z, begin, which, times, pieces, special in found.of(b.column(1)):
+                number = np.array([table.setdefault(p, len(table)) for p in pieces], np.int32)
                 lists = pa.array(begin.astype(np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(row, row + z - x)), b.column(0).slice(x, z - x), pa.array(size[x:z]), pa.array(special),
-                     pa.ListArray.from_arrays(lists, pieces), pa.ListArray.from_arrays(lists, pa.array(times))], schema.names)
-                row += z - x
+                yield rows(z - x, block=pa.array(np.full(z - x, block)), **{key: b.column(0).slice(x, z - x)}, n_bytes=pa.array(size[x:z]), special=pa.array(special),
+                           ids=pa.ListArray.from_arrays(lists, pa.array(number[which] if len(which) else number)),
+                           times=pa.ListArray.from_arrays(lists, pa.array(times.astype(np.int32))))
+                filled += int(size[x:z].sum())
+                if len(table) >= pieces_bound or filled >= bytes_bound:
+                    yield from close()
+                    block, table, filled = block + 1, {}, 0
+        yield from close()
 
     return docs.select(key, text).mapInArrow(work, schema)
 
 
 def token_counts(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per text: the key, ``n_bytes`` and ``n_tokens``."""
-    spark = docs.sparkSession
+    kind = docs.schema[key].dataType
 
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, tokens = None, 0  # rows of one pre-token follow one another
         for b in batches:
-            n = ranks(tokenizer).counts([p.encode() for p in b.column(0).to_pylist()])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n)], ["piece", "n", "tokens"])
+            every = b.column(0).to_pylist()
+            new = [p for p in dict.fromkeys(every) if p != last]
+            known = dict(zip(new, ranks(tokenizer).counts([p.encode() for p in new]).tolist()))
+            if last is not None:
+                known[last] = tokens
+            if every:
+                last, tokens = every[-1], known[every[-1]]
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array([known[p] for p in every], pa.int32())], ["block", "id", "tokens"])
+
+    def summed(texts: pa.Table, table: pa.Table) -> pa.Table:
+        each = np.zeros(table.num_rows, np.int64)
+        each[table.column("id").to_numpy()] = table.column("tokens").to_numpy()
+        ids, times = (texts.column(c).combine_chunks() for c in ("ids", "times"))
+        many = pc.list_value_length(ids).to_numpy(zero_copy_only=False)
+        sums = np.concatenate([[0], np.cumsum(each[ids.flatten().to_numpy()] * times.flatten().to_numpy())])
+        ends = np.cumsum(many)
+        n = pa.array(sums[ends] - sums[ends - many] + texts.column("special").to_numpy(), pa.int64())
+        return pa.table([texts.column(key), texts.column("n_bytes"), n], names=[key, "n_bytes", "n_tokens"])
 
     rows = stage(frequencies(docs, tokenizer, key, text), "frequencies", compression="zstd")
-    each = rows.select(F.explode(F.arrays_zip("pieces", "times")).alias("p")).select(F.col("p.pieces").alias("piece"), F.col("p.times").alias("n"))
-    vocabulary = stage(each.groupBy("piece").agg(F.sum("n").alias("n")).mapInArrow(pieces, "piece string, n long, tokens long"), "piece-counts")
-    total = vocabulary.agg(F.sum("n")).first()[0] or 0
-    is_common = F.col("n") * COMMON >= F.lit(total)
-    held = F.when(F.length("piece") > LONG, F.unhex(F.sha2("piece", 256)))
-    known = vocabulary.filter(is_common).select(F.when(F.length("piece") <= LONG, F.col("piece")).alias("piece"), held.alias("digest"), "tokens").toArrow()
-    common = spark.sparkContext.broadcast({p if p is not None else d: n for p, d, n in zip(*(c.to_pylist() for c in known.columns))})
-
-    long = LONG
-
-    def held_as(piece: str) -> str | bytes:
-        return piece if len(piece) <= long else hashlib.sha256(piece.encode()).digest()
-
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each text with what its common pre-tokens make, and one for each rare pre-token."""
-        get = common.value.get
-        for b in batches:
-            row, begin = b.column(0).to_numpy(), b.column(1).offsets.to_numpy().astype(np.int64)
-            begin = begin - begin[0]
-            flat, times = b.column(1).flatten(), b.column(2).flatten().to_numpy()
-            tokens = np.fromiter(map(get, map(held_as, flat.to_pylist()), repeat(-1)), np.int64, count=len(flat))
-            sums = np.concatenate([[0], np.cumsum(np.where(tokens >= 0, tokens * times, 0))])
-            none = pa.nulls(len(row), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(sums[begin[1:]] - sums[begin[:-1]]), pa.nulls(len(row), pa.string()), none], ["row", "tokens", "piece", "n"])
-            rest = np.flatnonzero(tokens < 0)
-            yield pa.RecordBatch.from_arrays([pa.array(row[np.searchsorted(begin, rest, "right") - 1]), pa.nulls(len(rest), pa.int64()), flat.take(pa.array(rest)),
-                                              pa.array(times[rest])], ["row", "tokens", "piece", "n"])
-
-    looked = stage(rows.select("row", "pieces", "times").mapInArrow(look, "row long, tokens long, piece string, n long"), "looked-up")
-    rest = (looked.filter("piece is not null").select("row", "piece", "n").join(vocabulary.filter(~is_common).select("piece", F.col("tokens").alias("each")), "piece")
-            .select("row", (F.col("n") * F.col("each")).alias("tokens")))
-    sums = stage(looked.filter("piece is null").select("row", "tokens").unionByName(rest).groupBy("row").agg(F.sum("tokens").alias("tokens")), "token-sums")
-    drop_stage(looked)
-    drop_stage(vocabulary)
-    return rows.join(sums, "row").select(key, "n_bytes", (F.col("tokens") + F.col("special")).alias("n_tokens"))
+    named = rows.filter("pieces is not null").select("block", "first", F.posexplode("pieces").alias("at", "piece"))
+    named = named.select("piece", "block", (F.col("first") + F.col("at")).alias("id")).repartition("piece").sortWithinPartitions("piece")
+    tokens = named.mapInArrow(counted, "block long, id int, tokens int")
+    texts = rows.filter("pieces is null").select("block", key, "n_bytes", "special", "ids", "times")
+    schema = T.StructType([T.StructField(key, kind), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
+    return texts.groupBy("block").cogroup(tokens.groupBy("block")).applyInArrow(summed, schema)
