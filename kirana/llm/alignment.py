@@ -40,7 +40,6 @@ from kirana.llm.split import RARE
 COMMON = 1 << 20
 #: Ids of the windows that a worker keeps; beyond it the table starts anew.
 TABLE_IDS = 3_000_000
-_CUT = b"\xff\xff\xff\xff"  # no id is -1
 #: How byte-level files of this kind cut texts (fixed by the tokenizer).
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -179,13 +178,15 @@ class Aligner:
         self.spaced = [np.array([t.startswith(b" ") for t in x.bytes]) for x in (self.a, self.b)]
 
     def tokens(self, batch: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of A and B; none where the bytes of either are not those of space + text."""
+        """Ids of A and B; none where the bytes of either are not those of space + text.
+
+        Without a normaliser, byte-level ids always give their text back, so A needs no test then."""
         full = [" " + t for t in batch]
         a, b = self.a.encode(full), self.b.encode(batch)
         table_a, table_b = self.a.bytes.__getitem__, self.b.bytes.__getitem__
         for k, t in enumerate(full):
             raw = t.encode()
-            if not batch[k] or b"".join(map(table_a, a[k])) != raw or b"".join(map(table_b, b[k])) != raw:
+            if not batch[k] or b"".join(map(table_b, b[k])) != raw or self.a.quick is None and b"".join(map(table_a, a[k])) != raw:
                 a[k], b[k] = [], []
         return a, b
 
@@ -205,13 +206,16 @@ class Aligner:
         last[begin[0][1:]] = True
         cut_a = shared[(opens[0][shared + 1] & opens[1][at_b[shared] + 1]) | last[shared + 1]] + 1
         cut_b = at_b[cut_a - 1] + 1
-        raw = [x.tobytes() for x in flat]
         last_of = [cut_a, cut_b]
         first_of = [np.concatenate([[0], c])[:-1] for c in last_of]
-        stops = [(4 * c).tolist() for c in last_of]
-        starts = [[0, *s[:-1]] for s in stops]
-        one, two = raw
-        keys = [one[p:q] + _CUT + two[r:s] for p, q, r, s in zip(starts[0], stops[0], starts[1], stops[1])]
+        # a window's key: its ids of A, -1, its ids of B
+        n_a, n_b = (z - a for a, z in zip(first_of, last_of))
+        key_end = np.cumsum(n_a + 1 + n_b)
+        begins = key_end - (n_a + 1 + n_b)
+        said = np.full(int(key_end[-1]) if len(key_end) else 0, -1, np.int32)
+        said[_spread(begins, n_a)], said[_spread(begins + n_a + 1, n_b)] = flat
+        raw, stops = said.tobytes(), (4 * key_end).tolist()
+        keys = [raw[p:q] for p, q in zip([0, *stops[:-1]], stops)]
         number = self.windows.of(keys, flat, first_of, last_of)
         window = np.array(number, np.int64)
         of_doc = np.searchsorted(cut_a, begin[0], "right")  # windows end where their document ends at the latest
