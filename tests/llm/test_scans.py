@@ -105,3 +105,70 @@ def test_more_layouts():
     assert mask("4111111111111111 555-123-4567")[0] == f"{pseudonym('card', '4111111111111111')} {pseudonym('local', '555-123-4567')}"
     for last in ("28/02/1987", "28.02.1987"):
         assert mask(f"4111111111111111 {last}")[0] == f"{pseudonym('card', '4111111111111111')} {pseudonym('day', last)}"
+
+
+def _every_agreeing_line(lines, templates):
+    """Lines in which some run of words agrees with a template: all runs, all templates, no gate and no ranking."""
+    from kirana.llm import licenses as lic
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            above = row[:]
+            for j, y in enumerate(b):
+                row[j + 1] = above[j] + 1 if x == y else max(above[j + 1], row[j])
+        return row[-1]
+
+    out = set()
+    for at, line in enumerate(lines):
+        words = lic._words(line.lower())
+        for name, text in templates:
+            want = lic._words(text.lower())
+            exact = len(want) <= lic.EXACT
+            least = len(want) if exact else -(-len(want) * 8 // 10)
+            firm = [w for w in want if lic._names(w) or w in lic.NEEDED]
+            for i in range(len(words)):
+                for j in range(i + least, min(len(words), i + len(want) + (0 if exact else (len(want) + 1) // 2)) + 1):
+                    run = words[i:j]
+                    if exact:
+                        if run == want and not (i and words[i - 1] in lic.DENIALS):
+                            out.add((at, name))
+                    elif run[0] in want and run[-1] in want and common(firm, run) == len(firm):
+                        names = [w for w in run if lic._names(w) and not (lic._year(w) and w not in want)]
+                        if names == [w for w in want if lic._names(w)] and common(want, run) >= least:
+                            out.add((at, name))
+    return out
+
+
+def test_licenses_by_brute_force(spark):
+    from kirana.llm import licenses as lic
+
+    short = [(n, t) for n, t in [*TEMPLATES.items(), *lic.WORDINGS, *[(n, f"SPDX-License-Identifier: {n}") for n in lic.SPDX]] if len(lic._words(t.lower())) <= 16]
+    rng = __import__("random").Random(3)
+    lines = []
+    for _, t in short:
+        words = t.split()
+        for _ in range(2):
+            w = list(words)
+            for _ in range(rng.randint(0, 2)):
+                k = rng.randrange(len(w))
+                rng.choice([lambda: w.insert(k, rng.choice(["the", "2019", "GNU", "terms", "3"])), lambda: len(w) > 2 and w.pop(k), lambda: w.__setitem__(k, "word")])()
+            lines.append(rng.choice(["", "Not ", "Some text, "]) + " ".join(w) + rng.choice(["", " and more mit words"]))
+    want = _every_agreeing_line(lines, short)
+    got = [(r.doc_id, r.license) for r in license_blocks(spark.createDataFrame([(k, t, 0, 0) for k, t in enumerate(lines)], COLUMNS), templates=None).collect()]
+    assert set(got) <= want and {k for k, _ in got} == {k for k, _ in want} and len({k for k, _ in want}) > 60
+
+
+def test_whole_licenses(spark):
+    from kirana.llm import licenses as lic
+
+    mit = dict(lic.LONG)["MIT"]
+    bsd = {n: t for n, t in lic.LONG if n.startswith("BSD")}
+    gpl = "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or\n(at your option) any later version."
+    named = {mit: "MIT", "x\n" * 3 + mit.replace("Software", "Program"): "MIT", bsd["BSD-2-Clause"]: "BSD-2-Clause", bsd["BSD-3-Clause"].replace("copyright holder", "University"): "BSD-3-Clause",
+             gpl: "GPL-2.0", gpl.replace("version 2", "version 3"): "GPL-3.0", gpl.replace("version 2", "version 4"): None, "# SPDX-License-Identifier: GPL-2.0-or-later": "GPL-2.0-or-later",
+             "SPDX-License-Identifier: GPL-2.0-only": "GPL-2.0-only", "He says all the rights were reserved for the guests.": None, "Not all rights reserved.": None,
+             "word " * 3000 + mit + " word" * 3000: "MIT", dict(lic.LONG)["MPL-2.0"]: "MPL-2.0"}
+    rows = [(k, t, 0, 0) for k, t in enumerate(named)]
+    got = license_blocks(spark.createDataFrame(rows + rows, COLUMNS)).collect()
+    assert sorted((r.doc_id, r.license) for r in got) == sorted([(k, n) for k, n in enumerate(named.values()) if n] * 2)
