@@ -7,9 +7,9 @@ cumulative weights; slots are ranked within their source, and the slot of rank
 k takes block k of the source's stream.  A stream starts over when it is used
 up, at most ``MOST`` times.
 
-A source gets as many slots as points fall into its share, which differs from
-the share by a few; its words are therefore cut into exactly so many blocks,
-of equal size up to one word, so that they add up to its target.
+What is taken of a source is what its slots take, so it differs from the target
+by as many blocks as points stray from the share, a few of at least ``SLOTS``
+(or of one word each, where there are fewer words).
 
 Nothing is gathered by source: ranks and stream positions are running sums
 over chunks and within chunks, so a source that holds a third of all words is
@@ -17,13 +17,16 @@ spread over its chunks.  The table of sources is aggregated first and holds a
 row for each source.
 
 Defined results: a null or empty text has size 0, and such a document is taken
-0 words; a null source is a source of its own, the last one; repeated rows of a
-key are one document of the summed size in one place of the stream; a null key
-is a key.  Empty tables return no rows; other columns are not read.
+0 words; a null source is a source of its own, the last one; every row is a
+document, so rows that repeat a key follow one another in the stream, ordered
+by the MD5 of their texts; a null key is a key.  Empty tables return no rows;
+other columns are not read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,7 +36,8 @@ from kirana.llm.common import WORD, prepare, stage
 WEIGHTS = (5, 2, 1)
 #: Times that a source may be used in whole.
 MOST = 3
-BLOCK_WORDS = 256
+#: A block is at most so many words, and there are at least so many slots if there are as many words.
+BLOCK_WORDS, SLOTS = 256, 1 << 20
 SEED = "mix"
 #: Slots in a chunk, cells of the unit interval, and hexadecimal digits that name a chunk of a stream.
 CHUNK, CELLS, STREAM_DIGITS = 1 << 16, 1 << 10, 3
@@ -46,9 +50,10 @@ def van_der_corput(t: Column, bits: int = 40) -> Column:
 
 
 def sizes(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
-    """Key, source, words."""
-    words = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long")
-    return docs.select(F.col(key).alias("key"), F.col(source).alias("source"), words.alias("size"))
+    """A number for each row, its key, source and words, and the MD5 of its text."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    words = F.regexp_count(whole, F.lit(WORD)).cast("long")
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(source).alias("source"), words.alias("size"), F.md5(whole).alias("mark"))
 
 
 def targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -72,8 +77,13 @@ def targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     return per.select("source", "place", "words", target.alias("target")).withColumn("take", F.round("target").cast("long"))
 
 
-def schedule(per: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """One row per slot: ``slot``, the source's ``place`` and the ``block`` of its stream."""
+def block_size(per: DataFrame, block_words: int = BLOCK_WORDS, slots: int = SLOTS) -> int:
+    """Words of a block: ``block_words``, or fewer for ``slots`` blocks."""
+    return max(1, min(block_words, (per.agg(F.sum("take")).first()[0] or 0) // slots))
+
+
+def schedule(per: DataFrame, block_words: int, point: Callable[[Column], Column] = van_der_corput) -> DataFrame:
+    """One row per slot: ``slot``, the source's ``place`` and the ``block`` of its stream; ``point`` places slots in [0, 1)."""
     spark = per.sparkSession
     total = per.agg(F.sum("take")).first()[0] or 0
     slots = -(-total // block_words)
@@ -83,7 +93,7 @@ def schedule(per: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     shares = shares.withColumn("from", F.col("below") / F.lit(total)).drop("below")
     cell = lambda c: F.least(F.floor(c * CELLS), F.lit(CELLS - 1))
     shares = shares.withColumn("cell", F.explode(F.sequence(cell(F.col("from")), cell(F.col("to")))))
-    points = spark.range(slots).select(F.col("id").alias("slot"), van_der_corput(F.col("id")).alias("u")).withColumn("cell", cell(F.col("u")))
+    points = spark.range(slots).select(F.col("id").alias("slot"), point(F.col("id")).alias("u")).withColumn("cell", cell(F.col("u")))
     drawn = points.join(shares, "cell").filter("u >= from and u < to").select("slot", "place")
     # a source whose share is below a slot still gets one, after all others
     missed = per.filter("take > 0").join(drawn.select("place").distinct(), "place", "left_anti")
@@ -102,44 +112,38 @@ def streams(rows: DataFrame, per: DataFrame, seed: str = SEED) -> DataFrame:
     found = found.withColumn("at", order).withColumn("chunk", F.substring("at", 1, STREAM_DIGITS))
     earlier = Window.partitionBy("place").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     chunks = found.groupBy("place", "chunk").agg(F.sum("size").alias("n")).withColumn("ahead", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
-    within = Window.partitionBy("place", "chunk").orderBy("at", "key").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("place", "chunk").orderBy("at", "key", "mark", "row").rowsBetween(Window.unboundedPreceding, -1)
     return (found.withColumn("behind", F.coalesce(F.sum("size").over(within), F.lit(0)))
             .join(chunks, ["place", "chunk"]).withColumn("start", F.col("behind") + F.col("ahead")).drop("chunk", "at", "behind", "ahead"))
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
-        block_words: int = BLOCK_WORDS, seed: str = SEED) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", block_words: int = BLOCK_WORDS,
+        seed: str = SEED, slots: int = SLOTS, point: Callable[[Column], Column] = van_der_corput) -> tuple[DataFrame, DataFrame]:
     """Documents with their words in the mix, and the schedule.
 
-    The documents: key, ``source``, ``size``, ``source_size``, ``target`` (of its source), ``start`` (in its
-    source's stream), ``source_take`` and ``taken`` (words that the scheduled blocks hold of it).
+    The documents: key, ``source``, ``mark`` (MD5 of the text), ``size``, ``source_size``, ``target`` (of its source),
+    ``start`` (in its source's stream), ``source_take`` (words that the source's slots take), ``taken`` (words that
+    the scheduled blocks hold of it), ``first_slot`` and ``n_slots`` (in which it occurs).
     The schedule: one row for each piece of a document in a slot: ``slot``, ``place``, ``block``, key, ``words``.
     """
     prepare(docs.sparkSession)
-    rows = sizes(docs, key, text, source).groupBy("key", "source").agg(F.sum("size").alias("size"))
-    rows = stage(rows, "mix-sizes")
+    rows = stage(sizes(docs, key, text, source), "mix-sizes")
     per = stage(targets(rows), "mix-targets")
-    plan = schedule(per, block_words)
-    plan = stage(plan, "mix-slots")
+    each = block_size(per, block_words, slots)
+    plan = stage(schedule(per, each, point), "mix-slots")
     counts = plan.groupBy("place").agg(F.count("*").alias("blocks"))
-    cut = (per.join(counts, "place", "left").withColumn("each", F.floor(F.col("take") / F.col("blocks")))
-           .withColumn("longer", F.col("take") - F.col("each") * F.col("blocks")).drop("source"))
+    drawn = per.join(counts, "place").select("place", "words", F.least(F.col("blocks") * each, F.lit(MOST) * F.col("words")).alias("drawn"))
     placed = stage(streams(rows, per, seed), "mix-streams")
-    # blocks [0, longer) have each + 1 words, the others each
-    edge = F.col("longer") * (F.col("each") + 1)
-    block_of = lambda x: F.when(x < edge, F.floor(x / (F.col("each") + 1))).otherwise(F.col("longer") + F.floor((x - edge) / F.col("each")))
-    start_of = lambda k: k * F.col("each") + F.least(k, F.col("longer"))
-    runs = placed.filter("size > 0").join(cut, "place").filter("take > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(MOST - 1))))
-    runs = runs.withColumn("lo", F.col("start") + F.col("epoch") * F.col("words")).filter("lo < take")
-    runs = runs.withColumn("hi", F.least(F.col("lo") + F.col("size"), F.col("take")))
-    pieces = runs.withColumn("block", F.explode(F.sequence(block_of(F.col("lo")), block_of(F.col("hi") - 1))))
-    overlap = F.least("hi", start_of(F.col("block") + 1)) - F.greatest("lo", start_of(F.col("block")))
-    pieces = pieces.select("place", "block", "key", overlap.alias("piece"))
-    used = pieces.join(plan, ["place", "block"])
-    taken = used.groupBy("place", "key").agg(F.sum("piece").alias("taken"))
-    mixed = (placed.join(taken.withColumnRenamed("key", "its").withColumnRenamed("place", "there"),
-                         F.col("key").eqNullSafe(F.col("its")) & (F.col("place") == F.col("there")), "left")
-             .join(per.select(F.col("place").alias("of"), F.col("words").alias("source_size"), "target", F.col("take").alias("source_take")), F.col("place") == F.col("of")))
-    return (mixed.select(F.col("key").alias(key), "source", "size", "source_size", "target", "start", "source_take",
-                         F.coalesce("taken", F.lit(0)).cast("long").alias("taken")),
+    runs = placed.filter("size > 0").join(drawn, "place").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(MOST - 1))))
+    runs = runs.withColumn("lo", F.col("start") + F.col("epoch") * F.col("words")).filter("lo < drawn")
+    runs = runs.withColumn("hi", F.least(F.col("lo") + F.col("size"), F.col("drawn")))
+    pieces = runs.withColumn("block", F.explode(F.sequence(F.floor(F.col("lo") / each), F.floor((F.col("hi") - 1) / each))))
+    overlap = F.least("hi", (F.col("block") + 1) * each) - F.greatest("lo", F.col("block") * each)
+    used = pieces.select("place", "block", "row", "key", overlap.alias("piece")).join(plan, ["place", "block"])
+    taken = used.groupBy(F.col("row").alias("its")).agg(F.sum("piece").alias("taken"), F.min("slot").alias("first_slot"), F.count_distinct("slot").alias("n_slots"))
+    per = per.join(drawn.select("place", "drawn"), "place", "left")
+    mixed = (placed.join(taken, F.col("row") == F.col("its"), "left")
+             .join(per.select(F.col("place").alias("of"), F.col("words").alias("source_size"), "target", F.coalesce("drawn", F.lit(0)).alias("source_take")), F.col("place") == F.col("of")))
+    return (mixed.select(F.col("key").alias(key), "source", "mark", "size", "source_size", "target", "start", "source_take",
+                         F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot", F.coalesce("n_slots", F.lit(0)).alias("n_slots")),
             used.select("slot", "place", "block", F.col("key").alias(key), F.col("piece").alias("words")))

@@ -127,23 +127,31 @@ g AS (SELECT lean, count(*) AS group_size, arg_max(doc_id, struct_pack(p := poin
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(lean) AS text_sha256 FROM n JOIN g USING (lean)
 """
 
-# The capped shares come from trying each number of capped sources, and the words
-# of a document from the whole rounds of its stream and the overlap with the last.
+# The capped shares come from trying each number of capped sources.  Slots get their
+# points bit by bit, a source's slots take its stream from the front, and a document
+# has what of its words lies in the rounds taken.
 OP7_SQL = r"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, md5(coalesce(text, '')) AS mark,
+                  len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
 s AS (SELECT source, sum(size) AS words, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM d GROUP BY source),
 w AS (SELECT *, CASE place % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2 ELSE 1 END AS weight, 3 * words AS cap FROM s),
 tried AS (SELECT a.place, ((SELECT sum(words) FROM w) - coalesce(sum(b.cap), 0))::DOUBLE
             / ((SELECT sum(weight) FROM w) - coalesce(sum(b.weight), 0)) AS level
           FROM w a LEFT JOIN w b ON (b.cap / b.weight, b.place) < (a.cap / a.weight, a.place) GROUP BY a.place),
 level AS (SELECT min_by(level, (cap / weight, place)) AS level FROM tried JOIN w USING (place) WHERE level * weight <= cap),
-t AS (SELECT source, place, words, least(cap::DOUBLE, level * weight) AS target, round(least(cap::DOUBLE, level * weight))::BIGINT AS take FROM w, level),
-p AS (SELECT doc_id, size, words, target, take,
-             sum(size) OVER (PARTITION BY place ORDER BY md5('mix' || doc_id::VARCHAR), doc_id) - size AS start
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+t AS (SELECT source, place, words, cap, least(cap::DOUBLE, level * weight) AS target, round(least(cap::DOUBLE, level * weight))::BIGINT AS take FROM w, level),
+b AS (SELECT sum(take)::BIGINT AS total, greatest(1, least(256, sum(take)::BIGINT // 1048576)) AS each FROM t),
+u AS (SELECT list_sum(list_transform(range(40), lambda i: CASE WHEN (slot >> i) & 1 = 1 THEN 0.5::DOUBLE ** (i + 1) ELSE 0 END)) AS u
+      FROM (SELECT unnest(range(((total + each - 1) // each)::BIGINT)) AS slot FROM b)),
+share AS (SELECT place, sum(take) OVER (ORDER BY place) / total::DOUBLE AS upto, (sum(take) OVER (ORDER BY place) - take) / total::DOUBLE AS after FROM t, b WHERE take > 0),
+n AS (SELECT place, greatest(1, count(u)) AS slots FROM share LEFT JOIN u ON u >= after AND u < upto GROUP BY place),
+k AS (SELECT t.*, coalesce(least(slots * each, cap), 0)::BIGINT AS drawn FROM t LEFT JOIN n USING (place), b),
+p AS (SELECT doc_id, size, words, target, drawn,
+             sum(size) OVER (PARTITION BY place ORDER BY md5('mix' || coalesce(doc_id::VARCHAR, '')), doc_id, mark, r ROWS UNBOUNDED PRECEDING) - size AS start
+      FROM d JOIN k ON d.source IS NOT DISTINCT FROM k.source)
 SELECT doc_id, size::BIGINT AS size, words::BIGINT AS source_size, target,
        CASE WHEN words = 0 THEN 0
-            ELSE (take // words) * size + greatest(0, least(start + size, take % words) - start) END::BIGINT AS taken FROM p
+            ELSE (drawn // words) * size + greatest(0, least(start + size, drawn % words) - start) END::BIGINT AS taken FROM p
 """
 
 OP9_SQL = r"""

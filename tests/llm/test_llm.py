@@ -279,21 +279,48 @@ def test_bpe_table_follows_the_merges(tmp_path):
     assert [[ranks.tokens[i] for i in x] for x in ids] == [["!!!"], ["ab"]]
 
 
-def test_mix(docs, empty):
+def test_mix(docs, empty, spark):
     mixed, plan = mix(docs, block_words=16)
     got = [r.asDict() for r in mixed.collect()]
     size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
-    assert sum(r["size"] for r in got) == sum(size(t) for _, t, *_ in cases())
-    assert all(0 <= r["taken"] <= 3 * r["size"] for r in got)
+    assert sorted((str(r["doc_id"]), r["size"]) for r in got) == sorted((str(k), size(t)) for k, t, *_ in cases())
+    assert all(0 <= r["taken"] <= 3 * r["size"] and (r["taken"] > 0) == (r["n_slots"] > 0) for r in got)
     for s in {r["source"] for r in got}:
         own = [r for r in got if r["source"] == s]
-        assert sum(r["taken"] for r in own) == round(own[0]["target"]) and own[0]["target"] <= 3 * own[0]["source_size"]
+        taken = sum(r["taken"] for r in own)
+        assert abs(taken - own[0]["target"]) <= 16 and own[0]["target"] <= 3 * own[0]["source_size"] and taken == own[0]["source_take"]
     pieces = plan.groupBy("place", "block").agg(F.sum("words").alias("n"), F.countDistinct("slot").alias("s")).collect()
     assert all(p.s == 1 for p in pieces)
     assert sorted(map(str, got)) == sorted(str(r.asDict()) for r in mix(docs, block_words=16)[0].collect())
     assert mix(empty)[0].count() == 0
 
 
+def test_mix_follows_its_schedule(spark):
+    """Another sequence of points takes other words; every source's words are those of its slots."""
+    rows = [(k, "w " * (k % 97 + 3), "abc"[k % 3]) for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    by = {}
+    for name, point in (("corput", None), ("low", lambda t: (t % 10) / 40.0)):
+        mixed, plan = mix(docs, block_words=64, slots=1, **({"point": point} if point else {}))
+        taken = {r.source: (r.t, r.target) for r in mixed.groupBy("source").agg(F.sum("taken").alias("t"), F.max("target").alias("target")).collect()}
+        slots = {r.place: r.n for r in plan.groupBy("place").agg(F.countDistinct("slot").alias("n")).collect()}
+        assert all(min(64 * slots[place], 3 * sum(len(t.split()) for _, t, s in rows if s == source)) == taken[source][0] for place, source in enumerate("abc"))
+        by[name] = taken
+    assert by["corput"] != by["low"]
+    assert all(abs(t - target) <= 3 * 64 for t, target in by["corput"].values())
+
+
+def test_mix_sql_on_repeated_rows(spark):
+    import duckdb
+
+    rows = [(k // 2, t, f"s{k % 3}" if k % 5 else None) for k, t in enumerate([" ".join(words(k, k % 40)) for k in range(60)])] * 2 + [(None, "a b", "s1"), (3, None, "s1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [tuple(r) for r in mix(docs)[0].select("doc_id", "size", "source_size", "target", "taken").collect()]
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    assert sorted(map(str, got)) == sorted(map(str, con.execute(ORACLE_SQL["op7_mix"]).fetchall()))
+
+
 def test_grammar():
     g = Grammar({"dolt$": 5.0, "knav": 4.0})
     kinds = lambda t: [k for k, _ in g.clauses(t)[0]]
