@@ -46,14 +46,19 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: whole, where the mix takes at least half of it in a round."""
+    """Each document as often as the mix takes it, in the order of the schedule's slots: whole, in each
+    round of its source's stream in which the slots take at least half of it.
+
+    Documents without words are no part of a mix of words and go; a document of a source that the
+    schedule draws less than once, and beyond what it draws, goes too."""
     mixed, _ = mix(docs)
     middle = F.col("start") + F.floor(F.col("size") / 2)
     times = sum((((middle + F.lit(k) * F.col("source_size")) < F.col("source_take")).cast("int") for k in range(MOST)), F.lit(0))
-    times = F.when(F.col("size") > 0, times).otherwise(0)
-    drawn = mixed.select(F.col("doc_id").alias("its"), F.col("source").alias("of"), times.alias("times")).filter("times > 0")
-    found = docs.join(drawn, F.col("doc_id").eqNullSafe(F.col("its")) & F.col("source").eqNullSafe(F.col("of")))
-    return found.withColumn("_round", F.explode(F.sequence(F.lit(1), F.col("times")))).select(docs.columns)
+    drawn = mixed.filter("size > 0").select(F.col("doc_id").alias("its"), F.col("source").alias("of"), F.col("mark").alias("said"), times.alias("times"), "first_slot")
+    found = docs.join(drawn.filter("times > 0"), F.col("doc_id").eqNullSafe(F.col("its")) & F.col("source").eqNullSafe(F.col("of"))
+                      & (F.md5(F.coalesce(F.col("text"), F.lit(""))) == F.col("said")))
+    found = found.withColumn("_round", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return found.orderBy("_round", "first_slot").select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
