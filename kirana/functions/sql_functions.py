@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from kirana.functions.text import GREETINGS
+from kirana.sources.search_index import register
 
 SCALAR = {
     "kirana_normalize_phone": ("p STRING", "STRING",
@@ -33,9 +34,10 @@ def register_functions(spark: SparkSession) -> list[str]:
     return list(SCALAR)
 
 
-def register_table_functions(spark: SparkSession, orders_view: str = "v_orders") -> list[str]:
-    """``kirana_order_history(phone)`` as a SQL table function over a registered
-    orders view (matches stored, normalised and +91 forms)."""
+def register_table_functions(spark: SparkSession, orders_view: str = "v_orders", search_index: str | None = None, synonyms_view: str = "v_synonyms") -> list[str]:
+    """SQL table functions.  ``kirana_order_history(phone)`` over a registered orders view
+    (matches stored, normalised and +91 forms), and, with the path of a stored index
+    (``search_index.build``), ``kirana_search_catalog(q)``."""
     register_functions(spark)
     spark.sql(f"""
         CREATE OR REPLACE TEMPORARY FUNCTION kirana_order_history(phone STRING)
@@ -43,4 +45,7 @@ def register_table_functions(spark: SparkSession, orders_view: str = "v_orders")
         RETURN SELECT order_id, customer_phone, total_amount, status FROM {orders_view}
                WHERE customer_phone IN (phone, kirana_normalize_phone(phone),
                                         concat('+91', kirana_normalize_phone(phone)))""")
-    return ["kirana_order_history"]
+    if search_index is None:
+        return ["kirana_order_history"]
+    register(spark, search_index, synonyms_view)
+    return ["kirana_order_history", "kirana_search_catalog"]

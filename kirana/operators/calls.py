@@ -29,23 +29,17 @@ def _us(seconds: float):
     return F.lit(int(round(seconds * 1_000_000)))
 
 
-def _in_segments(frames: DataFrame, gap_seconds: float, bucket_seconds: int, before: DataFrame | None) -> DataFrame:
+def _in_segments(frames: DataFrame, gap_seconds: float, bucket_seconds: int) -> DataFrame:
     """Frames inside a turn, with ``seg`` (its number in the call) and ``closes``.
 
     The silent frames since the last loud one are closed by the first that is
     ``gap_seconds`` late, so a turn is already closed before a frame when the
-    frame just before it was that late.  ``before``: what earlier frames of a
-    call left (call, prev_loud, prev_ts, seg)."""
+    frame just before it was that late."""
     bkt = time_bucket(F.col("ts"), bucket_seconds)
     order = [F.col("ts"), F.col("event_id")]
     f = running(frames, ["call"], bkt, order,
                 {"prev_loud": ("last", F.when(F.col("loud"), F.col("ts"))),
                  "prev_ts": ("last", F.when(F.col("loud").isNotNull(), F.col("ts")))}, inclusive=False)
-    if before is not None:
-        held = before.select(F.col("call").alias("_call"), F.col("prev_loud").alias("_loud"), F.col("prev_ts").alias("_ts"),
-                             F.col("seg").alias("_seg"))
-        f = f.join(held, F.col("call").eqNullSafe(F.col("_call")), "left")
-        f = f.withColumns({"prev_loud": F.coalesce("prev_loud", "_loud"), "prev_ts": F.coalesce("prev_ts", "_ts")})
     late = _elapsed_us(F.col("prev_ts"), F.col("prev_loud"))
     spent = F.coalesce((late >= _us(gap_seconds)) & (late > 0), F.lit(False))
     f = f.withColumns({
@@ -54,8 +48,6 @@ def _in_segments(frames: DataFrame, gap_seconds: float, bucket_seconds: int, bef
         "_new": F.col("loud") & (F.col("prev_loud").isNull() | spent),
         "_in": F.col("loud") | (F.col("prev_loud").isNotNull() & ~spent)})
     f = running(f, ["call"], bkt, order, {"seg": ("sum", F.col("_new").cast("int"))}, inclusive=True)
-    if before is not None:
-        f = f.withColumn("seg", F.col("seg") + F.coalesce("_seg", F.lit(0)))
     return f.filter("_in")
 
 
@@ -82,39 +74,10 @@ def speech_segments(frames: DataFrame, gap_seconds: float, min_loud_seconds: flo
     end of a call are emitted with ``closed = false``.  ``min_loud_seconds``
     drops turns whose loud span is shorter.
     """
-    segs = _segments_of(_in_segments(frames, gap_seconds, bucket_seconds, None))
+    segs = _segments_of(_in_segments(frames, gap_seconds, bucket_seconds))
     return _long_enough(segs.withColumn("closed", F.col("end_ts").isNotNull()), min_loud_seconds)
 
 
-#: State of T2: per call the last loud and last frame, the number of turns, and the turn still open.
-SEGMENT_STATE = ("call long, prev_loud timestamp, prev_ts timestamp, seg long, start_ts timestamp, "
-                 "last_loud_ts timestamp, n_loud long, n_frames long")
-
-
-def next_segments(frames: DataFrame, before: DataFrame, gap_seconds: float, min_loud_seconds: float = 0.0,
-                  bucket_seconds: int = 86400) -> tuple[DataFrame, DataFrame]:
-    """The turns of W4 that close in a micro-batch of later frames, and the state after it."""
-    parts = _segments_of(_in_segments(frames, gap_seconds, bucket_seconds, before)).withColumn("seg", F.col("seg").cast("bigint"))
-    left_open = before.filter("start_ts is not null").select(
-        "call", "seg", "start_ts", "last_loud_ts", F.lit(None).cast("timestamp").alias("end_ts"), "n_loud", "n_frames")
-    segs = parts.unionByName(left_open).groupBy("call", "seg").agg(
-        F.min("start_ts").alias("start_ts"), F.max("last_loud_ts").alias("last_loud_ts"), F.min("end_ts").alias("end_ts"),
-        F.sum("n_loud").alias("n_loud"), F.sum("n_frames").alias("n_frames"))
-    seen = frames.groupBy("call").agg(F.max(F.when(F.col("loud"), F.col("ts"))).alias("prev_loud"),
-                                      F.max(F.when(F.col("loud").isNotNull(), F.col("ts"))).alias("prev_ts"))
-    # a call has at most one open turn
-    running_turn = [F.max(F.when(F.col("end_ts").isNull(), F.col(c))).alias(c)
-                    for c in ("start_ts", "last_loud_ts", "n_loud", "n_frames")]
-    turns = segs.groupBy("call").agg(F.max("seg").alias("seg"), *running_turn)
-    empty = {"prev_loud": F.lit(None).cast("timestamp"), "prev_ts": F.lit(None).cast("timestamp")}
-    rest = {c: F.lit(None).cast(t) for c, t in (("seg", "bigint"), ("start_ts", "timestamp"), ("last_loud_ts", "timestamp"),
-                                                ("n_loud", "bigint"), ("n_frames", "bigint"))}
-    after = (before.select("call", "prev_loud", "prev_ts", "seg").withColumns({c: v for c, v in rest.items() if c != "seg"})
-             .unionByName(seen.withColumns(rest)).unionByName(turns.withColumns(empty))
-             .groupBy("call").agg(*[F.max(c).alias(c) for c in ("prev_loud", "prev_ts", *rest)]))
-    return _long_enough(segs.filter("end_ts is not null"), min_loud_seconds), after
-
-
 def frame_batches(frames: DataFrame, n: int = 5, bucket_seconds: int = 86400) -> DataFrame:
     """Every ``n`` consecutive frames of a call form one batch; an incomplete
     tail is held back."""
@@ -285,48 +248,27 @@ def cumulative_cart(lines: DataFrame, by: list[str], order: list[str], ts: str,
                    {"cart_quantity": ("sum", F.col("quantity"))}, inclusive=True)
 
 
-#: State of T5-T7: per call the last bot audio, the last loud speech, whether an order was placed.
-TIMELINE_STATE = "call long, last_bot timestamp, last_loud timestamp, locked boolean"
-
-
 def _is_order():
     return (F.col("kind") == "end") & F.col("order_id").isNotNull()
 
 
-def timeline_flags(events: DataFrame, bucket_seconds: int = 86400, before: DataFrame | None = None) -> DataFrame:
+def timeline_flags(events: DataFrame, bucket_seconds: int = 86400) -> DataFrame:
     """Running state used by T5-T7 on the merged call timeline.
 
     Adds ``last_bot`` (latest bot audio strictly before), ``last_loud`` (latest
-    loud speech at or before) and ``locked`` (an order was placed earlier).
-    ``before``: what the earlier events of a call left (``timeline_state``)."""
+    loud speech at or before) and ``locked`` (an order was placed earlier)."""
     loud = F.when(F.col("kind") == "loud", F.col("ts"))
     e = running(events, ["call"], time_bucket(F.col("ts"), bucket_seconds), [F.col("ts"), F.col("event_id")],
                 {"last_bot": ("last", F.when(F.col("kind") == "bot_audio", F.col("ts"))),
                  "last_loud": ("last", loud), "locked": ("max", _is_order().cast("int"))}, inclusive=False)
-    e = e.withColumns({"last_loud": F.coalesce(loud, "last_loud"), "locked": F.coalesce("locked", F.lit(0)) == 1})
-    if before is None:
-        return e
-    held = before.select(F.col("call").alias("_call"), F.col("last_bot").alias("_bot"), F.col("last_loud").alias("_loud"),
-                         F.col("locked").alias("_locked"))
-    e = e.join(held, F.col("call").eqNullSafe(F.col("_call")), "left")
-    return (e.withColumns({"last_bot": F.coalesce("last_bot", "_bot"), "last_loud": F.coalesce("last_loud", "_loud"),
-                           "locked": F.col("locked") | F.coalesce("_locked", F.lit(False))})
-            .drop("_call", "_bot", "_loud", "_locked"))
-
-
-def timeline_state(events: DataFrame, before: DataFrame) -> DataFrame:
-    """The state of each call after a micro-batch of its events (maxima, combined map-side)."""
-    now = events.select("call", F.when(F.col("kind") == "bot_audio", F.col("ts")).alias("last_bot"),
-                        F.when(F.col("kind") == "loud", F.col("ts")).alias("last_loud"),
-                        F.coalesce(_is_order(), F.lit(False)).alias("locked"))
-    return before.unionByName(now).groupBy("call").agg(*[F.max(c).alias(c) for c in ("last_bot", "last_loud", "locked")])
+    return e.withColumns({"last_loud": F.coalesce(loud, "last_loud"), "locked": F.coalesce("locked", F.lit(0)) == 1})
 
 
 def echo_gate(events: DataFrame, echo_seconds: float, loud_at: float = 50.0,
-              bucket_seconds: int = 86400, before: DataFrame | None = None) -> DataFrame:
+              bucket_seconds: int = 86400) -> DataFrame:
     """T5: a caller frame is suppressed while bot audio was sent within
     ``echo_seconds`` unless it is loud and no order has been placed."""
-    e = timeline_flags(events, bucket_seconds, before)
+    e = timeline_flags(events, bucket_seconds)
     bot_active = F.col("last_bot").isNotNull() & (_elapsed_us(F.col("ts"), F.col("last_bot")) < _us(echo_seconds))
     suppressed = bot_active & (F.col("locked") | (F.col("value") < loud_at))
     return (e.filter(F.col("kind") != "bot_audio")
@@ -344,19 +286,18 @@ def frame_gate_counters(gated: DataFrame, seconds_per_frame: float = 0.1) -> Dat
              F.round(F.col("suppressed") * seconds_per_frame, 1).alias("suppressed_seconds"))
 
 
-def barge_in(events: DataFrame, window_seconds: float, bucket_seconds: int = 86400,
-             before: DataFrame | None = None) -> DataFrame:
+def barge_in(events: DataFrame, window_seconds: float, bucket_seconds: int = 86400) -> DataFrame:
     """An interrupt is genuine when loud speech happened at most
     ``window_seconds`` before it and no order has been placed."""
-    e = timeline_flags(events, bucket_seconds, before)
+    e = timeline_flags(events, bucket_seconds)
     recent = F.col("last_loud").isNotNull() & (_elapsed_us(F.col("ts"), F.col("last_loud")) <= _us(window_seconds))
     return (e.filter(F.col("kind") == "interrupt")
             .select("call", "event_id", "ts", "locked", (recent & ~F.col("locked")).alias("genuine")))
 
 
-def order_lock(events: DataFrame, bucket_seconds: int = 86400, before: DataFrame | None = None) -> DataFrame:
+def order_lock(events: DataFrame, bucket_seconds: int = 86400) -> DataFrame:
     """After an order event in a call, later interrupts and frames are ignored."""
-    return timeline_flags(events, bucket_seconds, before).select("call", "event_id", "ts", "kind", F.col("locked").alias("ignored"))
+    return timeline_flags(events, bucket_seconds).select("call", "event_id", "ts", "kind", F.col("locked").alias("ignored"))
 
 
 def chunk_energy(chunks: DataFrame, key: str, arr: str, quiet: float = 0.040,

@@ -104,6 +104,17 @@ def distinct_customers_approx(customers: DataFrame, rsd: float = 0.02) -> DataFr
         F.approx_count_distinct(normalize_phone(F.col("phone_number")), rsd).alias("n_people_approx"))
 
 
+def people_sketches(customers: DataFrame, day: str, log_k: int = 14) -> DataFrame:
+    """A6 (stored form): one mergeable sketch of the distinct people a day, with the rows counted;
+    ``people_total`` adds days up without reading the customers again."""
+    return customers.groupBy(day).agg(F.count(F.lit(1)).alias("n_rows"), F.hll_sketch_agg(normalize_phone(F.col("phone_number")), log_k).alias("people"))
+
+
+def people_total(sketches: DataFrame) -> DataFrame:
+    """Rows and about how many distinct people over the days of ``people_sketches``."""
+    return sketches.agg(F.sum("n_rows").alias("n_rows"), F.hll_sketch_estimate(F.hll_union_agg("people")).alias("n_people_approx"))
+
+
 def customer_search(customers: DataFrame, q: str) -> DataFrame:
     """FIL2: case-insensitive literal substring on name OR phone OR address, id desc."""
     needle = F.lit(q.strip().lower())

@@ -158,7 +158,7 @@ def replay_product_changes(products: DataFrame, changes: DataFrame, order: Seque
         return e.select("_at", reason.isNull().alias("decision"), F.coalesce(reason, F.lit("ok")).alias("reason"), F.col("decision").alias("_was")), path
 
     verdicts = log.join(settled(log.select("_at", F.col("fault").isNull().alias("decision")), decide), "_at")
-    cols = ["name", "category", "price", "unit", "stock_quantity"]
+    cols = [c for c in ("name", "category", "price", "unit", "stock_quantity") if c in products.columns]
     last = (verdicts.filter("decision").groupBy("id")
             .agg(F.max((F.col("op") == "delete")).alias("_dead"), F.max_by(F.struct(*cols), F.when(F.col("op") != "delete", F.col("_at"))).alias("_row")))
     table = products.select("id", F.struct(*cols).alias("_had")).join(last, "id", "full_outer").filter("_dead is null or not _dead")

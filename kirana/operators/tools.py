@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kirana.functions.phone import py_strip
-from kirana.functions.text import delivery_fee, extract_tool_json, normalize_items, safe_quantity, tool_arguments, tool_name
+from kirana.functions.text import (
+    address_default, delivery_fee, extract_tool_json, name_default, normalize_items, safe_quantity, tool_arguments, tool_name)
 from kirana.operators.orders import with_settings
 from kirana.operators.replay import replay_customer_changes, replay_orders
 from kirana.operators.search import resolve_products, search_catalog
@@ -115,13 +116,13 @@ def tool_batch(calls: DataFrame, customers: DataFrame, products: DataFrame, orde
     reason = (F.when(~known, F.concat(F.lit("Unknown tool name: "), F.coalesce("tool", blank))).when(of("register_caller"), F.col("_person"))
               .when(of("search_catalog"), F.lit("ok")).otherwise(F.col("outcome")))
     fee = delivery_fee(F.col("delivery_type"), F.col("_sub").cast("double"), F.col("fee"), F.col("threshold"))
-    name = F.coalesce(F.when(F.col("name") != "", py_strip(F.col("name"))), F.when(F.col("customer_id").isNotNull(), F.col("_name")), F.lit("Valued Customer"))
-    to_door = F.when((F.col("delivery_type") == "delivery") & F.col("customer_id").isNotNull(), F.col("_address"))
+    name = name_default(F.col("name"), F.col("_name"))
+    home = address_default(F.col("delivery_type"), F.col("address"), F.col("_address"))
     typed = j.select(
         "call_id", "tool", F.coalesce(ok, F.lit(False)).alias("ok"), reason.alias("reason"),
         F.when(of("register_caller") | placed, F.col("customer_id")).alias("customer_id"),
         F.when(placed, name).when(of("register_caller") & ok, py_strip(F.col("name"))).alias("customer_name"),
-        F.when(placed, F.coalesce(F.when(F.col("address") != "", F.col("address")), to_door, F.lit("Store Pickup"))).when(of("register_caller") & ok, py_strip(F.col("address"))).alias("address"),
+        F.when(placed, home).when(of("register_caller") & ok, py_strip(F.col("address"))).alias("address"),
         F.when(placed | of("track_order") | of("cancel_existing_order"), F.upper(py_strip(F.col("order_id")))).alias("order_id"),
         F.when(placed, F.lit("CONFIRMED")).when(of("track_order"), F.col("before")).when(F.col("outcome") == "cancelled", F.lit("CANCELLED")).alias("status"),
         F.when(placed, (F.col("_sub").cast("double") + fee).cast("decimal(18,2)").cast("double")).alias("total_amount"),

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kirana.functions.lexicon import TEST_QUERIES, TEST_SYNONYMS, synonyms_frame
+from kirana.functions.sql_functions import register_table_functions
 from kirana.functions.text import CATEGORY_WORDS, STOP_WORDS, UNIT_WORDS
 from kirana.operators import search as se
 from kirana.plans.base import query
+from kirana.session import scratch_path
 from kirana.sources import tables as tb
+from kirana.sources.search_index import build
 
 
 def _lst(xs):
@@ -145,3 +148,24 @@ def q_stock_check_by_name(spark, d):
         "line_id", "product_id", F.col("match_tier").cast("int").alias("match_tier"),
         F.col("requested").cast("bigint").alias("requested"), "product_name", "available", "in_stock",
         F.col("shortfall").cast("bigint").alias("shortfall"))
+
+
+FEW_SQL = "SELECT q AS qid, q AS query FROM (VALUES " + ", ".join(f"('{q}')" for q in TEST_QUERIES) + ") t(q)"
+
+
+@query("register_table_functions", "WITH " + search_sql("v_few") + f"""
+    SELECT qid, rank, id, name, match FROM search_result
+    UNION ALL SELECT customer_phone, NULL, id, order_id, status FROM v_orders WHERE customer_phone IN ('09000000007', '9000000007', '+919000000007')""",
+       ctes={"v_few": FEW_SQL, "v_synonyms": SYN_SQL})
+def q_register_table_functions(spark, d):
+    """Both SQL table functions: searches on a stored index, and one caller's orders."""
+    t = tb.load(spark, d)
+    path = scratch_path(spark, "search-index")
+    build(t.products, path)
+    synonyms_frame(spark, TEST_SYNONYMS).createOrReplaceTempView("kirana_synonyms")
+    t.orders.createOrReplaceTempView("kirana_orders")
+    register_table_functions(spark, "kirana_orders", path, "kirana_synonyms")
+    found = " UNION ALL ".join(f"SELECT '{q}' AS qid, * FROM kirana_search_catalog('{q}')" for q in TEST_QUERIES)
+    theirs = """SELECT h.customer_phone AS qid, CAST(NULL AS BIGINT) AS rank, o.id, h.order_id AS name, h.status AS match
+                FROM kirana_order_history('09000000007') h JOIN kirana_orders o ON o.order_id = h.order_id"""
+    return spark.sql(f"{found} UNION ALL {theirs}")

@@ -13,7 +13,8 @@ from kirana.plans.q_store import RESOLVE_SQL
 from kirana.session import scratch_path
 from kirana.sources import sinks as sk
 from kirana.sources import tables as tb
-from kirana.sources.settings import DEFAULT_SETTINGS, settings_frame, settings_map, upsert_settings
+from kirana.sources.events import event_stream, write_events
+from kirana.sources.settings import DEFAULT_SETTINGS, SETTING_DEFAULTS, setting_value, settings_frame, settings_map, upsert_settings
 
 CHANGES_SQL = """
   SELECT p_name AS name, lower(p_type) AS category,
@@ -180,6 +181,48 @@ def q_settings_map(spark, d):
                     F.col("details")[F.col("key")]["updated_at"].alias("updated_at"))
 
 
+_ASKED = ("store_name", "delivery_fee", "purchase", "store_phone", "no_such_key")
+
+
+@query("setting_value", f"""
+    SELECT e.event_id, k.key, coalesce(s.value, d.value, 'none') AS value
+    FROM (SELECT event_id, event_id % {len(_ASKED)} AS n FROM events) e
+    JOIN (VALUES {', '.join(f"({n}, '{k}')" for n, k in enumerate(_ASKED))}) k(n, key) ON k.n = e.n
+    LEFT JOIN v_new_settings s ON s.key = k.key
+    LEFT JOIN (VALUES {', '.join(f"('{k}', '{v}')" for k, v in SETTING_DEFAULTS.items())}) d(key, value) ON d.key = k.key""",
+       ctes={"v_new_settings": REGISTRY["upsert_settings"].sql})
+def q_setting_value(spark, d):
+    """S19 for every event: settings after the upsert, the defaults, and a default of the caller's."""
+    e = tb.read_table(spark, d, "events")
+    changes = e.select(F.col("event_type").alias("key"), F.col("value").cast("string").alias("value"), F.col("event_id").alias("seq"), "ts")
+    table = upsert_settings(settings_frame(spark), changes).select(F.col("key"), "value")
+    named = table.agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("settings"))  # one row: as many keys as there are settings
+    asked = F.element_at(F.array(*map(F.lit, _ASKED)), (F.col("event_id") % len(_ASKED) + 1).cast("int"))
+    return (e.select("event_id", asked.alias("key")).crossJoin(F.broadcast(named))
+            .select("event_id", "key", setting_value(F.col("settings"), F.concat(F.lit(" "), "key", F.lit(" ")), "none").alias("value")))
+
+
+@query("event_stream", "SELECT coalesce(kind, 'bad line') AS kind, count(*) AS n_events FROM (SELECT kind FROM v_call_events UNION ALL SELECT NULL FROM events WHERE value IS NOT NULL AND event_type = 'signup') GROUP BY 1")
+def q_event_stream(spark, d):
+    """SRC2 with a stop between: a first run over some of the files, a second over the rest with the same checkpoint."""
+    e = tb.load(spark, d).call_events
+    path, out = scratch_path(spark, "events"), scratch_path(spark, "events-sink")
+    cut = F.col("event_id") % 2 == 0
+
+    def run() -> None:
+        q = (event_stream(spark, path, 2).writeStream.format("parquet").option("checkpointLocation", f"{out}-ckpt").option("path", out).trigger(availableNow=True).start())
+        q.awaitTermination()
+
+    write_events(e.filter(cut), path)
+    run()
+    write_events(e.filter(~cut), path)
+    # lines that are no events: a sign-up cut short in the middle
+    broken = tb.read_table(spark, d, "events").filter("value IS NOT NULL AND event_type = 'signup'")
+    broken.select(F.concat(F.lit('{"event": "start", "event_id": '), F.col("event_id").cast("string")).alias("value")).write.mode("append").text(path)
+    run()
+    return spark.read.parquet(out).groupBy(F.coalesce("kind", F.lit("bad line")).alias("kind")).agg(F.count(F.lit(1)).alias("n_events"))
+
+
 @query("write_orders", """
     SELECT o.order_id, 'b0001' AS batch_id, o.customer_phone, o.total_amount, i.n_items
     FROM v_orders o LEFT JOIN (SELECT order_id, count(*) AS n_items FROM v_order_items GROUP BY 1) i

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from kirana.functions.phone import normalize_phone
 from kirana.operators import customers as cu
 from kirana.operators import kpi
 from kirana.plans.base import TODAY, query
@@ -159,3 +160,16 @@ def q_distinct_customers_approx(spark, d):
        OR contains(lower(address), '00001')""")
 def q_customer_search(spark, d):
     return cu.customer_search(tb.load(spark, d).customers, "00001")
+
+
+@query("people_sketches", """
+    SELECT count(*) AS n_rows, true AS union_is_whole, true AS within_2_percent FROM v_orders""")
+def q_people_sketches(spark, d):
+    """Callers of all orders: sketches by day added up, against one sketch of all and the exact count."""
+    calls = tb.load(spark, d).orders.select(F.col("customer_phone").alias("phone_number"), F.to_date("created_at").alias("day"))
+    person = normalize_phone(F.col("phone_number"))
+    days = cu.people_total(cu.people_sketches(calls, "day"))
+    whole = calls.agg(F.hll_sketch_estimate(F.hll_sketch_agg(person, 14)).alias("whole"), F.countDistinct(person).alias("exact"))
+    both = days.unionByName(whole, allowMissingColumns=True).agg(*[F.max(c).alias(c) for c in ("n_rows", "n_people_approx", "whole", "exact")])
+    off = F.abs(F.col("n_people_approx") - F.col("exact"))
+    return both.select("n_rows", (F.col("n_people_approx") == F.col("whole")).alias("union_is_whole"), (off <= 0.02 * F.col("exact")).alias("within_2_percent"))

@@ -11,16 +11,20 @@ from kirana.plans.q_calls import BARGE, ECHO, GAP, SEG_SQL, US, WARMUP
 from kirana.plans.q_ledger import MOVE_ORDER
 from kirana.sources import tables as tb
 from kirana.streaming import ops as so
-from kirana.streaming.replay import read_replay, replay_files, run_to_table, run_updates, run_with_state
+from kirana.streaming.keyed import run_keyed
+from kirana.streaming.replay import read_replay, replay_files, run_to_table, run_updates
 
+#: Rows of the replays below arrive up to a day after their time, in files that overlap.
+ARRIVAL, LATENESS = 86400, "2 days"
 
-def _stream(spark, df, ts, n_files=4, flush=True):
-    root, schema = replay_files(df, ts, n_files, flush=flush)
+
+def _stream(spark, df, ts, n_files=4, flush=True, late_seconds=0):
+    root, schema = replay_files(df, ts, n_files, flush=flush, late_seconds=late_seconds)
     return read_replay(spark, root, schema)
 
 
-def _stepped(spark, df, step, name, ts="ts"):
-    return run_with_state(_stream(spark, df, ts, flush=False), name, *step)
+def _late(spark, df, ts="ts"):
+    return _stream(spark, df, ts, 3, late_seconds=ARRIVAL)
 
 
 @query("stream_daily_kpis")
@@ -55,8 +59,8 @@ def q_stream_frame_windows(spark, d):
 
 @query("stream_call_state")
 def q_stream_call_state(spark, d):
-    e = tb.load(spark, d).call_events
-    return run_updates(so.stream_call_state(_stream(spark, e, "ts", flush=False)), "call-state", ["call_sid", "call"])
+    rows = run_keyed(so.stream_call_state(_late(spark, tb.load(spark, d).call_events), LATENESS), "call-state")[0]
+    return so.latest_rows(rows, "call_sid").select("call_sid", "call", "call_status", "duration_seconds", "order_id", "summary", "started_at", "ended_at", "n_starts", "n_ends")
 
 
 @query("stream_frame_windows_sliding")
@@ -67,35 +71,34 @@ def q_stream_frame_windows_sliding(spark, d):
 
 @query("stream_speech_segments", f"SELECT * EXCLUDE (closed) FROM ({SEG_SQL}) WHERE closed")
 def q_stream_speech_segments(spark, d):
-    f = tb.load(spark, d).frames
-    return _stepped(spark, f, so.segments_step(GAP), "segments").select(
-        "call", "seg", "start_ts", "last_loud_ts", "end_ts", "n_loud", "n_frames")
+    out = run_keyed(so.stream_speech_segments(_late(spark, tb.load(spark, d).frames), GAP, lateness=LATENESS), "segments")[0]
+    return out.select("call", "seg", "start_ts", "last_loud_ts", "end_ts", "n_loud", "n_frames")
 
 
 @query("stream_batches")
 def q_stream_batches(spark, d):
-    f = tb.load(spark, d).frames
-    return _stepped(spark, f, so.batches_step(5), "batches").withColumnRenamed("batch_no", "batch")
+    return run_keyed(so.stream_batches(_late(spark, tb.load(spark, d).frames), 5, LATENESS), "batches")[0].withColumnRenamed("batch_no", "batch")
 
 
 @query("stream_echo_gate")
 def q_stream_echo_gate(spark, d):
-    return _stepped(spark, tb.load(spark, d).call_events, so.echo_gate_step(ECHO), "echo-gate")
+    return run_keyed(so.stream_echo_gate(_late(spark, tb.load(spark, d).call_events), ECHO, lateness=LATENESS), "echo-gate")[0]
 
 
 @query("stream_barge_in")
 def q_stream_barge_in(spark, d):
-    return _stepped(spark, tb.load(spark, d).call_events, so.barge_in_step(BARGE), "barge-in")
+    # the bound calls go on for the year of the table
+    return run_to_table(so.stream_barge_in(_late(spark, tb.load(spark, d).call_events), BARGE, 800 * 86400, LATENESS), "barge-in")
 
 
 @query("stream_order_lock")
 def q_stream_order_lock(spark, d):
-    return _stepped(spark, tb.load(spark, d).call_events, so.order_lock_step(), "order-lock")
+    return run_keyed(so.stream_order_lock(_late(spark, tb.load(spark, d).call_events), LATENESS), "order-lock")[0]
 
 
 @query("stream_warmup")
 def q_stream_warmup(spark, d):
-    return _stepped(spark, tb.load(spark, d).frames, so.warmup_step(WARMUP), "warmup")
+    return run_keyed(so.stream_warmup(_late(spark, tb.load(spark, d).frames), WARMUP, LATENESS), "warmup")[0]
 
 
 @query("stream_stock_ledger")
@@ -103,8 +106,16 @@ def q_stream_stock_ledger(spark, d):
     t = tb.load(spark, d)
     opening = t.products.select(F.col("id").alias("product_id"), F.col("stock_quantity").alias("opening"))
     moves = t.stock_moves.join(opening, "product_id", "left")
-    return _stepped(spark, moves, so.stock_ledger_step(MOVE_ORDER), "stock-ledger").select(
-        "product_id", "ts", "l_orderkey", "l_linenumber", "l_suppkey", "delta", "balance")
+    out = run_keyed(so.stream_stock_ledger(_late(spark, moves), MOVE_ORDER, LATENESS), "stock-ledger")[0]
+    return out.select("product_id", "ts", "l_orderkey", "l_linenumber", "l_suppkey", "delta", "balance")
+
+
+@query("stream_dedup_starts", "SELECT call, event_id FROM v_call_events WHERE kind = 'start'")
+def q_stream_dedup_starts(spark, d):
+    """Each start is logged by the webhook and seconds later by the bridge; which of the two stays is left open."""
+    e = tb.load(spark, d).call_events.select("call", "event_id", "ts", "kind")
+    again = e.withColumn("ts", F.col("ts") + F.expr("INTERVAL 3 SECOND"))
+    return run_to_table(so.stream_dedup_starts(_stream(spark, e.unionByName(again), "ts"), ["call", "event_id"]), "dedup-starts").select("call", "event_id")
 
 
 # the batch twins' oracles check the streamed results

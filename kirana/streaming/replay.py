@@ -14,12 +14,11 @@ under the shared checkpoint folder.
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kirana.session import remove, scratch_path
+from kirana.session import scratch_path
 
 
 def _date_in_order(spark: SparkSession, root: str) -> None:
@@ -32,11 +31,16 @@ def _date_in_order(spark: SparkSession, root: str) -> None:
         files.setTimes(path(f"{root}/{name}"), first + 1000 * k, -1)
 
 
-def replay_files(df: DataFrame, ts_col: str, n_files: int = 4, flush_days: int = 3650, flush: bool = True) -> tuple[str, object]:
+def replay_files(df: DataFrame, ts_col: str, n_files: int = 4, flush_days: int = 3650, flush: bool = True,
+                 late_seconds: int = 0) -> tuple[str, object]:
+    """With ``late_seconds`` a row arrives up to so much after its time, so files overlap in time."""
     spark = df.sparkSession
     root = scratch_path(spark, "replay")
     data = df.withColumn("_flush", F.lit(False)) if flush else df
-    data.repartitionByRange(n_files, ts_col).write.parquet(root)
+    arrives = F.unix_micros(ts_col)
+    if late_seconds:
+        arrives = arrives + F.pmod(F.xxhash64(*df.columns), F.lit(late_seconds)) * 1_000_000
+    data.repartitionByRange(n_files, arrives).write.parquet(root)
     _date_in_order(spark, root)
     last = df.agg(F.max(ts_col)).first()[0] if flush else None
     if last is not None:
@@ -80,30 +84,3 @@ def run_updates(stream_df: DataFrame, name: str, keys: list[str]) -> DataFrame:
     rows = spark.read.parquet(out)
     return (rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col("batch")).alias("_last"))
             .select(*keys, *[F.col(f"_last.{c}").alias(c) for c in rest]))
-
-
-def run_with_state(stream_df: DataFrame, name: str, step: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]],
-                   state: str) -> DataFrame:
-    """Run ``step`` over the micro-batches of a stream and return all its rows as a batch DataFrame.
-
-    ``step(batch, before)`` gives the rows of a micro-batch and the state after it,
-    a table of schema ``state``.  Both are written under the batch's number: a
-    micro-batch that is retried after a failure starts from the same state and
-    overwrites its own output."""
-    spark = stream_df.sparkSession
-    out = scratch_path(spark, f"carried-{name}")
-
-    def put(batch: DataFrame, number: int) -> None:
-        session = batch.sparkSession
-        before = (session.read.schema(state).parquet(f"{out}/state/{number - 1}") if number
-                  else session.createDataFrame([], state))
-        rows, after = step(batch, before)
-        rows.write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
-        after.write.mode("overwrite").parquet(f"{out}/state/{number}")
-        if number > 1:
-            remove(session, f"{out}/state/{number - 2}")
-
-    q = (stream_df.writeStream.foreachBatch(put).option("checkpointLocation", f"{out}/ckpt")
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(f"{out}/rows").drop("batch")

@@ -109,6 +109,7 @@ def test_streamed_ledger_keeps_moves_of_unknown_products(spark, monkeypatch):
     from kirana.plans import q_stream
     from kirana.plans.q_ledger import MOVE_ORDER
     from kirana.streaming import ops
+    from kirana.streaming.keyed import run_keyed
 
     rows = [(p, dt.datetime(2024, 1, 1 + k), k, 1, 1, 1.0, 0.0, 0.0, "N", "O", -2) for k, p in enumerate([1, 9, 1, 9])]
     moves = spark.createDataFrame(rows, "product_id long, ts timestamp, l_orderkey long, l_linenumber int, l_suppkey long, "
@@ -117,7 +118,6 @@ def test_streamed_ledger_keeps_moves_of_unknown_products(spark, monkeypatch):
     monkeypatch.setattr(q_stream.tb, "load", lambda *_: SimpleNamespace(products=products, stock_moves=moves))
     got = sorted((r.l_orderkey, r.product_id, r.balance) for r in q_stream.q_stream_stock_ledger(spark, "").collect())
     assert got == [(0, 1, 1), (1, 9, None), (2, 1, 0), (3, 9, None)]
-    step, state = ops.stock_ledger_step(MOVE_ORDER)
     opening = products.select(products.id.alias("product_id"), products.stock_quantity.alias("opening"))
-    led, _ = step(moves.join(opening, "product_id", "left"), spark.createDataFrame([], state))
+    led = run_keyed(ops.stream_stock_ledger(q_stream._stream(spark, moves.join(opening, "product_id", "left"), "ts"), MOVE_ORDER), "ledger")[0]
     assert {(r.product_id, r.reason) for r in led.collect()} == {(1, None), (9, "unknown product")}
