@@ -171,20 +171,21 @@ def resolve_products(lines: DataFrame, products: DataFrame, synonyms: DataFrame,
     # tier 2: exact CI name
     t2 = (names.join(per_name, names["req_key"] == per_name["name_key"])
           .select("req", F.col("_first").alias("_pid"), F.lit(2).alias("tier")))
-    # tiers 3 and 5: the significant tokens a product name holds, all or any
+    # tiers 3 and 5: the significant tokens a product name holds, all or any.  Names are found
+    # once per distinct token; a request meets only the names of its rarest one.
     toks = names.select("req", "req_key", significant_tokens(F.col("req")).alias("_toks"))
-    words = F.array_distinct(F.transform("_toks", lambda t: F.lower(t)))
-    tok = toks.select("req", "req_key", F.size("_toks").alias("_nt"), F.size(words).alias("_nd"),
-                      F.explode(words).alias("term"))
-    held = (tok.join(substring_pairs(tok, per_name), "term")
-            .groupBy("req", "req_key", "_nt", "_nd", "name_key").agg(F.count(F.lit(1)).alias("_m"))
-            .join(per_name, "name_key"))
+    toks = toks.select("req", "req_key", F.size("_toks").alias("_nt"), F.array_distinct(F.transform("_toks", lambda t: F.lower(t))).alias("_words"))
+    tok = toks.select("req", "_nt", F.explode("_words").alias("term"))
+    holds, _ = written(substring_pairs(tok, per_name), "token-names")
+    by_term = holds.join(per_name, "name_key").groupBy("term").agg(F.count(F.lit(1)).alias("_held"), F.min("_most").alias("_most"))
+    best = (tok.join(by_term, "term", "left").groupBy("req")
+            .agg(F.min(F.struct(F.coalesce("_held", F.lit(0)).alias("n"), "term")).alias("_rare"), F.min(F.when(F.col("_nt") > 1, F.col("_most"))).alias("_any")))
     r3 = (F.when(F.col("name_key") == F.col("req_key"), 1)
           .when(F.col("name_key").contains(F.col("req_key")), 2).otherwise(3))
-    by_tokens = held.groupBy("req").agg(
-        F.min(F.when(F.col("_m") == F.col("_nd"), F.struct(r3.alias("_r"), F.col("_first").alias("_pid")))).alias("_all"),
-        F.min(F.when(F.col("_nt") > 1, F.col("_most"))).alias("_any"))
-    t35 = by_tokens.select(
+    every = (best.filter("_rare.n > 0").select("req", F.col("_rare.term").alias("term")).join(toks, "req").join(holds, "term")
+             .filter(F.forall("_words", lambda w: F.col("name_key").contains(w))).join(per_name.select("name_key", "_first"), "name_key")
+             .groupBy("req").agg(F.min(F.struct(r3.alias("_r"), F.col("_first").alias("_pid"))).alias("_all")))
+    t35 = best.join(every, "req", "left").select(
         "req", F.coalesce("_all._pid", "_any._pid").alias("_pid"),
         F.when(F.col("_all").isNotNull(), 3).otherwise(5).alias("tier")).filter(F.col("_pid").isNotNull())
     # tier 4: first catalog search result, for names without a better tier
