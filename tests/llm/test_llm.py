@@ -333,6 +333,36 @@ def test_grammar():
     assert g.clauses("") == ([], 0)
 
 
+def test_grammar_of_targets_wraps_and_apostrophes():
+    g = Grammar({"dolt$": 5.0})
+    kinds = lambda t: [k for k, _ in g.clauses(t)[0]]
+    assert kinds("He isn't a dolt.") == kinds("You don't look a dolt") == kinds("they aren’t dolt") == [DENIED]
+    assert kinds("I'll kill you") == kinds("I will\nkill you.") == kinds("ich werde dich töten") == kinds("te voy a matar") == [THREAT]
+    assert kinds("We will beat the record and shoot a film.") == kinds("I will kill.\n\nYou came.") == []
+    assert kinds("He said he will hurt them.") == [REPORTED] and kinds("I will not hurt them.") == [DENIED]
+    assert kinds("you\nare a\ndolt") == [INSULTED_TARGET]
+
+
+def test_grammar_against_its_parts():
+    """The product automaton against its transducers run one by one, without the jumps over other words."""
+    from kirana.llm import clauses as cl
+
+    r = random.Random(8)
+    bag = ["dolt", "oak", "oak", "tree", "you", "him", "not", "said", "will", "kill", "werde", "isn't", ".", "\n", "\n\n"]
+    g = Grammar({"dolt$": 5.0})
+    for _ in range(3000):
+        text = " ".join(r.choices(bag, k=r.randint(1, 14)))
+        states, want = [first for _, first in cl.PARTS], []
+        for word in cl.TOKEN.findall(text):
+            kind = cl.INSULT if word == "dolt" else cl.NEGATION if word.endswith("n't") else cl.CLASS_OF.get(word, cl.OTHER if word.isalpha() else cl.BREAK)
+            got = cl._clause(tuple(states), kind)
+            want += [got] if got is not None else []
+            states = [part(s, kind) for (part, _), s in zip(cl.PARTS, states)]
+            if kind == cl.HARM and got is not None:
+                states[-1] = (states[-1][0], 0)
+        assert [k for k, _ in g.clauses(text)[0]] == want, text
+
+
 def test_toxicity_learns(spark):
     r, rows, marks = random.Random(5), [], []
     for k in range(400):
