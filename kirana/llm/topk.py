@@ -20,7 +20,8 @@ Defined results: vectors that are null, empty, or hold null or non-finite
 components take no part, nor do those with a null key; a component that is no longer
 finite after scaling, or a score among the best k that doesn't fit a long, raises an
 error.  Only vectors of equal dimension are compared.  Rows that repeat a key and vector count once;
-equal scores are ordered by the smaller key; an empty table returns no rows;
+rows of one key with different vectors are queries and candidates of their own, each with its k
+rows, in order of their vectors; equal scores are ordered by the smaller key; an empty table returns no rows;
 other columns are not read.
 """
 
@@ -153,6 +154,12 @@ def top_k(rows: DataFrame, queries: Column, k: int = 10, key: str = "vec_id", ve
     v = F.col(vector)
     usable = rows.filter(F.col(key).isNotNull() & _usable(v)).select(F.col(key).cast("long").alias("key"), integers(v, scale).alias("v"), queries.alias("asks"))
     usable = usable.dropDuplicates(["key", "v"]).withColumn("dim", F.size("v"))
+    names = None
+    if usable.groupBy("key").count().filter("count > 1").limit(1).count():
+        # rows take the place of keys, in the same order
+        usable = stage(usable.orderBy("key", "v").withColumn("row", F.monotonically_increasing_id()), "rows")
+        names = usable.select("row", "key")
+        usable = usable.drop("key").withColumnRenamed("row", "key")
     # squares of the largest doubles are not finite, so components are divided by the largest one first
     usable = usable.withColumn("size", F.greatest(F.array_max(F.transform("v", F.abs)), F.lit(1.0)))
     usable = usable.withColumn("length", F.least(F.col("size") * F.sqrt(F.aggregate(F.transform("v", lambda x: x / F.col("size")), F.lit(0.0), lambda s, x: s + x * x)), F.lit(1.7e308))).drop("size")
@@ -182,4 +189,7 @@ def top_k(rows: DataFrame, queries: Column, k: int = 10, key: str = "vec_id", ve
             .join(blocks.select("number", F.col("rows").alias("v")), "number")
             .select("q", "v", "bound").mapInArrow(_best(k), schema))
     found = begun.unionByName(rest).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    if names is not None:
+        found = (found.join(names.select(F.col("row").alias("query"), F.col("key").alias("_query")), "query").drop("query").withColumnRenamed("_query", "query")
+                 .withColumnRenamed("key", "row").join(names, "row"))
     return found.select(F.col("query").alias("query_id"), "rank", F.col("key").alias("vec_id"), F.coalesce("score", F.raise_error(F.lit(TOO_LARGE)).cast("long")).alias("score"))
