@@ -132,18 +132,18 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     each = block_size(per, block_words, slots)
     plan = stage(schedule(per, each, point), "mix-slots")
     counts = plan.groupBy("place").agg(F.count("*").alias("blocks"))
-    drawn = per.join(counts, "place").select("place", "words", F.least(F.col("blocks") * each, F.lit(MOST) * F.col("words")).alias("drawn"))
+    # one row a source, written so that Spark knows its size when it joins
+    drawn = stage(per.join(counts, "place", "left").select("place", "words", "target", F.coalesce(F.least(F.col("blocks") * each, F.lit(MOST) * F.col("words")), F.lit(0)).alias("drawn")), "mix-drawn")
     placed = stage(streams(rows, per, seed), "mix-streams")
-    runs = placed.filter("size > 0").join(drawn, "place").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(MOST - 1))))
+    runs = placed.filter("size > 0").join(drawn.select("place", "words", "drawn"), "place").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(MOST - 1))))
     runs = runs.withColumn("lo", F.col("start") + F.col("epoch") * F.col("words")).filter("lo < drawn")
     runs = runs.withColumn("hi", F.least(F.col("lo") + F.col("size"), F.col("drawn")))
     pieces = runs.withColumn("block", F.explode(F.sequence(F.floor(F.col("lo") / each), F.floor((F.col("hi") - 1) / each))))
     overlap = F.least("hi", (F.col("block") + 1) * each) - F.greatest("lo", F.col("block") * each)
     used = pieces.select("place", "block", "row", "key", overlap.alias("piece")).join(plan, ["place", "block"])
     taken = used.groupBy(F.col("row").alias("its")).agg(F.sum("piece").alias("taken"), F.min("slot").alias("first_slot"), F.count_distinct("slot").alias("n_slots"))
-    per = per.join(drawn.select("place", "drawn"), "place", "left")
     mixed = (placed.join(taken, F.col("row") == F.col("its"), "left")
-             .join(per.select(F.col("place").alias("of"), F.col("words").alias("source_size"), "target", F.coalesce("drawn", F.lit(0)).alias("source_take")), F.col("place") == F.col("of")))
+             .join(drawn.select(F.col("place").alias("of"), F.col("words").alias("source_size"), "target", F.col("drawn").alias("source_take")), F.col("place") == F.col("of")))
     return (mixed.select(F.col("key").alias(key), "source", "mark", "size", "source_size", "target", "start", "source_take",
                          F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot", F.coalesce("n_slots", F.lit(0)).alias("n_slots")),
             used.select("slot", "place", "block", F.col("key").alias(key), F.col("piece").alias("words")))

@@ -321,6 +321,19 @@ def test_mix_sql_on_repeated_rows(spark):
     assert sorted(map(str, got)) == sorted(map(str, con.execute(ORACLE_SQL["op7_mix"]).fetchall()))
 
 
+def test_top_k_of_a_repeated_key(spark):
+    r = random.Random(4)
+    rows = [(k // 2, [r.uniform(-1, 1) for _ in range(6)]) for k in range(60)]
+    got = top_k(spark.createDataFrame(rows + rows[:5], "vec_id long, embedding array<double>"), F.col("vec_id") % 10 == 0, k=4).collect()
+    whole = [(k, [int(np.floor(1024 * x)) for x in v]) for k, v in rows]
+    want = []
+    for i, (k, q) in enumerate(whole):
+        if k % 10 == 0:
+            best = sorted((-sum(a * b for a, b in zip(q, v)), c, v) for j, (c, v) in enumerate(whole) if j != i)[:4]
+            want += [(k, n + 1, c, -s) for n, (s, c, _) in enumerate(best)]
+    assert sorted(tuple(x) for x in got) == sorted(want)
+
+
 def test_grammar():
     g = Grammar({"dolt$": 5.0, "knav": 4.0})
     kinds = lambda t: [k for k, _ in g.clauses(t)[0]]
