@@ -49,11 +49,15 @@ def van_der_corput(t: Column, bits: int = 40) -> Column:
     return mirrored / F.lit(float(1 << bits))
 
 
+def mark(text: Column) -> Column:
+    """Tells the texts of one key apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def sizes(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
-    """A number for each row, its key, source and words, and the MD5 of its text."""
-    whole = F.coalesce(F.col(text), F.lit(""))
-    words = F.regexp_count(whole, F.lit(WORD)).cast("long")
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(source).alias("source"), words.alias("size"), F.md5(whole).alias("mark"))
+    """A number for each row, its key, source and words, and a hash of its text."""
+    words = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long")
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(source).alias("source"), words.alias("size"), mark(F.col(text)).alias("mark"))
 
 
 def targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -112,7 +116,7 @@ def streams(rows: DataFrame, per: DataFrame, seed: str = SEED) -> DataFrame:
     found = found.withColumn("at", order).withColumn("chunk", F.substring("at", 1, STREAM_DIGITS))
     earlier = Window.partitionBy("place").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     chunks = found.groupBy("place", "chunk").agg(F.sum("size").alias("n")).withColumn("ahead", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
-    within = Window.partitionBy("place", "chunk").orderBy("at", "key", "mark", "row").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("place", "chunk").orderBy("at", "key", "size", "mark", "row").rowsBetween(Window.unboundedPreceding, -1)
     return (found.withColumn("behind", F.coalesce(F.sum("size").over(within), F.lit(0)))
             .join(chunks, ["place", "chunk"]).withColumn("start", F.col("behind") + F.col("ahead")).drop("chunk", "at", "behind", "ahead"))
 
@@ -121,7 +125,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
         seed: str = SEED, slots: int = SLOTS, point: Callable[[Column], Column] = van_der_corput) -> tuple[DataFrame, DataFrame]:
     """Documents with their words in the mix, and the schedule.
 
-    The documents: key, ``source``, ``mark`` (MD5 of the text), ``size``, ``source_size``, ``target`` (of its source),
+    The documents: key, ``source``, ``mark`` (of the text), ``size``, ``source_size``, ``target`` (of its source),
     ``start`` (in its source's stream), ``source_take`` (words that the source's slots take), ``taken`` (words that
     the scheduled blocks hold of it), ``first_slot`` and ``n_slots`` (in which it occurs).
     The schedule: one row for each piece of a document in a slot: ``slot``, ``place``, ``block``, key, ``words``.

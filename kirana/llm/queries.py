@@ -131,7 +131,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(lean) AS te
 # points bit by bit, a source's slots take its stream from the front, and a document
 # has what of its words lies in the rounds taken.
 OP7_SQL = r"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, md5(coalesce(text, '')) AS mark,
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source,
                   len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
 s AS (SELECT source, sum(size) AS words, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM d GROUP BY source),
 w AS (SELECT *, CASE place % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2 ELSE 1 END AS weight, 3 * words AS cap FROM s),
@@ -147,7 +147,7 @@ share AS (SELECT place, sum(take) OVER (ORDER BY place) / total::DOUBLE AS upto,
 n AS (SELECT place, greatest(1, count(u)) AS slots FROM share LEFT JOIN u ON u >= after AND u < upto GROUP BY place),
 k AS (SELECT t.*, coalesce(least(slots * each, cap), 0)::BIGINT AS drawn FROM t LEFT JOIN n USING (place), b),
 p AS (SELECT doc_id, size, words, target, drawn,
-             sum(size) OVER (PARTITION BY place ORDER BY md5('mix' || coalesce(doc_id::VARCHAR, '')), doc_id, mark, r ROWS UNBOUNDED PRECEDING) - size AS start
+             sum(size) OVER (PARTITION BY place ORDER BY md5('mix' || coalesce(doc_id::VARCHAR, '')), doc_id, size, r ROWS UNBOUNDED PRECEDING) - size AS start
       FROM d JOIN k ON d.source IS NOT DISTINCT FROM k.source)
 SELECT doc_id, size::BIGINT AS size, words::BIGINT AS source_size, target,
        CASE WHEN words = 0 THEN 0
