@@ -15,7 +15,7 @@ from kirana.llm.bpe_codec import encode_decode
 from kirana.llm.common import squeezed, stage
 from kirana.llm.exact_dedup import exact_groups
 from kirana.llm.minhash import near_groups
-from kirana.llm.mixing import MOST, mix
+from kirana.llm.mixing import MOST, mark, mix
 from kirana.llm.queries import tokenizer_file
 
 
@@ -56,7 +56,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     times = sum((((middle + F.lit(k) * F.col("source_size")) < F.col("source_take")).cast("int") for k in range(MOST)), F.lit(0))
     drawn = mixed.filter("size > 0").select(F.col("doc_id").alias("its"), F.col("source").alias("of"), F.col("mark").alias("said"), times.alias("times"), "first_slot")
     found = docs.join(drawn.filter("times > 0"), F.col("doc_id").eqNullSafe(F.col("its")) & F.col("source").eqNullSafe(F.col("of"))
-                      & (F.md5(F.coalesce(F.col("text"), F.lit(""))) == F.col("said")))
+                      & (mark(F.col("text")) == F.col("said")))
     found = found.withColumn("_round", F.explode(F.sequence(F.lit(1), F.col("times"))))
     return found.orderBy("_round", "first_slot").select(docs.columns)
 
