@@ -138,6 +138,17 @@ def _order_sequence(orders: DataFrame, order: Sequence[str], seq_bucket: int) ->
     return orders.select("order_id", F.struct(*order).alias("_o"), bkt.alias("_b"))
 
 
+#: Lines of one product that a task may window at once.
+TASK_LINES = 1 << 16
+
+
+def _places_joined(per: DataFrame) -> int:
+    """Buckets of places to join into one, so that the commonest product has about ``TASK_LINES`` lines in each."""
+    n, lo, hi = (per.groupBy("product_id").agg(F.count(F.lit(1)).alias("n"), F.min("_b").alias("lo"), F.max("_b").alias("hi"))
+                 .agg(F.max("n"), F.min("lo"), F.max("hi")).first())
+    return max(1, int(hi - lo + 1) // -(-n // TASK_LINES)) if n and lo is not None else 1
+
+
 def allocate_orders(orders: DataFrame, lines: DataFrame, stock: DataFrame,
                     order: Sequence[str] = ("created_at", "id"), seq_bucket: int = 4096) -> DataFrame:
     """O1: accept an order iff every line's quantity fits the stock left *when the
@@ -166,6 +177,7 @@ def allocate_orders(orders: DataFrame, lines: DataFrame, stock: DataFrame,
            .agg(F.max("quantity").alias("qmax"), F.sum("quantity").alias("qsum")))
     per = per.join(seq, "order_id").join(stock, "product_id", "left")
     per, path = written(per, "allocate-lines")
+    per = per.withColumn("_b", F.floor(F.col("_b") / _places_joined(per)))
     asked = per.groupBy("order_id").agg(F.max(F.col("stock").isNull()).alias("_bad"))
     decided = (seq.select("order_id").join(asked, "order_id", "left").filter(F.coalesce("_bad", F.lit(True)))
                .select("order_id", F.when(F.col("_bad"), F.lit("not found")).otherwise(F.lit("no items")).alias("reason"),

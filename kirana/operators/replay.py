@@ -231,19 +231,19 @@ def replay_customer_changes(customers: DataFrame, changes: DataFrame, order: Seq
         rows = rows.select("_at", "id", "phone", "kind", "done", lives.alias("lives"), F.coalesce("_phone", "_base_phone").alias("had"))
         rows, path = written(rows, "replay-rows")
         moved = rows.filter(F.col("done") & F.col("had").isNotNull() & ((F.col("kind") == "delete") | (F.col("had") != F.col("phone"))))
-        # who holds a phone: 0 after it is given up
-        events = (made.select("_at", "phone", F.lit(1).alias("part"), F.col("id").alias("holder"))
-                  .unionByName(moved.select("_at", F.col("had").alias("phone"), F.lit(1).alias("part"), F.lit(0).cast("bigint").alias("holder")))
-                  .unionByName(moved.filter("kind = 'update'").select("_at", "phone", F.lit(1).alias("part"), F.col("id").alias("holder"))))
+        # who holds a phone: nobody after it is given up
+        events = (made.select("_at", "phone", F.col("id").alias("who")).unionByName(moved.select("_at", F.col("had").alias("phone"), F.lit(None).cast("bigint").alias("who")))
+                  .unionByName(moved.filter("kind = 'update'").select("_at", "phone", F.col("id").alias("who"))))
+        events = events.select("_at", "phone", F.lit(1).alias("part"), F.struct("who").alias("holder"))
         n = F.col("norm")
         tries = F.array_distinct(F.array(F.col("raw"), n, F.when(n != "", F.concat(F.lit("+91"), n)).otherwise(F.col("raw")),
                                          F.when(n != "", F.concat(F.lit("0"), n)).otherwise(F.col("raw"))))
         probes = (e.filter(ok & F.col("op").isin("register", "address", "lookup", "update"))
                   .select("_at", F.posexplode(F.when(F.col("op") == "update", F.array("canon")).otherwise(tries)).alias("pos", "phone")))
-        seen = (probes.select("_at", "phone", "pos", F.lit(0).alias("part"), F.lit(None).cast("bigint").alias("holder"))
+        seen = (probes.select("_at", "phone", "pos", F.lit(0).alias("part"), F.lit(None).cast("struct<who:bigint>").alias("holder"))
                 .unionByName(events.withColumn("pos", F.lit(None).cast("int"))))
         seen = running(seen, ["phone"], _run(), [F.col("_at"), F.col("part")], {"_now": ("last", F.col("holder"))}, inclusive=False)
-        seen = seen.filter("part = 0").join(answers, "phone", "left").withColumn("who", F.coalesce("_now", "_first")).filter("who > 0")
+        seen = seen.filter("part = 0").join(answers, "phone", "left").withColumn("who", F.when(F.col("_now").isNotNull(), F.col("_now.who")).otherwise(F.col("_first"))).filter("who is not null")
         found = seen.groupBy("_at").agg(F.min_by("who", "pos").alias("found"))
         e = e.join(found, "_at", "left").join(rows.select("_at", "lives"), "_at", "left")
         reason = (F.when(~ok, F.col("fault"))

@@ -146,12 +146,12 @@ def test_customers(spark, monkeypatch, seed):
     r = random.Random(seed)
     tens = [f"98765432{k:02d}" for k in range(6)]
     forms = ["{}", "+91{}", "0{}", "91 {}", "+91 {} "]
-    customers = [(k + 1, forms[k % 3].format(t), f"n{k}", f"a{k}") for k, t in enumerate(tens[:4])]
+    customers = [(k, forms[k % 3].format(t), f"n{k}", f"a{k}") for k, t in enumerate(tens[:4])]
     log = []
     for k in range(160):
         op = r.choice(["register", "register", "update", "update", "update", "address", "delete", "sell" if k % 10 == 0 else "delete"])
         phone = r.choice([r.choice(forms).format(r.choice(tens)), r.choice(forms).format(r.choice(tens)), "12-34", "", None] if k % 5 == 0 else [r.choice(forms).format(r.choice(tens))])
-        log.append((k, op, r.choice([None, *range(1, 8), *range(k, k + 8)]), phone, r.choice(["x", " y ", ""]), r.choice(["s", "t ", "", None])))
+        log.append((k, op, r.choice([None, *range(8), *range(k, k + 8)]), phone, r.choice(["x", " y ", ""]), r.choice(["s", "t ", "", None])))
     verdicts, table = replay_customer_changes(spark.createDataFrame(customers, CALLERS), spark.createDataFrame(log, CALLER_CHANGES).repartition(3), ["seq"])
     want, rows = customers_by_hand(customers, log)
     assert sorted((v.seq, v.reason, v.id) for v in verdicts.collect()) == want
