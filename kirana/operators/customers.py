@@ -71,9 +71,11 @@ def customer_order_history(customers: DataFrame, orders: DataFrame, items: DataF
     [stored, norm, +91norm]; newest first per customer (time, then order key).
 
     Equi-join of exploded candidates against ``orders.customer_phone``;
-    the per-order lines are aggregated before they are joined.  The order is a
-    range-partitioned sort, so a customer with very many orders spreads over
-    tasks; ``newest_first=False`` leaves it out where the rows are only joined on.
+    the per-order lines are aggregated before they are joined.  Customers are
+    brought together by a rebalancing shuffle, whose large partitions Spark splits,
+    and sorted within partitions: a customer's rows follow one another newest first,
+    unless there are so many that they are split, where each part is in order.
+    ``newest_first=False`` leaves it out where the rows are only joined on.
     """
     cand = (with_history_candidates(customers.select(F.col("id").alias("customer_id"), "phone_number"),
                                     "phone_number", "_c")
@@ -87,7 +89,9 @@ def customer_order_history(customers: DataFrame, orders: DataFrame, items: DataF
                    "created_at", F.coalesce("n_items", F.lit(0)).alias("n_items"),
                    F.coalesce("items_total", F.lit(0).cast("decimal(28,2)")).alias("items_total"),
                    F.coalesce("items", F.array().cast(per_order.schema["items"].dataType)).alias("items")))
-    return out.orderBy("customer_id", F.desc("created_at"), F.desc("order_key")) if newest_first else out
+    if not newest_first:
+        return out
+    return out.hint("rebalance", "customer_id").sortWithinPartitions("customer_id", F.desc("created_at"), F.desc("order_key"))
 
 
 def distinct_customers(customers: DataFrame) -> DataFrame:
