@@ -223,6 +223,8 @@ def _rounds(ids: DataFrame) -> DataFrame:
         ranked = stage(now.repartition("deal").sortWithinPartitions("rank").mapInArrow(_repeated, _ROW), f"ranks-{width}")
         strings = ranked.groupBy("rank", "covered").agg(F.min(F.struct("doc", "span")).alias("first"), F.count("*").alias("n"))
         strings = stage(strings, f"strings-{width}")
+        # the files of a round's shuffles go when the driver collects its garbage, which may be long after
+        ids.sparkSession.sparkContext._jvm.System.gc()
         again = (ranked.join(strings.filter("n > 1").select("rank", "covered", "first"), ["rank", "covered"])
                  .filter(F.struct("doc", "span") != F.col("first")).select("doc", "span"))
         found = again if found is None else found.unionByName(again)
