@@ -52,12 +52,12 @@ def status_transitions(changes: DataFrame, orders: DataFrame, order: Sequence[st
     statuses are rejected and do not move the state; a valid change to an
     unknown order is ``not found``; a change to the current status is a no-op;
     every other valid jump is applied.  Order ids are compared ``upper(trim)``.
+    ``step`` counts the earlier changes of the order.
     """
     c = changes.withColumn("order_id", F.upper(py_strip(F.col("order_id")))).withColumn("new_status", F.upper(py_strip(F.col("requested"))))
     c = c.withColumn("valid", F.col("new_status").isin(*VALID_STATUSES))
-    c = c.withColumn("_applied", F.when(F.col("valid"), F.col("new_status")))
     c = running(c, ["order_id"], time_bucket(F.col("ts"), bucket_seconds), [F.col(x) for x in order],
-                {"_prev_applied": ("last", F.col("_applied"))}, inclusive=False)
+                {"_prev_applied": ("last", F.when(F.col("valid"), F.col("new_status"))), "step": ("count", F.lit(1))}, inclusive=False)
     init = orders.select("order_id", F.col("status").alias("_initial"), F.lit(True).alias("_known"))
     c = c.join(init, "order_id", "left")
     prev = F.when(F.col("_known"), F.coalesce(F.col("_prev_applied"), F.col("_initial")))
@@ -66,30 +66,31 @@ def status_transitions(changes: DataFrame, orders: DataFrame, order: Sequence[st
                .when(prev == F.col("new_status"), F.lit("noop"))
                .otherwise(F.lit("changed")))
     return (c.withColumn("previous_status", prev).withColumn("outcome", outcome)
-            .drop("_applied", "_prev_applied", "_initial", "_known"))
+            .drop("_prev_applied", "_initial", "_known"))
 
 
 def status_stock_moves(transitions: DataFrame, items: DataFrame) -> DataFrame:
     """O3 moves: X->CANCELLED returns the order's quantities (+), CANCELLED->X takes
     them again (-, floored by the ledger).  Lines are summed per (order, product)
-    before they meet the transitions."""
+    before they meet the transitions.  Of the columns that order an order's changes
+    only ``step``, which rises with them, goes along with every product."""
     t = transitions.filter(F.col("outcome") == "changed").select(
-        "order_id", "ts", "seq",
+        "order_id", "ts", "step",
         F.when(F.col("new_status") == "CANCELLED", F.lit(1))
          .when(F.col("previous_status") == "CANCELLED", F.lit(-1)).alias("sign"))
     t = t.filter(F.col("sign").isNotNull())
     per_product = items.groupBy("order_id", "product_id").agg(F.sum("quantity").alias("qty"))
     return t.join(per_product, "order_id").select(
-        "product_id", "ts", "order_id", "seq", (F.col("sign") * F.col("qty")).alias("delta"))
+        "product_id", "ts", "order_id", "step", (F.col("sign") * F.col("qty")).alias("delta"))
 
 
 def apply_status_changes(transitions: DataFrame, items: DataFrame, products: DataFrame,
                          bucket_seconds: int = 86400) -> DataFrame:
     """O3: stock per product after replaying the stock effects of the status changes."""
-    moves = status_stock_moves(transitions, items)
+    moves, _ = written(status_stock_moves(transitions, items), "status-moves")
     opening = products.select(F.col("id").alias("product_id"), F.col("stock_quantity").alias("opening"))
-    led = stock_ledger(moves, opening, ["ts", "order_id", "seq", "delta"], bucket_seconds, F.col("delta") < 0)
-    closing = ledger_closing(led, ["ts", "order_id", "seq", "delta"])
+    led = stock_ledger(moves, opening, ["ts", "order_id", "step", "delta"], bucket_seconds, F.col("delta") < 0)
+    closing = ledger_closing(led, ["ts", "order_id", "step", "delta"])
     return (opening.join(closing, "product_id", "left")
             .select("product_id", "opening", F.coalesce("closing", "opening").alias("stock"),
                     F.coalesce("n_moves", F.lit(0)).alias("n_moves")))

@@ -2,11 +2,13 @@
 
 A plain ``Window.partitionBy(key).orderBy(ts)`` puts every row of a key
 into one task; if one call or product holds a third of the data, that
-task is the whole job.  These helpers split each key into buckets (a
-time grain by default), run the window inside ``(key, bucket)``, and
-carry the state of earlier buckets in from a per-bucket summary table
-(one row per key and bucket, windowed over the key).  The result equals
-the single-partition window exactly; only the partitioning changes.
+task is the whole job.  These helpers split each key of more than
+``SPLIT_ROWS`` rows into buckets (a time grain by default), run the window
+inside ``(key, bucket)``, and carry the state of earlier buckets in from a
+per-bucket summary table (one row per such key and bucket, windowed over the
+key).  All other keys are one window partition each, so that their rows are
+shuffled once and need no summary.  The result equals the single-partition
+window exactly; only the partitioning changes.
 """
 
 from __future__ import annotations
@@ -16,14 +18,35 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kirana.session import written
+
 UNB = Window.unboundedPreceding
 
+#: Rows of one key that a task may window at once.
+SPLIT_ROWS = 1 << 16
+
 
 def time_bucket(ts: Column, seconds: int = 86400) -> Column:
     """Bucket id for a timestamp: whole multiples of ``seconds`` since the epoch."""
     return F.floor(F.unix_micros(ts) / F.lit(seconds * 1_000_000)).cast("bigint")
 
 
+def _bucketed(df: DataFrame, by: list[str], bucket: Column) -> tuple[DataFrame, list[str], DataFrame | None]:
+    """The rows with ``_bkt``, null but for keys of more than ``SPLIT_ROWS`` rows; the columns that
+    partition the windows; and the rows of those keys, None where there are none.
+
+    The keys are at most the rows by ``SPLIT_ROWS``, so their table may be broadcast."""
+    many = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > SPLIT_ROWS)
+    many, _ = written(many.select(*[F.col(k).alias(f"_m_{k}") for k in by]), "scan-keys")
+    if not many.limit(1).count():
+        return df, by, None
+    cond = [F.col(k).eqNullSafe(F.col(f"_m_{k}")) for k in by]
+    split = F.broadcast(many.withColumn("_split", F.lit(True)))
+    d = df.withColumn("_bkt", bucket).join(split, cond, "left").drop(*[f"_m_{k}" for k in by])
+    d = d.withColumn("_bkt", F.when(F.col("_split"), F.col("_bkt")))
+    return d.drop("_split"), [*by, "_bkt"], d.filter("_split").drop("_split")
+
+
 def running(df: DataFrame, by: Sequence[str], bucket: Column, order: Sequence[Column],
             specs: dict[str, tuple[str, Column]], inclusive: bool = True) -> DataFrame:
     """Add running aggregates over ``order`` within ``by``.
@@ -36,14 +59,13 @@ def running(df: DataFrame, by: Sequence[str], bucket: Column, order: Sequence[Co
     """
     by = list(by)
     end = 0 if inclusive else -1
-    d = df.withColumn("_bkt", bucket)
-    okey = F.struct(*order)
-    d = d.withColumn("_okey", okey)
-    w_loc = Window.partitionBy(*by, "_bkt").orderBy(*order).rowsBetween(UNB, end)
+    values = {f"_v_{name}": col for name, (_, col) in specs.items()}
+    d, parts, split = _bucketed(df, by, bucket)
+    d = d.withColumns(values)
+    w_loc = Window.partitionBy(*parts).orderBy(*order).rowsBetween(UNB, end)
     summary_aggs, carry_cols, local_cols = [], [], []
-    for name, (kind, col) in specs.items():
+    for name, (kind, _) in specs.items():
         v = f"_v_{name}"
-        d = d.withColumn(v, col)
         if kind in ("sum", "count"):
             x = F.col(v) if kind == "sum" else F.when(F.col(v).isNotNull(), F.lit(1)).otherwise(0)
             local_cols.append(F.sum(x).over(w_loc).alias(f"_l_{name}"))
@@ -61,7 +83,13 @@ def running(df: DataFrame, by: Sequence[str], bucket: Column, order: Sequence[Co
         else:
             raise ValueError(kind)
     local = d.select("*", *local_cols)
-    summ = d.groupBy(*by, "_bkt").agg(*summary_aggs)
+    if split is None:
+        for name, (kind, _) in specs.items():
+            lc = F.col(f"_l_{name}")
+            local = local.withColumn(name, F.coalesce(lc, F.lit(0)) if kind in ("sum", "count") else lc)
+        return local.drop(*[c for c in local.columns if c.startswith(("_v_", "_l_"))])
+    split = split.withColumns({**values, "_okey": F.struct(*order)})
+    summ = split.groupBy(*by, "_bkt").agg(*summary_aggs)
     w_b = Window.partitionBy(*by).orderBy("_bkt").rowsBetween(UNB, -1)
     for name, (kind, _) in specs.items():
         s = F.col(f"_s_{name}")
@@ -81,7 +109,7 @@ def running(df: DataFrame, by: Sequence[str], bucket: Column, order: Sequence[Co
         else:
             val = F.coalesce(lc, cc)
         out = out.withColumn(name, val)
-    drop = ["_bkt", "_okey"] + [c for c in out.columns if c.startswith(("_v_", "_l_", "_c_"))]
+    drop = ["_bkt"] + [c for c in out.columns if c.startswith(("_v_", "_l_", "_c_"))]
     return out.drop(*drop)
 
 
@@ -107,13 +135,20 @@ def running_floor_balance(df: DataFrame, by: Sequence[str], bucket: Column, orde
     buckets.  ``opening`` must be constant within ``by``.
     """
     by = list(by)
-    d = (df.withColumn("_bkt", bucket).withColumn("_d", delta.cast("bigint"))
-         .withColumn("_open", opening.cast("bigint")).withColumn("_floors", F.lit(True) if floors is None else floors))
-    w_loc = Window.partitionBy(*by, "_bkt").orderBy(*order).rowsBetween(UNB, 0)
-    d = d.withColumn("_ls", F.sum("_d").over(w_loc))
+    d, parts, split = _bucketed(df, by, bucket)
+    w_loc = Window.partitionBy(*parts).orderBy(*order).rowsBetween(UNB, 0)
     floored = F.when(F.col("_floors"), F.col("_ls"))
-    d = d.withColumn("_lmin", F.min(floored).over(w_loc))
-    summ = d.groupBy(*by, "_bkt").agg(F.sum("_d").alias("_tot"), F.min(floored).alias("_bmin"),
+
+    def local(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumns({"_d": delta.cast("bigint"), "_open": opening.cast("bigint"), "_floors": F.lit(True) if floors is None else floors})
+        return rows.withColumn("_ls", F.sum("_d").over(w_loc)).withColumn("_lmin", F.min(floored).over(w_loc))
+
+    d = local(d)
+    if split is None:
+        s_total = F.col("_open") + F.col("_ls")
+        d = d.withColumn(out, s_total - F.least(F.lit(0), F.col("_open") + F.col("_lmin")))
+        return d.drop("_floors", "_d", "_open", "_ls", "_lmin")
+    summ = local(split).groupBy(*by, "_bkt").agg(F.sum("_d").alias("_tot"), F.min(floored).alias("_bmin"),
                                       F.first("_open").alias("_o"))
     w_b = Window.partitionBy(*by).orderBy("_bkt")
     prev = w_b.rowsBetween(UNB, -1)
@@ -122,7 +157,8 @@ def running_floor_balance(df: DataFrame, by: Sequence[str], bucket: Column, orde
     summ = summ.withColumn("_cmin", F.min(F.col("_off") + F.col("_bmin")).over(prev))
     carry = summ.select(*by, "_bkt", "_off", "_cmin")
     j = _with_carry(d, carry, [*by, "_bkt"])
-    s_total = F.col("_off") + F.col("_ls")
-    m = F.least(F.col("_cmin"), F.col("_off") + F.col("_lmin"))
+    off = F.coalesce("_off", "_open")
+    s_total = off + F.col("_ls")
+    m = F.least(F.col("_cmin"), off + F.col("_lmin"))
     j = j.withColumn(out, s_total - F.least(F.lit(0), m))
     return j.drop("_floors", "_bkt", "_d", "_open", "_ls", "_lmin", "_off", "_cmin")
