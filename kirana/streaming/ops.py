@@ -14,11 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kirana.operators import calls as cl
-from kirana.streaming.keyed import in_order
+from kirana.streaming.keyed import ROCKS, in_order
 
 
 def _live(df: DataFrame, ts: str, delay: str) -> DataFrame:
-    """Watermark on ``ts`` then drop the replay's flush sentinel."""
+    """Watermark on ``ts`` then drop the replay's flush sentinel; state outside the executors' heap."""
+    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     w = df.withWatermark(ts, delay)
     # the predicate references the event-time column, so Catalyst does not push it
     # below the watermark node: the sentinel still advances the watermark
@@ -71,7 +72,7 @@ def stream_warmup(frames: DataFrame, skip_seconds: float, lateness: str = "1 day
         first = state[0] if state else row["_us"]
         return (first,), [(row["event_id"], row["_us"])] if row["_us"] - first >= skip else []
 
-    out = in_order(frames, "call", "ts", ["event_id"], [], rule, "first bigint", "event_id bigint, ts bigint", lateness)
+    out = in_order(frames, "call", "ts", ["event_id"], [], rule, "event_id bigint, ts bigint", lateness)
     return _as_times(out, "ts")
 
 
@@ -91,7 +92,7 @@ def stream_speech_segments(frames: DataFrame, gap_seconds: float, min_loud_secon
                 made = [(seg, start, loud_us, us, n_loud, n_frames)]
         return (us if row["loud"] else loud_us, us, seg, start, n_loud, n_frames), made
 
-    out = in_order(frames, "call", "ts", ["event_id"], ["loud"], rule, "loud bigint, prev bigint, seg bigint, start bigint, n_loud bigint, n_frames bigint",
+    out = in_order(frames, "call", "ts", ["event_id"], ["loud"], rule,
                    "seg bigint, start_ts bigint, last_loud_ts bigint, end_ts bigint, n_loud bigint, n_frames bigint", lateness)
     return _as_times(out, "start_ts", "last_loud_ts", "end_ts")
 
@@ -107,14 +108,11 @@ def stream_batches(frames: DataFrame, n: int = 5, lateness: str = "1 day") -> Da
         known = [e for e in energies if e is not None]
         return (done + 1, None, []), [(done, n, first, row["_us"], sum(known) / len(known) if known else None)]
 
-    out = in_order(frames, "call", "ts", ["event_id"], ["energy"], rule, "done bigint, first bigint, energies array<double>",
+    out = in_order(frames, "call", "ts", ["event_id"], ["energy"], rule,
                    "batch_no bigint, n_frames bigint, first_ts bigint, last_ts bigint, mean_energy double", lateness)
     return _as_times(out.withColumn("mean_energy", F.round("mean_energy", 6)), "first_ts", "last_ts")
 
 
-_TIMELINE = "bot bigint, loud bigint, locked boolean"
-
-
 def _timeline(state, row):
     """Bot audio and order lock before an event, loud speech up to it, and the state after it."""
     bot, loud, locked = state or (None, None, False)
@@ -135,7 +133,7 @@ def stream_echo_gate(events: DataFrame, echo_seconds: float, loud_at: float = 50
         quiet = None if row["value"] is None else row["value"] < loud_at
         return after, [(row["event_id"], row["_us"], row["kind"], row["value"], active, locked, active and (locked or quiet))]
 
-    out = in_order(events, "call", "ts", ["event_id"], ["kind", "value", "order_id"], rule, _TIMELINE,
+    out = in_order(events, "call", "ts", ["event_id"], ["kind", "value", "order_id"], rule,
                    "event_id bigint, ts bigint, kind string, value double, bot_active boolean, locked boolean, suppressed boolean", lateness)
     return _as_times(out, "ts")
 
@@ -146,7 +144,7 @@ def stream_order_lock(events: DataFrame, lateness: str = "1 day") -> DataFrame:
         _, _, locked, after = _timeline(state, row)
         return after, [(row["event_id"], row["_us"], row["kind"], locked)]
 
-    out = in_order(events, "call", "ts", ["event_id"], ["kind", "order_id"], rule, _TIMELINE, "event_id bigint, ts bigint, kind string, ignored boolean", lateness)
+    out = in_order(events, "call", "ts", ["event_id"], ["kind", "order_id"], rule, "event_id bigint, ts bigint, kind string, ignored boolean", lateness)
     return _as_times(out, "ts")
 
 
@@ -190,7 +188,7 @@ def stream_stock_ledger(moves: DataFrame, order: list[str], lateness: str = "1 d
         return (now,), [(row["_us"], *[row[c] for c in ties], now, None if now is not None else "unknown product")]
 
     columns = ", ".join(f"{c} {kinds[c]}" for c in ties)
-    out = in_order(moves, "product_id", "ts", ties, ["opening"], rule, "balance bigint", f"ts bigint, {columns}, balance bigint, reason string", lateness)
+    out = in_order(moves, "product_id", "ts", ties, ["opening"], rule, f"ts bigint, {columns}, balance bigint, reason string", lateness)
     return _as_times(out, "ts")
 
 
@@ -209,7 +207,7 @@ def stream_call_state(events: DataFrame, lateness: str = "1 day", idle: float =
         return after, [(row["call_sid"], row["_us"], row["event_id"], *after)]
 
     fields = "kind string, dur double, order_id string, end_order string, started_at bigint, ended_at bigint, n_starts bigint, n_ends bigint"
-    out = in_order(events, "call", "ts", ["event_id"], ["call_sid", "kind", "duration", "order_id"], rule, fields,
+    out = in_order(events, "call", "ts", ["event_id"], ["call_sid", "kind", "duration", "order_id"], rule,
                    f"call_sid string, at bigint, event_id bigint, {fields}", lateness, idle, F.col("kind").isin("start", "end"))
     status = F.when(F.col("kind") == "end", F.lit("COMPLETED")).otherwise(F.lit("IN_PROGRESS"))
     summary = (F.when(F.col("ended_at").isNull(), F.lit(None).cast("string"))

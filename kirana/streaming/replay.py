@@ -1,12 +1,12 @@
 """Replays of a table as a file stream, and runs of streams into tables.
 
 Production jobs point ``readStream`` at the real landing folder; a replay writes
-a table there as ``n_files`` time slices in one job (a range partitioning by
-time; rows without a time come first) and dates the files in that order, which
-is the order in which the file source takes them.  With ``flush``, two later
-files follow, each with one sentinel row far in the future (``_flush = true``):
-the first advances the watermark, the second starts the batch that evicts the
-windows still open (``availableNow`` runs no batch without data).  Windowed
+a table there as ``n_files`` time slices of ``parts`` files in one job (a range
+partitioning by time; rows without a time come first) and dates the files in that
+order, which is the order in which the file source takes them, a slice at a time.
+With ``flush``, two later slices follow, whose files have one sentinel row each far in
+the future (``_flush = true``): the first advances the watermark, the second starts the
+batch that evicts the windows still open (``availableNow`` runs no batch without data).  Windowed
 operators drop the sentinel right after ``withWatermark``.  Everything lives
 under the shared checkpoint folder.
 """
@@ -21,18 +21,27 @@ from pyspark.sql import functions as F
 from kirana.session import scratch_path
 
 
+#: Rows of a replay's file: what one task reads and aggregates of a micro-batch.
+PART_ROWS = 100_000
+
+
 def _date_in_order(spark: SparkSession, root: str) -> None:
     """Modification times a second apart, in the order of the partitions."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     files = path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     names = sorted(f.getPath().getName() for f in files.listStatus(path(root)))
-    first = int(time.time() - 3600) * 1000
+    first = int(time.time() - 10 * 86400) * 1000
     for k, name in enumerate(n for n in names if n.startswith("part-")):
         files.setTimes(path(f"{root}/{name}"), first + 1000 * k, -1)
 
 
+def slice_parts(df: DataFrame, n_files: int) -> int:
+    """Files a slice, so that a task reads about ``PART_ROWS`` rows of it however large the table is."""
+    return max(1, -(-df.count() // (n_files * PART_ROWS)))
+
+
 def replay_files(df: DataFrame, ts_col: str, n_files: int = 4, flush_days: int = 3650, flush: bool = True,
-                 late_seconds: int = 0) -> tuple[str, object]:
+                 late_seconds: int = 0, parts: int = 1) -> tuple[str, object]:
     """With ``late_seconds`` a row arrives up to so much after its time, so files overlap in time."""
     spark = df.sparkSession
     root = scratch_path(spark, "replay")
@@ -40,14 +49,14 @@ def replay_files(df: DataFrame, ts_col: str, n_files: int = 4, flush_days: int =
     arrives = F.unix_micros(ts_col)
     if late_seconds:
         arrives = arrives + F.pmod(F.xxhash64(*df.columns), F.lit(late_seconds)) * 1_000_000
-    data.repartitionByRange(n_files, arrives).write.parquet(root)
+    data.repartitionByRange(n_files * parts, arrives).write.parquet(root)
     _date_in_order(spark, root)
     last = df.agg(F.max(ts_col)).first()[0] if flush else None
     if last is not None:
         values = {f.name: F.lit(None).cast(f.dataType) for f in data.schema.fields} | {"_flush": F.lit(True)}
         for days in (flush_days, flush_days + 1):
             row = values | {ts_col: (F.lit(last) + F.make_dt_interval(F.lit(days))).cast(data.schema[ts_col].dataType)}
-            spark.range(1).select(*[v.alias(k) for k, v in row.items()]).write.mode("append").parquet(root)
+            spark.range(0, parts, 1, parts).select(*[v.alias(k) for k, v in row.items()]).write.mode("append").parquet(root)
     return root, data.schema
 
 

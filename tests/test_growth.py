@@ -46,3 +46,23 @@ def test_stock_moves_of_status_changes_carry_one_number_of_the_order(spark):
     items = spark.createDataFrame([("ORD-1", 7, 2)], "order_id string, product_id long, quantity long")
     moves = lg.status_stock_moves(t, items)
     assert "seq" not in moves.columns and moves.select("step", "delta").collect() == [(0, 2)]
+
+
+def test_keyed_rules_take_keys_in_groups_and_keep_nulls(spark):
+    from kirana.streaming import ops
+    from kirana.streaming.keyed import GROUPS, in_order, run_keyed
+    from kirana.streaming.replay import read_replay, replay_files
+
+    day = F.lit("2024-01-01").cast("timestamp")
+    rows = [(None if n % 5 == 4 else n % 5, n, n // 3, None if n % 4 == 0 else float("nan") if n % 4 == 1 else n / 2) for n in range(60)]
+    df = spark.createDataFrame(rows, "call long, event_id long, h long, energy double").withColumn("ts", day + F.make_dt_interval(F.lit(0), F.col("h").cast("int"))).drop("h")
+    root, schema = replay_files(df, "ts", 2, late_seconds=7200, parts=3)
+    seen = in_order(read_replay(spark, root, schema, 3), "call", "ts", ["energy", "event_id"], [], lambda s, r: (((s or (0,))[0] + 1,), [(r["event_id"], (s or (0,))[0], r["energy"])]),
+                    "event_id long, nth long, energy double")
+    assert "_group" in seen._jdf.queryExecution().analyzed().toString() and GROUPS >= 1
+    got = {(r.call, r.event_id): (r.nth, repr(r.energy)) for r in run_keyed(seen, "grouped")[0].collect()}
+    want = {}
+    for k in (0, 1, 2, 3, None):  # nulls first, not-a-number last, as Spark sorts
+        mine = sorted((r for r in rows if r[0] == k), key=lambda r: (r[2], r[3] is not None, r[3] != r[3], r[3] if r[3] is not None and r[3] == r[3] else 0, r[1]))
+        want |= {(k, r[1]): (n, repr(r[3])) for n, r in enumerate(mine)}
+    assert got == want
