@@ -12,15 +12,16 @@ from kirana.plans.q_ledger import MOVE_ORDER
 from kirana.sources import tables as tb
 from kirana.streaming import ops as so
 from kirana.streaming.keyed import run_keyed
-from kirana.streaming.replay import read_replay, replay_files, run_to_table, run_updates
+from kirana.streaming.replay import read_replay, replay_files, run_to_table, run_updates, slice_parts
 
 #: Rows of the replays below arrive up to a day after their time, in files that overlap.
 ARRIVAL, LATENESS = 86400, "2 days"
 
 
 def _stream(spark, df, ts, n_files=4, flush=True, late_seconds=0):
-    root, schema = replay_files(df, ts, n_files, flush=flush, late_seconds=late_seconds)
-    return read_replay(spark, root, schema)
+    parts = slice_parts(df, n_files)
+    root, schema = replay_files(df, ts, n_files, flush=flush, late_seconds=late_seconds, parts=parts)
+    return read_replay(spark, root, schema, parts)
 
 
 def _late(spark, df, ts="ts"):

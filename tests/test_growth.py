@@ -66,3 +66,22 @@ def test_keyed_rules_take_keys_in_groups_and_keep_nulls(spark):
         mine = sorted((r for r in rows if r[0] == k), key=lambda r: (r[2], r[3] is not None, r[3] != r[3], r[3] if r[3] is not None and r[3] == r[3] else 0, r[1]))
         want |= {(k, r[1]): (n, repr(r[3])) for n, r in enumerate(mine)}
     assert got == want
+
+
+def test_replay_files_do_not_grow_with_the_table(spark, monkeypatch):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    import kirana.plans.catalog  # noqa: F401  registers the twins first
+    from kirana.plans import q_stream
+    from kirana.streaming import ops, replay
+
+    monkeypatch.setattr(replay, "PART_ROWS", 100)
+    roots, files = [], replay.replay_files
+    monkeypatch.setattr(q_stream, "replay_files", lambda *a, **k: roots.append(files(*a, **k)) or roots[-1])
+    df = spark.range(2000).selectExpr("id % 9 AS call", "id AS event_id", "timestamp_seconds(id * 600) AS ts", "id * 1.5D AS energy", "id % 2 = 0 AS loud")
+    out = replay.run_to_table(ops.stream_frame_windows(q_stream._stream(spark, df, "ts"), "6 hours", "1 hour"), "w")
+    assert max(pq.read_metadata(f).num_rows for f in glob.glob(roots[0][0].removeprefix("file:") + "/*.parquet")) <= 200
+    from kirana.operators import calls as cl
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, cl.frame_windows(df, "6 hours", "1 hour").select(out.columns).collect()))
