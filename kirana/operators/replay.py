@@ -10,7 +10,8 @@ sequential one.  The rounds are as many as the longest chain of changes that ove
 another, a handful in practice; there is no other bound on them.
 
 No key is one task's: scans split a key's changes into runs of ``RUN`` places in the log.
-Decisions are written to the shared folder each round.
+Decisions are written to the shared folder each round.  Joins ask for a merge: a table a
+little too small for a shuffle would pass through the driver, in every round again.
 """
 
 from __future__ import annotations
@@ -42,7 +43,7 @@ def fresh_numbers(log: DataFrame, wants: Column, first: int) -> DataFrame:
               .select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before")))
     nth = F.row_number().over(Window.partitionBy("_part").orderBy("_at"))
     given = some.select("_at", "_part", nth.alias("_nth")).join(before, "_part").select("_at", (F.col("_before") + F.col("_nth") + (first - 1)).alias("_fresh"))
-    return log.join(given, "_at", "left")
+    return log.join(given.hint("merge"), "_at", "left")
 
 
 def settled(start: DataFrame, decide: Callable[[DataFrame], tuple[DataFrame, str]]) -> DataFrame:
@@ -93,7 +94,7 @@ def _catalog_log(products: DataFrame, changes: DataFrame, order: Sequence[str],
     held = F.lit(False)
     if used is not None:
         ids = used.select(F.col("product_id").alias("_used")).filter("_used is not null").distinct()
-        log = log.join(ids, F.col("id") == F.col("_used"), "left")
+        log = log.join(ids.hint("merge"), F.col("id") == F.col("_used"), "left")
         held = F.col("_used").isNotNull()
     return written(log.withColumn("held", held), "replay-catalog")[0]
 
@@ -121,12 +122,12 @@ def replay_product_changes(products: DataFrame, changes: DataFrame, order: Seque
 
     def decide(now: DataFrame) -> tuple[DataFrame, str]:
         done = F.coalesce(F.col("decision"), F.lit(False))
-        e = log.join(now.select("_at", "decision"), "_at")
+        e = log.join(now.select("_at", "decision").hint("merge"), "_at")
         e = running(e.withColumn("_done", done), ["id"], _run(), [F.col("_at")],
                     {"_dead": ("max", F.when(F.col("_done") & (F.col("op") == "delete"), 1)),
                      "_born": ("max", F.when(F.col("_done") & (F.col("op") == "add"), 1)),
                      "_named": ("last", F.when(F.col("_done") & F.col("op").isin("add", "update"), F.col("name")))}, inclusive=False)
-        e = e.join(base, F.col("id") == F.col("_base"), "left")
+        e = e.join(base.hint("merge"), F.col("id") == F.col("_base"), "left")
         lives = F.col("_dead").isNull() & (F.col("_base").isNotNull() | F.col("_born").isNotNull())
         e = e.withColumn("lives", lives).withColumn("was_named", F.coalesce("_named", "_base_name"))
         e, path = written(e.drop("_dead", "_born", "_named", "_base", "_base_name"), "replay-products")
@@ -140,16 +141,16 @@ def replay_product_changes(products: DataFrame, changes: DataFrame, order: Seque
         if unique_names:
             m = gone.unionByName(came).unionByName(adds.withColumn("asks", F.lit(False)))
             m = running(m, ["_n"], _run(), [F.col("_at"), F.col("_d")], {"_before": ("sum", F.col("_d"))}, inclusive=False)
-            taken = (m.filter("asks").join(holders, "_n", "left")
+            taken = (m.filter("asks").join(holders.hint("merge"), "_n", "left")
                      .select("_at", (F.coalesce("_held", F.lit(0)) + F.col("_before")).alias("others")))
         # an add lifts the count of its folded name to 1 at least; it is accepted from 0
         moves = (gone.unionByName(came).filter("_d != 0").select("_at", F.lower("_n").alias("_k"), F.lit(2).alias("_part"), "_d")
                  .unionByName(adds.select("_at", F.lower("_n").alias("_k"), F.explode(F.array(F.lit(0), F.lit(1))).alias("_part"), F.lit(0).alias("_d"))))
-        moves = moves.join(folded, "_k", "left").withColumn("_open", F.coalesce("_held", F.lit(0)) - 1)
+        moves = moves.join(folded.hint("merge"), "_k", "left").withColumn("_open", F.coalesce("_held", F.lit(0)) - 1)
         moves = running_floor_balance(moves, ["_k"], _run(), [F.col("_at"), F.col("_part")], F.col("_open"), F.col("_d"), "_b", F.col("_part") == 1)
         free = moves.filter("_part = 0").select("_at", (F.col("_b") < 0).alias("free"))
-        e = e.join(free, "_at", "left")
-        e = e.join(taken, "_at", "left") if taken is not None else e.withColumn("others", F.lit(0))
+        e = e.join(free.hint("merge"), "_at", "left")
+        e = e.join(taken.hint("merge"), "_at", "left") if taken is not None else e.withColumn("others", F.lit(0))
         reason = (F.when(F.col("fault").isNotNull(), F.col("fault"))
                   .when((F.col("op") == "add") & ~F.col("free"), F.lit("already exists"))
                   .when((F.col("op") != "add") & ~F.col("lives"), F.lit("not found"))
@@ -157,11 +158,11 @@ def replay_product_changes(products: DataFrame, changes: DataFrame, order: Seque
                   .when((F.col("op") == "update") & (F.coalesce("others", F.lit(0)) > 0), F.lit("name taken")))
         return e.select("_at", reason.isNull().alias("decision"), F.coalesce(reason, F.lit("ok")).alias("reason"), F.col("decision").alias("_was")), path
 
-    verdicts = log.join(settled(log.select("_at", F.col("fault").isNull().alias("decision")), decide), "_at")
+    verdicts = log.join(settled(log.select("_at", F.col("fault").isNull().alias("decision")), decide).hint("merge"), "_at")
     cols = [c for c in ("name", "category", "price", "unit", "stock_quantity") if c in products.columns]
     last = (verdicts.filter("decision").groupBy("id")
             .agg(F.max((F.col("op") == "delete")).alias("_dead"), F.max_by(F.struct(*cols), F.when(F.col("op") != "delete", F.col("_at"))).alias("_row")))
-    table = products.select("id", F.struct(*cols).alias("_had")).join(last, "id", "full_outer").filter("_dead is null or not _dead")
+    table = products.select("id", F.struct(*cols).alias("_had")).join(last.hint("merge"), "id", "full_outer").filter("_dead is null or not _dead")
     table = table.select("id", F.coalesce("_row", "_had").alias("r")).select("id", "r.*")
     given = [F.col(f"_given_{c}").alias(c) for c in changes.columns]
     return verdicts.select(*given, F.when(F.col("op") == "add", F.when(F.col("decision"), F.col("id"))).otherwise(F.col("id")).alias("id"),
@@ -217,7 +218,7 @@ def replay_customer_changes(customers: DataFrame, changes: DataFrame, order: Seq
     by_lookup = F.col("op").isin("register", "address", "lookup")
 
     def decide(now: DataFrame) -> tuple[DataFrame, str]:
-        e = log.join(now.select("_at", "decision"), "_at")
+        e = log.join(now.select("_at", "decision").hint("merge"), "_at")
         made = e.filter((F.col("op") == "register") & (F.col("decision") == F.col("fresh")))
         made = made.select("_at", F.explode(F.array(F.struct(F.col("fresh").alias("id"), F.col("canon").alias("phone")),
                                                     F.struct((F.col("fresh") + 1).alias("id"), F.col("alias").alias("phone")))).alias("m")).select("_at", "m.*").filter("phone is not null")
@@ -226,7 +227,7 @@ def replay_customer_changes(customers: DataFrame, changes: DataFrame, order: Seq
         rows = running(rows, ["id"], _run(), [F.col("_at")],
                        {"_dead": ("max", F.when(F.col("done") & (F.col("kind") == "delete"), 1)), "_born": ("max", F.when(F.col("kind") == "create", 1)),
                         "_phone": ("last", F.when(F.col("done") & (F.col("kind") != "delete"), F.col("phone")))}, inclusive=False)
-        rows = rows.filter("kind != 'create'").join(base, F.col("id") == F.col("_base"), "left")
+        rows = rows.filter("kind != 'create'").join(base.hint("merge"), F.col("id") == F.col("_base"), "left")
         lives = F.col("_dead").isNull() & (F.col("_base").isNotNull() | F.col("_born").isNotNull())
         rows = rows.select("_at", "id", "phone", "kind", "done", lives.alias("lives"), F.coalesce("_phone", "_base_phone").alias("had"))
         rows, path = written(rows, "replay-rows")
@@ -243,9 +244,9 @@ def replay_customer_changes(customers: DataFrame, changes: DataFrame, order: Seq
         seen = (probes.select("_at", "phone", "pos", F.lit(0).alias("part"), F.lit(None).cast("struct<who:bigint>").alias("holder"))
                 .unionByName(events.withColumn("pos", F.lit(None).cast("int"))))
         seen = running(seen, ["phone"], _run(), [F.col("_at"), F.col("part")], {"_now": ("last", F.col("holder"))}, inclusive=False)
-        seen = seen.filter("part = 0").join(answers, "phone", "left").withColumn("who", F.when(F.col("_now").isNotNull(), F.col("_now.who")).otherwise(F.col("_first"))).filter("who is not null")
+        seen = seen.filter("part = 0").join(answers.hint("merge"), "phone", "left").withColumn("who", F.when(F.col("_now").isNotNull(), F.col("_now.who")).otherwise(F.col("_first"))).filter("who is not null")
         found = seen.groupBy("_at").agg(F.min_by("who", "pos").alias("found"))
-        e = e.join(found, "_at", "left").join(rows.select("_at", "lives"), "_at", "left")
+        e = e.join(found.hint("merge"), "_at", "left").join(rows.select("_at", "lives").hint("merge"), "_at", "left")
         reason = (F.when(~ok, F.col("fault"))
                   .when(F.col("op").isin("update", "delete") & ~F.col("lives"), F.lit("not found"))
                   .when((F.col("op") == "update") & (F.col("found") != F.col("id")), F.lit("phone taken"))
@@ -254,7 +255,7 @@ def replay_customer_changes(customers: DataFrame, changes: DataFrame, order: Seq
         return e.select("_at", F.when(reason.isNull(), target).alias("decision"), F.coalesce(reason, F.lit("ok")).alias("reason"), F.col("decision").alias("_was")), path
 
     start = log.select("_at", F.when(ok & ~F.coalesce(by_lookup, F.lit(False)), F.col("id")).alias("decision"))
-    verdicts = log.join(settled(start, decide), "_at")
+    verdicts = log.join(settled(start, decide).hint("merge"), "_at")
     inserts = F.coalesce((F.col("op") == "register") & (F.col("decision") == F.col("fresh")), F.lit(False))
     done = verdicts.filter("decision is not null and op != 'lookup'")
     whole = F.col("op").isin("register", "update")
@@ -268,17 +269,17 @@ def replay_customer_changes(customers: DataFrame, changes: DataFrame, order: Seq
 
     writes = written_rows.unionByName(aliases)
     now = writes.groupBy("id").agg(F.max("gone").alias("_gone"), last("phone"), last("name"), last("address"))
-    table = customers.select("id", "phone_number", "name", "address").join(now, "id", "full_outer").filter("_gone is null or not _gone")
+    table = customers.select("id", "phone_number", "name", "address").join(now.hint("merge"), "id", "full_outer").filter("_gone is null or not _gone")
     table = table.select("id", F.coalesce("_phone", "phone_number").alias("phone_number"), F.coalesce("_name", "name").alias("name"), F.coalesce("_address", "address").alias("address"))
     # name and address that a lookup finds
     asks = verdicts.filter("op = 'lookup' and decision is not null").select("_at", F.col("decision").alias("id"), F.lit(True).alias("asks"))
     then = writes.select("_at", "id", "name", "address", F.lit(False).alias("asks")).unionByName(asks, allowMissingColumns=True)
     then = running(then, ["id"], _run(), [F.col("_at")], {"_n": ("last", F.col("name")), "_a": ("last", F.col("address"))}, inclusive=False)
-    then = (then.filter("asks").join(customers.select(F.col("id").alias("_base"), F.col("name").alias("_bn"), F.col("address").alias("_ba")), F.col("id") == F.col("_base"), "left")
+    then = (then.filter("asks").join(customers.select(F.col("id").alias("_base"), F.col("name").alias("_bn"), F.col("address").alias("_ba")).hint("merge"), F.col("id") == F.col("_base"), "left")
             .select("_at", F.coalesce("_n", "_bn").alias("_name"), F.coalesce("_a", "_ba").alias("_address")))
     given = [F.when(F.col("op") == "lookup", F.col(f"_{c}")).otherwise(F.col(f"_given_{c}")).alias(c) if c in ("name", "address") else F.col(f"_given_{c}").alias(c)
              for c in changes.columns]
-    return verdicts.join(then, "_at", "left").select(*given, F.col("decision").alias("id"), F.col("decision").isNotNull().alias("accepted"), "reason"), table
+    return verdicts.join(then.hint("merge"), "_at", "left").select(*given, F.col("decision").alias("id"), F.col("decision").isNotNull().alias("accepted"), "reason"), table
 
 
 # ---------------------------------------------------------------------------
@@ -312,18 +313,18 @@ def replay_orders(requests: DataFrame, lines: DataFrame, orders: DataFrame, item
     log = numbered(log.withColumn("_own", F.upper(py_strip(F.coalesce(F.col("order_id"), F.lit(""))))).withColumn("_new", F.upper(py_strip(F.col("status")))), order)
     known = orders.select(F.col("order_id").alias("_own"), F.col("status").alias("_had"))
     stock = products.select(F.col("id").alias("product_id"), F.col("stock_quantity").alias("opening"))
-    wants, _ = written(lines.join(log.select("request_id", "_at", "op", "_own"), "request_id").join(stock, "product_id", "left"), "replay-lines")
+    wants, _ = written(lines.join(log.select("request_id", "_at", "op", "_own").hint("merge"), "request_id").join(stock.hint("merge"), "product_id", "left"), "replay-lines")
     asked = log.filter(F.col("op").isin("cancel", "status")).select("_own").distinct()
-    base_units = (items.withColumn("_own", F.col("order_id")).join(asked, "_own", "left_semi").groupBy("_own", "product_id").agg(F.sum("quantity").alias("units")))
+    base_units = (items.withColumn("_own", F.col("order_id")).join(asked.hint("merge"), "_own", "left_semi").groupBy("_own", "product_id").agg(F.sum("quantity").alias("units")))
     base_units, _ = written(base_units, "replay-units")
 
     def by_order(now: DataFrame) -> DataFrame:
         """The log with each order's status before the request, and the outcomes that follow from it."""
-        e = log.join(now.select("_at", "decision"), "_at")
+        e = log.join(now.select("_at", "decision").hint("merge"), "_at")
         sets = (F.when(F.col("decision") == "accepted", F.lit("CONFIRMED")).when(F.col("decision") == "cancelled", F.lit("CANCELLED"))
                 .when((F.col("op") == "status") & (F.col("decision") == "changed"), F.col("_new")))
         e = running(e, ["_own"], _run(), [F.col("_at")], {"_set": ("last", sets)}, inclusive=False)
-        e = e.join(known, "_own", "left").withColumn("before", F.coalesce("_set", "_had")).drop("_set", "_had")
+        e = e.join(known.hint("merge"), "_own", "left").withColumn("before", F.coalesce("_set", "_had")).drop("_set", "_had")
         none = F.col("before").isNull()
         outcome = (F.when(F.col("op") == "cancel", F.when(none, F.lit("not found")).when(F.col("before") == "CANCELLED", F.lit("already cancelled")).otherwise(F.lit("cancelled")))
                    .when(F.col("op") == "status", F.when(~F.coalesce(F.col("_new").isin(*STATUSES), F.lit(False)), F.lit("rejected")).when(none, F.lit("not found"))
@@ -335,15 +336,15 @@ def replay_orders(requests: DataFrame, lines: DataFrame, orders: DataFrame, item
 
     def by_product(e: DataFrame) -> DataFrame:
         """Lines and moves with the stock after them (for lines: the stock then)."""
-        took = wants.filter("op = 'place'").join(e.filter("op = 'place' and decision = 'accepted'").select("_at"), "_at", "left_semi")
+        took = wants.filter("op = 'place'").join(e.filter("op = 'place' and decision = 'accepted'").select("_at").hint("merge"), "_at", "left_semi")
         took = took.groupBy("_at", "_own", "product_id").agg(F.sum("quantity").alias("units"))
         sign = (F.when(F.col("outcome") == "cancelled", 1).when((F.col("op") == "status") & (F.col("outcome") == "changed"),
                 F.when(F.col("_new") == "CANCELLED", 1).when(F.col("before") == "CANCELLED", -1)))
         turns = e.select("_at", "_own", sign.alias("sign")).filter("sign is not null")
         units = base_units.unionByName(took.select("_own", "product_id", "units"))
-        moves = (turns.join(units, "_own").select("_at", "product_id", (F.col("sign") * F.col("units")).alias("delta"), (F.col("sign") < 0).alias("floors"))
+        moves = (turns.join(units.hint("merge"), "_own").select("_at", "product_id", (F.col("sign") * F.col("units")).alias("delta"), (F.col("sign") < 0).alias("floors"))
                  .unionByName(took.select("_at", "product_id", (-F.col("units")).alias("delta"), F.lit(False).alias("floors"))))
-        moves = moves.join(stock, "product_id").select("_at", "product_id", "opening", "delta", "floors", F.lit(1).alias("part"))
+        moves = moves.join(stock.hint("merge"), "product_id").select("_at", "product_id", "opening", "delta", "floors", F.lit(1).alias("part"))
         probes = wants.filter("opening is not null").select("_at", "product_id", "opening", "pos", "quantity", "request_id", F.lit(0).cast("bigint").alias("delta"),
                                                             F.lit(False).alias("floors"), F.lit(0).alias("part"))
         rows = probes.unionByName(moves, allowMissingColumns=True)
@@ -352,10 +353,10 @@ def replay_orders(requests: DataFrame, lines: DataFrame, orders: DataFrame, item
     def decide(now: DataFrame) -> tuple[DataFrame, str]:
         e, path = written(by_order(now), "replay-requests")
         seen = by_product(e).filter("part = 0").select("_at", "pos", F.col("stock").alias("available"))
-        fits = wants.select("_at", "pos", "quantity", "opening").join(seen, ["_at", "pos"], "left")
+        fits = wants.select("_at", "pos", "quantity", "opening").join(seen.hint("merge"), ["_at", "pos"], "left")
         fault = F.when(F.col("opening").isNull(), F.lit("not found")).when(F.col("available") < F.col("quantity"), F.lit("insufficient stock"))
         worst = fits.groupBy("_at").agg(F.min(F.when(fault.isNotNull(), F.struct("pos", fault.alias("fault")))).alias("_w"), F.count(F.lit(1)).alias("_lines"))
-        e = e.join(worst, "_at", "left")
+        e = e.join(worst.hint("merge"), "_at", "left")
         line_outcome = F.when(F.col("_lines").isNull(), F.lit("no items")).otherwise(F.coalesce("_w.fault", F.when(F.col("op") == "place", F.lit("accepted")).otherwise(F.lit("in stock"))))
         e = e.withColumn("outcome", F.coalesce("outcome", line_outcome))
         return e.select("_at", F.col("outcome").alias("decision"), "before", F.when(F.col("outcome") == F.col("_w.fault"), F.col("_w.pos")).alias("fails_at"),
@@ -363,9 +364,9 @@ def replay_orders(requests: DataFrame, lines: DataFrame, orders: DataFrame, item
 
     start = log.select("_at", F.when(F.col("op") == "place", F.lit("accepted")).alias("decision"))
     final = settled(start, decide)
-    verdicts = log.join(final, "_at").select(*requests.columns, "before", F.col("decision").alias("outcome"), "fails_at")
+    verdicts = log.join(final.hint("merge"), "_at").select(*requests.columns, "before", F.col("decision").alias("outcome"), "fails_at")
     moved, _ = written(by_product(by_order(final)), "replay-stock")
     seen = moved.filter("part = 0").select("request_id", "pos", F.col("stock").alias("available"))
     closing = moved.groupBy("product_id").agg(F.max_by("stock", F.struct("_at", "part")).alias("_s"))
-    after = products.join(closing, products["id"] == closing["product_id"], "left").select("id", F.coalesce("_s", "stock_quantity").alias("stock_quantity"))
-    return verdicts, lines.join(seen, ["request_id", "pos"], "left"), after
+    after = products.join(closing.hint("merge"), products["id"] == closing["product_id"], "left").select("id", F.coalesce("_s", "stock_quantity").alias("stock_quantity"))
+    return verdicts, lines.join(seen.hint("merge"), ["request_id", "pos"], "left"), after

@@ -94,7 +94,7 @@ def tool_batch(calls: DataFrame, customers: DataFrame, products: DataFrame, orde
     wanted = wanted.withColumn("line_id", F.concat_ws("|", F.col("call_id").cast("string"), F.col("pos").cast("string"))).withColumn("_no_id", F.lit(None).cast("bigint"))
     wanted, _ = written(wanted, "tool-lines")
     found = resolve_products(wanted, products, synonyms, "line_id", "name", "_no_id").select("line_id", F.col("matched_id").alias("product_id"))
-    lines = wanted.join(found, "line_id", "left").select(F.col("call_id").alias("request_id"), "pos", "product_id", safe_quantity(F.col("quantity")).alias("quantity"))
+    lines = wanted.join(found.hint("merge"), "line_id", "left").select(F.col("call_id").alias("request_id"), "pos", "product_id", safe_quantity(F.col("quantity")).alias("quantity"))
     lines, _ = written(lines, "tool-lines")
 
     op = F.create_map(*[F.lit(x) for x in ("place_order", "place", "check_stock", "check", "track_order", "track", "cancel_existing_order", "cancel")])
@@ -103,12 +103,12 @@ def tool_batch(calls: DataFrame, customers: DataFrame, products: DataFrame, orde
     verdicts = verdicts.select(F.col("request_id").alias("call_id"), "before", "outcome")
 
     price = products.select(F.col("id").alias("product_id"), F.col("price").cast("decimal(18,2)").alias("_price"))
-    sums = lines.join(price, "product_id").groupBy(F.col("request_id").alias("call_id")).agg(F.sum(F.col("_price") * F.col("quantity").cast("decimal(18,0)")).alias("_sub"))
+    sums = lines.join(price.hint("merge"), "product_id").groupBy(F.col("request_id").alias("call_id")).agg(F.sum(F.col("_price") * F.col("quantity").cast("decimal(18,0)")).alias("_sub"))
     checked = tried.filter("pos = 0").select(F.col("request_id").alias("call_id"), "product_id", "available")
     hits = search_catalog(c.filter("tool = 'search_catalog'").select(F.col("call_id").alias("qid"), "query"), products, synonyms)
     hits = hits.groupBy(F.col("qid").alias("call_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda h: h["id"]).alias("products"))
 
-    j = (with_settings(c, settings).join(seen, "call_id", "left").join(verdicts, "call_id", "left").join(sums, "call_id", "left").join(checked, "call_id", "left").join(hits, "call_id", "left"))
+    j = (with_settings(c, settings).join(seen.hint("merge"), "call_id", "left").join(verdicts.hint("merge"), "call_id", "left").join(sums.hint("merge"), "call_id", "left").join(checked.hint("merge"), "call_id", "left").join(hits.hint("merge"), "call_id", "left"))
     placed, of = F.col("outcome") == "accepted", lambda t: F.col("tool") == t
     known = F.coalesce(F.col("tool").isin(*KNOWN_TOOLS), F.lit(False))
     ok = (F.when(~known, F.lit(False)).when(of("register_caller"), F.col("_person") == "ok").when(of("search_catalog"), F.lit(True))

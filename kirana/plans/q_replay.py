@@ -64,7 +64,7 @@ def _catalog(spark, d):
                            F.col("p_brand").alias("unit"), F.col("p_size").cast("bigint").alias("stock_quantity"))
     other = part.select(F.col("p_partkey").alias("_o"), named.alias("other"))
     k, size = F.col("p_partkey"), F.col("p_size")
-    log = part.join(other, (k * 17) % n + 1 == F.col("_o")).select(
+    log = part.join(other.hint("merge"), (k * 17) % n + 1 == F.col("_o")).select(
         ((k * 7919) % 1000003).alias("seq"),
         F.when(size <= 12, "delete").when(size <= 26, "add").when(size <= 48, "update").when(size == 49, "delete").otherwise("remove").alias("op"),
         F.when(~size.between(13, 26), F.when(size.between(40, 44) | (size == 49), F.lit(n) + F.floor((k * 3) % n / 4)).otherwise((k * 13) % n + 1)).cast("bigint").alias("pid"),

@@ -85,3 +85,16 @@ def test_replay_files_do_not_grow_with_the_table(spark, monkeypatch):
     assert max(pq.read_metadata(f).num_rows for f in glob.glob(roots[0][0].removeprefix("file:") + "/*.parquet")) <= 200
     from kirana.operators import calls as cl
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, cl.frame_windows(df, "6 hours", "1 hour").select(out.columns).collect()))
+
+
+def test_replays_join_by_shuffle_not_through_the_driver(spark):
+    from kirana.operators import replay
+
+    products = spark.createDataFrame([(1, "rice"), (2, "oil")], "id long, name string")
+    changes = spark.createDataFrame([("add", None, "Oil", 1), ("delete", 2, None, 2), ("add", None, "Oil", 3)], "op string, pid long, name string, seq long")
+    customers = spark.createDataFrame([(1, "+919876543210", "n", "a")], "id long, phone_number string, name string, address string")
+    callers = spark.createDataFrame([("register", "9876543210", "m", "b", 1)], "op string, phone string, name string, address string, seq long")
+    frames = [*replay.replay_product_changes(products, changes, ["seq"]), *replay.replay_customer_changes(customers, callers, ["seq"])]
+    assert [r.reason for r in frames[0].orderBy("seq").collect()] == ["already exists", "ok", "ok"]
+    for frame in frames:
+        assert "Broadcast" not in frame._jdf.queryExecution().executedPlan().toString()
