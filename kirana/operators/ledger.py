@@ -12,11 +12,11 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kirana.functions.phone import py_strip
-from kirana.operators.scan import running, running_floor_balance, time_bucket
+from kirana.operators.scan import SPLIT_ROWS, running, running_floor_balance, time_bucket
 from kirana.session import remove, written
 
 VALID_STATUSES = ["CONFIRMED", "PREPARING", "OUT_FOR_DELIVERY", "DELIVERED", "CANCELLED"]
@@ -139,15 +139,12 @@ def _order_sequence(orders: DataFrame, order: Sequence[str], seq_bucket: int) ->
     return orders.select("order_id", F.struct(*order).alias("_o"), bkt.alias("_b"))
 
 
-#: Lines of one product that a task may window at once.
-TASK_LINES = 1 << 16
-
-
-def _places_joined(per: DataFrame) -> int:
-    """Buckets of places to join into one, so that the commonest product has about ``TASK_LINES`` lines in each."""
+def _places_joined(per: DataFrame) -> tuple[int, bool]:
+    """Buckets of places to join into one, so that the commonest product has about ``SPLIT_ROWS`` lines in each,
+    and whether no product has more lines at all."""
     n, lo, hi = (per.groupBy("product_id").agg(F.count(F.lit(1)).alias("n"), F.min("_b").alias("lo"), F.max("_b").alias("hi"))
                  .agg(F.max("n"), F.min("lo"), F.max("hi")).first())
-    return max(1, int(hi - lo + 1) // -(-n // TASK_LINES)) if n and lo is not None else 1
+    return max(1, int(hi - lo + 1) // -(-n // SPLIT_ROWS)) if n and lo is not None else 1, not n or n <= SPLIT_ROWS
 
 
 def allocate_orders(orders: DataFrame, lines: DataFrame, stock: DataFrame,
@@ -162,55 +159,63 @@ def allocate_orders(orders: DataFrame, lines: DataFrame, stock: DataFrame,
     of earlier accepted orders.  ``stock - hi >= qty`` on every line settles it
     as accepted, ``stock - lo < qty`` on some line as rejected.  The earliest
     open order always settles, so the loop ends when none is open; there is no
-    other bound on the rounds.  A round keeps the lines of open orders and, for
-    products that these still ask for, those of accepted ones; they are written
-    to the shared checkpoint directory, and the round before is removed.
+    other bound on the rounds.  A round keeps the lines of open orders with what
+    earlier accepted orders left of the stock, and those of the orders it accepted,
+    which the next round takes off that; they are shuffled by product and by order and
+    written once, to the shared checkpoint directory, and the round before is removed.
 
     ``orders``: order_id + ``order`` columns; ``lines``: order_id, product_id,
     quantity; ``stock``: product_id, stock.
     Returns order_id, accepted, reason, round.
     """
     spark = orders.sparkSession
-    seq = _order_sequence(orders, order, seq_bucket)
+    # a place and a number stand for the columns of ``order`` and the id, which would go along with every line
+    seq = _order_sequence(orders, order, seq_bucket).orderBy("_o").withColumn("_at", F.monotonically_increasing_id())
+    seq = seq.select("order_id", "_b", "_at", F.min("_at").over(Window.partitionBy("order_id")).alias("_k"))
+    seq, _ = written(seq, "allocate-orders")
     # one row per (order, product): the largest single line is what is tested,
     # the sum is what is deducted
     per = (lines.groupBy("order_id", "product_id")
            .agg(F.max("quantity").alias("qmax"), F.sum("quantity").alias("qsum")))
-    per = per.join(seq, "order_id").join(stock, "product_id", "left")
+    per = per.join(seq, "order_id").join(stock, "product_id", "left").drop("order_id")
     per, path = written(per, "allocate-lines")
-    per = per.withColumn("_b", F.floor(F.col("_b") / _places_joined(per)))
-    asked = per.groupBy("order_id").agg(F.max(F.col("stock").isNull()).alias("_bad"))
-    decided = (seq.select("order_id").join(asked, "order_id", "left").filter(F.coalesce("_bad", F.lit(True)))
-               .select("order_id", F.when(F.col("_bad"), F.lit("not found")).otherwise(F.lit("no items")).alias("reason"),
+    joined, whole = _places_joined(per)
+    asked = per.groupBy("_k").agg(F.max(F.col("stock").isNull()).alias("_bad"), F.count(F.lit(1)).alias("_lines"))
+    few = (asked.agg(F.max("_lines")).first()[0] or 0) <= SPLIT_ROWS
+    decided = (seq.select("_k").join(asked, "_k", "left").filter(F.coalesce("_bad", F.lit(True)))
+               .select("_k", F.when(F.col("_bad"), F.lit("not found")).otherwise(F.lit("no items")).alias("reason"),
                        F.lit(0).alias("round")))
     decided, _ = written(decided, "allocate-decided")
-    per = per.join(decided.select("order_id"), "order_id", "left_anti").withColumn("taken", F.lit(False))
-    rnd = 0
-    while True:
+    per = per.join(decided.select("_k"), "_k", "left_anti").withColumnRenamed("stock", "left")
+    per = per.drop("_b") if whole else per.withColumn("_b", F.floor(F.col("_b") / joined))
+    keep, per = per.columns, per.withColumn("all_ok", F.lit(False))
+    rnd, some = 0, bool(per.limit(1).count())
+    while some:
         rnd += 1
+        taken = F.col("all_ok")
+        # dealt by product first, the summed columns are made after the shuffle
+        j = running(per.repartition("product_id") if whole else per, ["product_id"], F.lit(0) if whole else F.col("_b"), [F.col("_at")],
+                    {"gone": ("sum", F.when(taken, F.col("qsum")).otherwise(0)), "ahead": ("sum", F.when(taken, 0).otherwise(F.col("qsum")))},
+                    inclusive=False, whole=whole)
+        j = j.filter(~taken).withColumn("left", F.col("left") - F.col("gone"))
+        verdict = {"all_ok": F.min(F.col("left") - F.col("ahead") >= F.col("qmax")), "any_bad": F.max(F.col("left") < F.col("qmax")), "_head": F.min("product_id")}
+        if few:
+            j = j.select(*keep, *[v.over(Window.partitionBy("_k")).alias(k) for k, v in verdict.items()])
+        else:
+            j = j.drop("all_ok").join(j.groupBy("_k").agg(*[v.alias(k) for k, v in verdict.items()]), "_k")
+            j = j.select(*keep, *verdict)
         before = path
-        per, path = written(per, "allocate-lines")
+        j, path = written(j.withColumn("_head", F.col("_head") == F.col("product_id")), "allocate-lines")
         remove(spark, before)
-        if not per.filter(~F.col("taken")).limit(1).count():
-            break
-        j = running(per, ["product_id"], F.col("_b"), [F.col("_o")],
-                    {"hi": ("sum", F.col("qsum")),
-                     "lo": ("sum", F.when(F.col("taken"), F.col("qsum")).otherwise(0))},
-                    inclusive=False)
-        dec = (j.filter(~F.col("taken")).groupBy("order_id")
-               .agg(F.min(F.col("stock") - F.col("hi") >= F.col("qmax")).alias("all_ok"),
-                    F.max(F.col("stock") - F.col("lo") < F.col("qmax")).alias("any_bad"))
-               .filter("all_ok or any_bad")
-               .select("order_id", F.when(F.col("all_ok"), F.lit("accepted")).otherwise(F.lit("insufficient stock")).alias("reason"),
-                       F.lit(rnd).alias("round")))
+        dec = j.filter("_head and (all_ok or any_bad)").select(
+            "_k", F.when(F.col("all_ok"), F.lit("accepted")).otherwise(F.lit("insufficient stock")).alias("reason"), F.lit(rnd).alias("round"))
         dec, _ = written(dec, "allocate-decided")
         decided = decided.unionByName(dec)
         if rnd % 16 == 0:  # keeps the plan of the union small
             decided, _ = written(decided, "allocate-decided")
-        now = per.join(dec.select("order_id", "reason"), "order_id", "left").filter("reason is null or reason = 'accepted'")
-        now = now.withColumn("taken", F.col("taken") | F.col("reason").isNotNull()).drop("reason")
-        wanted = now.filter(~F.col("taken")).select("product_id").distinct()
-        per = now.join(wanted, "product_id", "left_semi")
+        some = bool(j.filter("not coalesce(all_ok or any_bad, false)").limit(1).count())
+        per = j.filter("coalesce(all_ok, false) or not coalesce(any_bad, false)").select(*keep, F.coalesce("all_ok", F.lit(False)).alias("all_ok"))
+    decided = decided.join(seq.filter("_at = _k").select("_k", "order_id"), "_k")
     return decided.select("order_id", (F.col("reason") == "accepted").alias("accepted"), "reason", "round")
 
 
@@ -226,8 +231,9 @@ def allocation_certificate(decisions: DataFrame, orders: DataFrame, lines: DataF
     seq = _order_sequence(orders, order, seq_bucket).join(given, "order_id", "left")
     per = (lines.groupBy("order_id", "product_id").agg(F.max("quantity").alias("qmax"), F.sum("quantity").alias("qsum"))
            .join(seq, "order_id").join(stock, "product_id", "left"))
-    per = running(per, ["product_id"], F.col("_b"), [F.col("_o")],
-                  {"used": ("sum", F.when(F.col("accepted"), F.col("qsum")).otherwise(0))}, inclusive=False)
+    took = F.when(F.col("accepted"), F.col("qsum")).otherwise(0)
+    per, _ = written(per.select("order_id", "product_id", "_o", "_b", "qmax", "stock", took.alias("took")), "certificate-lines")
+    per = running(per, ["product_id"], F.col("_b"), [F.col("_o")], {"used": ("sum", F.col("took"))}, inclusive=False)
     fits = F.coalesce(F.col("stock") - F.col("used") >= F.col("qmax"), F.lit(False))
     res = seq.join(per.groupBy("order_id").agg(F.min(fits).alias("_due")), "order_id", "left")
     wrong = F.coalesce("accepted", F.lit(False)) != F.coalesce("_due", F.lit(False))

@@ -48,19 +48,19 @@ def _bucketed(df: DataFrame, by: list[str], bucket: Column) -> tuple[DataFrame,
 
 
 def running(df: DataFrame, by: Sequence[str], bucket: Column, order: Sequence[Column],
-            specs: dict[str, tuple[str, Column]], inclusive: bool = True) -> DataFrame:
+            specs: dict[str, tuple[str, Column]], inclusive: bool = True, whole: bool = False) -> DataFrame:
     """Add running aggregates over ``order`` within ``by``.
 
     ``specs`` maps output name -> (kind, column) with kind one of
     ``sum``, ``count``, ``min``, ``max``, ``last`` (last non-null value).
     ``inclusive=False`` excludes the current row (frame ... to -1).
     ``order`` must be a total order within ``by`` and ``bucket`` must be
-    non-decreasing along it.
+    non-decreasing along it.  ``whole`` says that no key has more than ``SPLIT_ROWS`` rows.
     """
     by = list(by)
     end = 0 if inclusive else -1
     values = {f"_v_{name}": col for name, (_, col) in specs.items()}
-    d, parts, split = _bucketed(df, by, bucket)
+    d, parts, split = (df, by, None) if whole else _bucketed(df, by, bucket)
     d = d.withColumns(values)
     w_loc = Window.partitionBy(*parts).orderBy(*order).rowsBetween(UNB, end)
     summary_aggs, carry_cols, local_cols = [], [], []

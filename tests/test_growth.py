@@ -98,3 +98,23 @@ def test_replays_join_by_shuffle_not_through_the_driver(spark):
     assert [r.reason for r in frames[0].orderBy("seq").collect()] == ["already exists", "ok", "ok"]
     for frame in frames:
         assert "Broadcast" not in frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_allocation_drops_settled_lines_and_is_right_where_keys_are_split(spark, monkeypatch):
+    from tests.test_golden import _sequential_allocation
+
+    rng = random.Random(4)
+    orders = [f"o{i:03d}" for i in range(50)]
+    lines = [(o, rng.randint(1, 4), rng.randint(1, 6)) for o in orders for _ in range(rng.randint(1, 3))]
+    stock = {p: rng.randint(5, 40) for p in range(1, 5)}
+    o = spark.createDataFrame([(oid, i) for i, oid in enumerate(orders)], "order_id string, id long")
+    li = spark.createDataFrame(lines, "order_id string, product_id long, quantity long")
+    st = spark.createDataFrame(list(stock.items()), "product_id long, stock long")
+    kept, write = [], lg.written
+    monkeypatch.setattr(lg, "written", lambda df, name: kept.append((name, df.columns)) or write(df, name))
+    for most in (1 << 16, 2):
+        monkeypatch.setattr(scan, "SPLIT_ROWS", most)
+        monkeypatch.setattr(lg, "SPLIT_ROWS", most)
+        got = {r.order_id: r.accepted for r in lg.allocate_orders(o, li, st, ("id",), 4).collect()}
+        assert got == _sequential_allocation(orders, lines, stock)
+    assert all("order_id" not in columns and "taken" not in columns for name, columns in kept if name == "allocate-lines")
